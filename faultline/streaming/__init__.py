@@ -1,0 +1,7 @@
+"""Streaming surface: intentionally empty.
+
+The reference works on bounded files only (no streams, watermarks, state or
+late data), so nothing here is needed to match it. Every operator in this
+package is a DataFrame -> DataFrame function, so a ``foreachBatch`` sink can
+apply any of them to a micro-batch without extra code.
+"""
