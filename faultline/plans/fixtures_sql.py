@@ -15,7 +15,7 @@ unit AS (
          CAST(p.p_size AS DOUBLE) AS SM_size, p.p_retailprice AS SM_price,
          round(l.qty_avg, 6) AS SM_qty_avg, round(l.qty_std, 6) AS SM_qty_std,
          CAST(coalesce(l.n_lines, 0) AS DOUBLE) AS PMD_lines,
-         round(l.disc_avg, 6) AS MOSER_disc_avg,
+         round(l.disc_avg * 100, 6) AS MOSER_disc_avg,
          CAST(CASE WHEN l.n_r / l.n_lines > 0.45 THEN l.n_r ELSE 0 END AS BIGINT) AS Bug
   FROM part p LEFT JOIN (
     SELECT l_partkey, avg(l_quantity) AS qty_avg, stddev_pop(l_quantity) AS qty_std,
@@ -57,11 +57,11 @@ CTES["coverage"] = """
 coverage AS (
   SELECT CAST(yr AS VARCHAR) AS version,
          'part_' || CAST(l_partkey AS VARCHAR) AS filename,
-         round(ci, 6) AS COV_INSTRUCTION, round(cb, 6) AS COV_BRANCH,
+         round(ci / 10, 6) AS COV_INSTRUCTION, round(cb, 6) AS COV_BRANCH,
          round(cl * 10, 6) AS COV_LINE, round(cc, 6) AS COV_COMPLEXITY,
          round(cm / 50, 6) AS COV_METHOD
   FROM (SELECT l_partkey, year(l_shipdate) AS yr, count(*) AS n,
-               avg(1 - l_discount) AS ci,
+               avg(sqrt(l_quantity)) AS ci,
                avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END) AS cb,
                avg(l_tax) AS cl,
                avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) AS cc,
@@ -74,13 +74,13 @@ effort AS (
   SELECT CAST(yr AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS version_id,
          CAST(hcm AS DOUBLE) AS HASSAN_hcm, CAST(rev AS DOUBLE) AS MOSER_revisions,
          CAST(major AS DOUBLE) AS PMD_severity_major,
-         round(price / 1000, 6) AS CHANGE_TYPE_data,
+         round(price, 6) AS CHANGE_TYPE_data,
          CAST(abug AS DOUBLE) AS ISSUE_major_bug,
          round(maxdisc * 100, 6) AS "PMD_rule_type_basic rules"
   FROM (SELECT l_partkey, year(l_shipdate) AS yr,
-               count(DISTINCT l_suppkey) AS hcm, count(DISTINCT l_orderkey) AS rev,
+               count(DISTINCT l_suppkey) AS hcm, count(DISTINCT month(l_shipdate)) AS rev,
                sum(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS major,
-               avg(l_extendedprice) AS price,
+               avg(sqrt(l_extendedprice)) AS price,
                sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS abug,
                max(l_discount) AS maxdisc, sum(l_quantity) AS q
         FROM lineitem GROUP BY l_partkey, year(l_shipdate)) g

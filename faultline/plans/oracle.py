@@ -59,3 +59,154 @@ ORACLE["high_rate_groups"] = _UC + """
 SELECT CASE WHEN cluster = -1 THEN 'noise' ELSE 'cluster_' || CAST(cluster AS VARCHAR) END AS cluster_name,
        total, defective, round(defective / total * 100, 2) AS defect_rate
 FROM pc WHERE round(defective / total * 100, 2) > 10"""
+
+
+# --- prepare ---------------------------------------------------------------------
+
+from faultline.functions.columns import COVERAGE_FEATURES, EFFORT_FEATURES_26  # noqa: E402
+from faultline.plans import sqlgen as G  # noqa: E402
+from faultline.plans.fixtures_sql import CTES  # noqa: E402
+from faultline.sources import testdata as td  # noqa: E402
+
+_EFF = [f for f in EFFORT_FEATURES_26 if f in td.EFFORT_FIXTURE]
+_COMB_FEATS = td.SM_FEATURES + COVERAGE_FEATURES + _EFF
+_META = ", ".join(G.qi(c) for c in td.SM_METADATA)
+
+CTES["combined"] = f"""
+combined AS (
+  SELECT {", ".join("s." + G.qi(c) for c in td.SM_METADATA + td.SM_FEATURES)},
+         {", ".join("c." + G.qi(c) for c in COVERAGE_FEATURES)},
+         {", ".join("e." + G.qi(c) for c in _EFF)}
+  FROM sm s JOIN coverage c ON s.file = c.filename AND s.version = c.version
+  JOIN effort e ON s.version_id = e.version_id)"""
+
+_COMB = with_("sm", "coverage", "effort", "combined")
+_YEAR = f"CAST(substr(version_id, 1, 4) AS INTEGER) - {td.FIRST_VERSION}"
+
+ORACLE["load_clean"] = with_("sm") + "SELECT * FROM sm WHERE version IS NOT NULL AND Bug IS NOT NULL"
+
+ORACLE["family_project"] = _COMB + f"SELECT {_META}, {', '.join(COVERAGE_FEATURES)} FROM combined"
+
+ORACLE["effort_cov_only"] = _COMB + f"SELECT {_META}, {', '.join(G.qi(c) for c in _EFF)}, " \
+    f"{', '.join(COVERAGE_FEATURES)} FROM combined"
+
+ORACLE["label_rate"] = with_("unit") + """
+SELECT count(*) AS n_samples, CAST(sum(CASE WHEN Bug > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_defective,
+       round(avg(CASE WHEN Bug > 0 THEN 1 ELSE 0 END), 6) AS defect_rate FROM unit"""
+
+ORACLE["impute_nonfinite"] = with_("sm") + f"""
+, x AS (SELECT version_id, SM_tax_avg AS tax,
+               CASE WHEN SM_lines = 1 THEN 'inf'::DOUBLE ELSE SM_price_avg END AS price,
+               CASE WHEN SM_lines = 2 THEN '-inf'::DOUBLE ELSE SM_disc_avg END AS disc FROM sm)
+SELECT version_id, {G.imputed('tax')} AS tax, {G.imputed('price')} AS price, {G.imputed('disc')} AS disc FROM x"""
+
+ORACLE["version_exclude"] = with_("sm") + \
+    f"SELECT version_id, version, Bug FROM sm WHERE version IS DISTINCT FROM '{td.FIRST_VERSION}'"
+
+_MERGE = with_("sm", "coverage") + f"""
+, merged AS (
+  SELECT s.*, {", ".join("c." + c for c in COVERAGE_FEATURES)}
+  FROM (SELECT * FROM sm WHERE version IS NOT NULL AND version IS DISTINCT FROM '{td.FIRST_VERSION}') s
+  LEFT JOIN coverage c ON s.version = c.version AND s.file = c.filename)
+"""
+ORACLE["merge_left"] = _MERGE + "SELECT * FROM merged"
+ORACLE["merge_unmatched"] = _MERGE + f"""
+SELECT CAST(sum(CASE WHEN {COVERAGE_FEATURES[0]} IS NULL OR isnan({COVERAGE_FEATURES[0]}) THEN 1 ELSE 0 END) AS BIGINT)
+       AS unmatched, count(*) AS rows FROM merged"""
+
+ORACLE["combine_inner"] = _COMB + "SELECT * FROM combined"
+
+ORACLE["union_versions"] = with_("coverage") + """
+SELECT version, filename, COV_INSTRUCTION, COV_BRANCH, COV_LINE, COV_COMPLEXITY,
+       CASE WHEN version < '1998' THEN NULL ELSE COV_METHOD END AS COV_METHOD FROM coverage"""
+
+_SM_RANK = with_("sm") + ", " + G.m1("sm", "version_id", "Bug", td.SM_FEATURES, "sm_scaled") + ",\n" + \
+    G.relevance("sm_scaled", _YEAR, "version_id", td.SM_FEATURES, "sm_rank") + "\n"
+
+ORACLE["top_family_features"] = _SM_RANK + """
+SELECT * FROM (
+  SELECT row_number() OVER (ORDER BY relevance DESC, rank ASC) AS family_rank, feature,
+         round(relevance, 6) AS relevance, rank
+  FROM sm_rank WHERE feature LIKE 'SM\\_%' ESCAPE '\\') t WHERE family_rank <= 3"""
+
+ORACLE["top30_dataset"] = with_("sm") + f"SELECT {_META}, {', '.join(td.SM_FEATURES)} FROM sm " \
+    f"WHERE version IS DISTINCT FROM '{td.FIRST_VERSION}'"
+
+ORACLE["family_counts"] = _COMB + ", lf AS (" + G.long("combined", "version_id", _COMB_FEATS) + """)
+SELECT CASE WHEN feature LIKE 'SM\\_%' ESCAPE '\\' THEN 'SM' WHEN feature LIKE 'COV\\_%' ESCAPE '\\' THEN 'COV'
+            ELSE 'EFFORT' END AS family,
+       count(DISTINCT feature) AS n_features, count(value) AS n_values
+FROM lf GROUP BY 1"""
+
+# --- scaling -----------------------------------------------------------------
+
+_UNIT_M1 = with_("unit", "unit_clusters") + ", " + G.m1("unit", "row_id", "Bug", td.UNIT_FEATURES, "us") + "\n"
+_ROUNDED = ", ".join(f"round({G.qi(f)}, 6) AS {G.qi(f)}" for f in td.UNIT_FEATURES)
+ORACLE["standardize"] = _UNIT_M1 + f"SELECT row_id, label, {_ROUNDED} FROM us"
+ORACLE["zscore_outliers"] = _UNIT_M1 + f"SELECT row_id, label, {_ROUNDED} FROM us WHERE " \
+    f"greatest({', '.join('abs(' + G.qi(f) + ')' for f in td.UNIT_FEATURES)}) <= 3.0"
+
+# --- centers, relevance, rankings ------------------------------------------
+
+_UNIT_REL = _UNIT_M1 + ", usc AS (SELECT us.*, uc.cluster AS ucl FROM us JOIN unit_clusters uc USING (row_id)),\n" + \
+    G.relevance("usc", "ucl", "row_id", td.UNIT_FEATURES, "urank") + "\n"
+ORACLE["cluster_centers"] = _UNIT_REL + "SELECT cluster, feature, round(center, 6) AS center FROM urank_centers"
+ORACLE["feature_relevance"] = _UNIT_REL + "SELECT rank, feature, round(relevance, 6) AS relevance FROM urank"
+
+_COMB_M1 = _COMB + ", " + G.m1("combined", "version_id", "Bug", _COMB_FEATS, "cs") + ",\n"
+_CRANK = _COMB_M1 + G.relevance("cs", _YEAR, "version_id", _COMB_FEATS, "crank") + ",\n"
+_GROUPS_ROWS = [("26_common", f) for f in EFFORT_FEATURES_26] + \
+    [("effort_all", f) for f in td.EFFORT_FIXTURE]
+_GR = _CRANK + f"""groups AS (SELECT DISTINCT * FROM {G.values(_GROUPS_ROWS, ['"group"', 'feature'])}),
+granks AS (SELECT g."group", g.feature, r.rank FROM groups g
+           LEFT JOIN (SELECT feature, max(rank) AS rank FROM crank GROUP BY feature) r USING (feature))
+"""
+ORACLE["feature_ranks"] = _GR + 'SELECT "group", feature, rank FROM granks'
+
+_TOPS = (50, 100, 500, 1000)
+ORACLE["rank_stats"] = _GR + f"""
+, med AS (SELECT "group", rank AS median_rank FROM (
+            SELECT "group", rank, row_number() OVER (PARTITION BY "group" ORDER BY rank) AS pos,
+                   count(*) OVER (PARTITION BY "group") AS nf FROM granks WHERE rank IS NOT NULL) t
+          WHERE pos = floor(nf / 2) + 1),
+  g AS (SELECT "group", count(*) AS total, count(rank) AS found, min(rank) AS min_rank, max(rank) AS max_rank,
+               avg(rank) AS avg_rank,
+               {", ".join(f"sum(CASE WHEN rank <= {n} THEN 1 ELSE 0 END) AS in_top_{n}" for n in _TOPS)}
+        FROM granks GROUP BY "group")
+SELECT g."group", total, found, total - found AS not_found,
+       round(CASE WHEN total > 0 THEN found / total * 100 ELSE 0.0 END, 6) AS found_pct,
+       min_rank, max_rank, median_rank, round(avg_rank, 6) AS avg_rank,
+       {", ".join(f"in_top_{n}" for n in _TOPS)},
+       {", ".join(f"round(CASE WHEN total > 0 THEN in_top_{n} / total * 100 ELSE 0.0 END, 6) AS in_top_{n}_pct" for n in _TOPS)}
+FROM g LEFT JOIN med USING ("group")"""
+
+_CAT = "CASE " + " ".join(
+    f"WHEN starts_with(feature, '{p}') THEN '{p.rstrip('_')}'" for p in
+    ["PMD_", "HASSAN_", "MOSER_", "ISSUE_", "CHANGE_TYPE_", "SM_", "AST_"]) + " ELSE 'OTHER' END"
+_CAT_COV = "CASE " + " ".join(
+    f"WHEN starts_with(feature, '{p}') THEN '{p.rstrip('_')}'" for p in
+    ["PMD_", "HASSAN_", "MOSER_", "ISSUE_", "CHANGE_TYPE_", "SM_", "AST_", "COV_"]) + " ELSE 'OTHER' END"
+
+ORACLE["category_breakdown"] = _GR + f"""
+SELECT "group", {_CAT} AS category, count(*) AS count, round(avg(rank), 6) AS avg_rank, min(rank) AS min_rank,
+       sum(CASE WHEN rank <= 100 THEN 1 ELSE 0 END) AS in_top_100
+FROM granks WHERE rank IS NOT NULL GROUP BY 1, 2"""
+
+ORACLE["top20_by_group"] = _GR + f"""
+SELECT * FROM (SELECT "group", row_number() OVER (PARTITION BY "group" ORDER BY rank, feature) AS pos,
+                      feature, rank, {_CAT} AS category
+               FROM granks WHERE rank IS NOT NULL) t WHERE pos <= 20"""
+
+_CRANK2 = _CRANK + G.relevance("cs", "label", "version_id", _COMB_FEATS, "lrank") + "\n"
+ORACLE["ranking_overlap"] = _CRANK2 + """
+SELECT n.top_n, a.feature, a.rank AS rank_a, b.rank AS rank_b
+FROM crank a JOIN lrank b USING (feature) JOIN (VALUES (5), (10)) AS n(top_n)
+  ON a.rank <= n.top_n AND b.rank <= n.top_n"""
+
+ORACLE["category_rollup"] = _CRANK.rstrip().rstrip(",") + f"""
+SELECT {_CAT_COV} AS category, count(*) AS n, min(rank) AS min_rank, max(rank) AS max_rank,
+       round(avg(relevance), 6) AS avg_relevance, arg_min(feature, rank) AS top_feature
+FROM crank GROUP BY 1"""
+
+ORACLE["category_shares"] = _CRANK.rstrip().rstrip(",") + f"""
+SELECT {_CAT_COV} AS category, count(*) AS count FROM crank WHERE rank <= 10 GROUP BY 1"""

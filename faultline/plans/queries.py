@@ -66,3 +66,223 @@ def q_high_rate_groups(spark, sf):
     """Groups whose defect rate is above a fixed cut (10 %)."""
     s = quality.cluster_stats(unit_clusters(spark, sf))
     return s.filter(F.col("defect_rate") > 10).select("cluster_name", "total", "defective", "defect_rate")
+
+
+# --- sources, projections, filters, prepare ---------------------------------
+
+from faultline.functions import columns as C  # noqa: E402
+from faultline.operators import prepare as P  # noqa: E402
+from faultline.operators import ranking as RK  # noqa: E402
+from faultline.operators import scaling as SC  # noqa: E402
+from faultline.plans import prepare as X  # noqa: E402
+from faultline.sources.registry import testdata_registry  # noqa: E402
+
+
+def year_cluster(version_id: str = "version_id"):
+    """Cluster id = ship-year index parsed from the version id (never NULL)."""
+    return F.substring(F.col(version_id), 1, 4).cast("int") - int(td.FIRST_VERSION)
+
+
+def sm_ranking(spark, sf):
+    """A4 ranking of the ``sm`` SM_* features, clusters = ship year."""
+    s = td.sm(spark, sf)
+    prep = SC.preprocess(s, "Bug", id_col="version_id")
+    df = prep.df.withColumn("cluster", year_cluster())
+    return RK.feature_relevance(df, prep.features, "cluster", id_col="version_id")
+
+
+def combined_df(spark, sf, top_n: int = 30):
+    top = [r["feature"] for r in RK.top_family(sm_ranking(spark, sf), "SM_", top_n).collect()]  # <= top_n names
+    return X.combined(td.sm(spark, sf), td.coverage(spark, sf), td.effort(spark, sf), top, td.SM_METADATA)
+
+
+@register("load_clean")
+def q_load_clean(spark, sf):
+    df, label, _ = testdata_registry().load(spark, "sm", sf)
+    return P.drop_missing(df, ["version"])
+
+
+@register("family_project")
+def q_family_project(spark, sf):
+    # "ID" is not a column of the table: tolerated (non-strict), like the extract action
+    return C.project_family(combined_df(spark, sf), td.SM_METADATA + ["ID"], "COV_", strict=False)
+
+
+@register("effort_cov_only")
+def q_effort_cov_only(spark, sf):
+    return X.effort_cov_only(combined_df(spark, sf), td.SM_METADATA)
+
+
+@register("label_rate")
+def q_label_rate(spark, sf):
+    u = td.unit(spark, sf)
+    y = C.binarize("Bug")
+    return u.agg(F.count(F.lit(1)).alias("n_samples"), F.sum(y).cast("bigint").alias("n_defective"),
+                 r6(F.avg(y)).alias("defect_rate"))
+
+
+@register("impute_nonfinite")
+def q_impute_nonfinite(spark, sf):
+    s = td.sm(spark, sf)
+    # single-line groups report an infinite price, two-line groups a -inf discount
+    price = F.when(F.col("SM_lines") == 1, F.lit(float("inf"))).otherwise(F.col("SM_price_avg"))
+    disc = F.when(F.col("SM_lines") == 2, F.lit(float("-inf"))).otherwise(F.col("SM_disc_avg"))
+    return s.select("version_id", C.impute(F.col("SM_tax_avg")).alias("tax"),
+                    C.impute(price).alias("price"), C.impute(disc).alias("disc"))
+
+
+@register("version_exclude")
+def q_version_exclude(spark, sf):
+    s = td.sm(spark, sf).select("version_id", "version", "Bug")
+    return P.exclude_value(s, "version", td.FIRST_VERSION)
+
+
+def merged_df(spark, sf):
+    return X.merge_coverage(td.sm(spark, sf), td.coverage(spark, sf), first_version=td.FIRST_VERSION)
+
+
+@register("merge_left")
+def q_merge_left(spark, sf):
+    return merged_df(spark, sf)
+
+
+@register("merge_unmatched")
+def q_merge_unmatched(spark, sf):
+    return P.unmatched_count(merged_df(spark, sf), C.COVERAGE_FEATURES[0])
+
+
+@register("combine_inner")
+def q_combine_inner(spark, sf):
+    return combined_df(spark, sf)
+
+
+@register("union_versions")
+def q_union_versions(spark, sf):
+    cov = td.coverage(spark, sf)
+    # older versions were collected without the METHOD counter
+    old = cov.filter(F.col("version") < "1998").drop("COV_METHOD")
+    new = cov.filter(F.col("version") >= "1998")
+    return P.union_by_name([old, new])
+
+
+@register("top_family_features")
+def q_top_family_features(spark, sf):
+    t = RK.top_family(sm_ranking(spark, sf), "SM_", 3)
+    return t.select("family_rank", "feature", r6(F.col("relevance")).alias("relevance"), "rank")
+
+
+@register("top30_dataset")
+def q_top30_dataset(spark, sf):
+    top = [r["feature"] for r in RK.top_family(sm_ranking(spark, sf), "SM_", 30).collect()]
+    return X.top_n_dataset(td.sm(spark, sf), top, td.SM_METADATA, drop_version=td.FIRST_VERSION)
+
+
+@register("family_counts")
+def q_family_counts(spark, sf):
+    comb = combined_df(spark, sf)
+    feats = C.feature_columns(comb, "Bug")
+    lf = SC.long_form(comb, "version_id", feats)
+    return lf.groupBy(C.family_of(F.col("feature")).alias("family")).agg(
+        F.count_distinct("feature").alias("n_features"), F.count("value").alias("n_values"))
+
+
+# --- scaling -----------------------------------------------------------------
+
+def unit_prepared(spark, sf, remove_outliers=False):
+    return SC.preprocess(td.unit(spark, sf), "Bug", id_col="row_id", remove_outliers=remove_outliers)
+
+
+def _rounded(prep: SC.Prepared):
+    return prep.df.select("row_id", "label", *[r6(C.col(f)).alias(f) for f in prep.features])
+
+
+@register("standardize")
+def q_standardize(spark, sf):
+    return _rounded(unit_prepared(spark, sf))
+
+
+@register("zscore_outliers")
+def q_zscore_outliers(spark, sf):
+    return _rounded(unit_prepared(spark, sf, remove_outliers=True))
+
+
+# --- centers, relevance, rankings, group comparison ------------------------
+
+def unit_scaled_clusters(spark, sf):
+    prep = unit_prepared(spark, sf)
+    cl = unit_clusters(spark, sf).select("row_id", "cluster")
+    return prep, prep.df.join(cl, "row_id")
+
+
+@register("cluster_centers")
+def q_cluster_centers(spark, sf):
+    prep, df = unit_scaled_clusters(spark, sf)
+    c = RK.cluster_centers(df, prep.features, "cluster")
+    return c.select("cluster", "feature", r6(F.col("center")).alias("center"))
+
+
+@register("feature_relevance")
+def q_feature_relevance(spark, sf):
+    prep, df = unit_scaled_clusters(spark, sf)
+    r = RK.feature_relevance(df, prep.features, "cluster")
+    return r.select("rank", "feature", r6(F.col("relevance")).alias("relevance"))
+
+
+def combined_ranking(spark, sf, by: str = "year"):
+    comb = combined_df(spark, sf)
+    prep = SC.preprocess(comb, "Bug", id_col="version_id")
+    cl = year_cluster() if by == "year" else F.col("label")
+    df = prep.df.withColumn("cluster", cl)
+    return RK.feature_relevance(df, prep.features, "cluster", id_col="version_id")
+
+
+def effort_groups(spark, sf):
+    """Feature groups: the 26 common effort names (fixed list) and every
+    column of the effort table except its key (S10 column listing)."""
+    eff = td.effort(spark, sf)
+    rows = [("26_common", f) for f in C.EFFORT_FEATURES_26]
+    rows += [("effort_all", f) for f in eff.columns if f not in ("version_id",) and "Unnamed" not in f]
+    return spark.createDataFrame(rows, "group string, feature string")
+
+
+def group_ranks(spark, sf):
+    return RK.feature_ranks(combined_ranking(spark, sf), effort_groups(spark, sf))
+
+
+@register("feature_ranks")
+def q_feature_ranks(spark, sf):
+    return group_ranks(spark, sf)
+
+
+@register("rank_stats")
+def q_rank_stats(spark, sf):
+    s = RK.rank_stats(group_ranks(spark, sf))
+    return s.select(*[r6(F.col(c)).alias(c) if c.endswith(("pct", "avg_rank")) else F.col(c) for c in s.columns])
+
+
+@register("category_breakdown")
+def q_category_breakdown(spark, sf):
+    b = RK.category_breakdown(group_ranks(spark, sf))
+    return b.select("group", "category", "count", r6(F.col("avg_rank")).alias("avg_rank"), "min_rank", "in_top_100")
+
+
+@register("top20_by_group")
+def q_top20_by_group(spark, sf):
+    return RK.top_found(group_ranks(spark, sf), 20)
+
+
+@register("ranking_overlap")
+def q_ranking_overlap(spark, sf):
+    return RK.ranking_overlap(combined_ranking(spark, sf, "year"), combined_ranking(spark, sf, "label"), [5, 10])
+
+
+@register("category_rollup")
+def q_category_rollup(spark, sf):
+    r = RK.category_rollup(combined_ranking(spark, sf))
+    return r.select("category", "n", "min_rank", "max_rank", r6(F.col("avg_relevance")).alias("avg_relevance"),
+                    "top_feature")
+
+
+@register("category_shares")
+def q_category_shares(spark, sf):
+    return RK.category_shares(combined_ranking(spark, sf), 10)

@@ -56,7 +56,7 @@ def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
         _r6(F.col("qty_avg")).alias("SM_qty_avg"),
         _r6(F.col("qty_std")).alias("SM_qty_std"),
         F.coalesce(F.col("n_lines"), F.lit(0)).cast("double").alias("PMD_lines"),
-        _r6(F.col("disc_avg")).alias("MOSER_disc_avg"),
+        _r6(F.col("disc_avg") * 100).alias("MOSER_disc_avg"),
         F.when(F.col("n_r") / F.col("n_lines") > 0.45, F.col("n_r")).otherwise(F.lit(0)).cast("bigint").alias("Bug"),
     )
 
@@ -109,7 +109,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (version, filename); coverage exists only for >= 2 lines."""
     g = _part_year(spark, sf_dir).groupBy("l_partkey", "yr").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(1 - F.col("l_discount")).alias("ci"),
+        F.avg(F.sqrt("l_quantity")).alias("ci"),
         F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)).alias("cb"),
         F.avg("l_tax").alias("cl"),
         F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)).alias("cc"),
@@ -118,7 +118,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.filter(F.col("n") >= 2).select(
         F.col("yr").cast("string").alias("version"),
         F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("filename"),
-        _r6(F.col("ci")).alias("COV_INSTRUCTION"),
+        _r6(F.col("ci") / 10).alias("COV_INSTRUCTION"),
         _r6(F.col("cb")).alias("COV_BRANCH"),
         _r6(F.col("cl") * 10).alias("COV_LINE"),
         _r6(F.col("cc")).alias("COV_COMPLEXITY"),
@@ -130,9 +130,9 @@ def effort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per version_id; effort exists only when >= 20 units shipped."""
     g = _part_year(spark, sf_dir).groupBy("l_partkey", "yr").agg(
         F.count_distinct("l_suppkey").alias("hcm"),
-        F.count_distinct("l_orderkey").alias("rev"),
+        F.count_distinct(F.month("l_shipdate")).alias("rev"),
         F.sum(F.when(F.col("l_quantity") > 40, 1).otherwise(0)).alias("major"),
-        F.avg("l_extendedprice").alias("price"),
+        F.avg(F.sqrt("l_extendedprice")).alias("price"),
         F.sum(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("abug"),
         F.max("l_discount").alias("maxdisc"),
         F.sum("l_quantity").alias("q"),
@@ -142,7 +142,7 @@ def effort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("hcm").cast("double").alias("HASSAN_hcm"),
         F.col("rev").cast("double").alias("MOSER_revisions"),
         F.col("major").cast("double").alias("PMD_severity_major"),
-        _r6(F.col("price") / 1000).alias("CHANGE_TYPE_data"),
+        _r6(F.col("price")).alias("CHANGE_TYPE_data"),
         F.col("abug").cast("double").alias("ISSUE_major_bug"),
         _r6(F.col("maxdisc") * 100).alias("PMD_rule_type_basic rules"),
     )
