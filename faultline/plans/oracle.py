@@ -210,3 +210,63 @@ FROM crank GROUP BY 1"""
 
 ORACLE["category_shares"] = _CRANK.rstrip().rstrip(",") + f"""
 SELECT {_CAT_COV} AS category, count(*) AS count FROM crank WHERE rank <= 10 GROUP BY 1"""
+
+
+# --- classification ---------------------------------------------------------------
+
+_FOLDS = with_("scores") + """
+, folded AS (SELECT *, CAST((row_number() OVER (ORDER BY y DESC, md5('42:' || CAST(row_id AS VARCHAR))) - 1) % 5
+                    AS INTEGER) AS fold FROM scores)
+"""
+ORACLE["stratified_folds"] = _FOLDS + "SELECT row_id, y, fold FROM folded"
+ORACLE["class_weights"] = _FOLDS + """
+, c AS (SELECT fold, y, count(*) AS n_fc FROM folded GROUP BY fold, y),
+  t AS (SELECT fold, y, n_fc, sum(n_fc) OVER (PARTITION BY y) - n_fc AS n_train_c,
+               sum(n_fc) OVER () - sum(n_fc) OVER (PARTITION BY fold) AS n_train FROM c)
+SELECT fold, y, round(n_train / (2 * n_train_c), 6) AS weight FROM t"""
+
+
+def _fold_metrics_sql(src: str) -> str:
+    return f"""
+  fc_{src} AS (SELECT fold, sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
+                sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
+                sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn, count(*) AS n
+         FROM {src} GROUP BY fold),
+  pr_{src} AS (SELECT fold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+                CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, (tp + fn) / n AS prevalence
+         FROM fc_{src}),
+  fm_{src} AS (SELECT fold, precision, recall,
+                CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+                precision * recall + (1 - recall) * prevalence AS avg_precision FROM pr_{src}),
+  per_{src} AS (SELECT fold, sum(y) AS pos, sum(1 - y) AS neg, score FROM {src} GROUP BY fold, score),
+  run_{src} AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY fold ORDER BY score
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM per_{src}),
+  auc_{src} AS (SELECT fold, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+                 sum(pos * (neg_below + neg / 2.0)) / (sum(pos) * sum(neg)) END AS roc_auc
+                FROM run_{src} GROUP BY fold),
+  lm_{src} AS (SELECT fold, metric, value FROM (SELECT * FROM fm_{src} JOIN auc_{src} USING (fold))
+               UNPIVOT (value FOR metric IN (precision, recall, f1, roc_auc, avg_precision))),
+  sum_{src} AS (SELECT metric, avg(value) AS mean, stddev_pop(value) AS std,
+                list(value ORDER BY fold) AS vals FROM lm_{src} GROUP BY metric)"""
+
+
+ORACLE["fold_metrics"] = _FOLDS + "," + _fold_metrics_sql("folded") + """
+SELECT fold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM fm_folded"""
+ORACLE["hard_ap"] = _FOLDS + "," + _fold_metrics_sql("folded") + \
+    "\nSELECT fold, round(avg_precision, 6) AS avg_precision FROM fm_folded"
+ORACLE["roc_auc"] = _FOLDS + "," + _fold_metrics_sql("folded") + \
+    "\nSELECT fold, round(roc_auc, 6) AS roc_auc FROM auc_folded"
+ORACLE["cv_summary"] = _FOLDS + "," + _fold_metrics_sql("folded") + """
+SELECT metric, round(mean, 6) AS mean, round(std, 6) AS std, list_transform(vals, lambda v: round(v, 6)) AS "values"
+FROM sum_folded"""
+
+_CUTS = (("cut_030", 0.3), ("cut_050", 0.5), ("cut_070", 0.7))
+_BEST = _FOLDS + "".join(
+    f", {n} AS (SELECT row_id, y, score, fold, CAST(score > {c} AS INTEGER) AS pred FROM folded),"
+    + _fold_metrics_sql(n) for n, c in _CUTS)
+ORACLE["best_by_metric"] = _BEST + """
+, allp AS (""" + " UNION ALL ".join(
+    f"SELECT '{n}' AS dataset, {i} AS dataset_idx, metric, round(mean, 6) AS mean, round(std, 6) AS std FROM sum_{n}"
+    for i, (n, _) in enumerate(_CUTS)) + """)
+SELECT dataset, metric, mean, std,
+       row_number() OVER (PARTITION BY metric ORDER BY mean DESC, dataset_idx ASC) = 1 AS is_best FROM allp"""

@@ -286,3 +286,70 @@ def q_category_rollup(spark, sf):
 @register("category_shares")
 def q_category_shares(spark, sf):
     return RK.category_shares(combined_ranking(spark, sf), 10)
+
+
+# --- classification: folds, weights, metrics --------------------------------
+
+from faultline.operators import classify as CL  # noqa: E402
+
+
+def scored_folds(spark, sf):
+    return CL.stratified_folds(td.scores(spark, sf), "y", "row_id", k=5, seed=42)
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf):
+    return scored_folds(spark, sf).select("row_id", "y", "fold")
+
+
+@register("class_weights")
+def q_class_weights(spark, sf):
+    w = CL.class_weights(scored_folds(spark, sf), "y")
+    return w.select("fold", "y", r6(F.col("weight")).alias("weight"))
+
+
+def _r6_all(df, keep=("fold",)):
+    return df.select(*[F.col(c) if c in keep else r6(F.col(c)).alias(c) for c in df.columns])
+
+
+@register("fold_metrics")
+def q_fold_metrics(spark, sf):
+    return _r6_all(CL.fold_metrics(scored_folds(spark, sf)).drop("avg_precision"))
+
+
+@register("hard_ap")
+def q_hard_ap(spark, sf):
+    return _r6_all(CL.fold_metrics(scored_folds(spark, sf)).select("fold", "avg_precision"))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf):
+    return _r6_all(CL.roc_auc(scored_folds(spark, sf)))
+
+
+def _summary_for(folded):
+    per = CL.fold_metrics(folded).join(CL.roc_auc(folded), "fold")
+    return CL.cv_summary(CL.long_metrics(per, list(CL.METRICS)))
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf):
+    s = _summary_for(scored_folds(spark, sf))
+    return s.select("metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"),
+                    F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+
+
+# three "models": hard predictions at three score cuts
+CUTS = (("cut_030", 0.3), ("cut_050", 0.5), ("cut_070", 0.7))
+
+
+@register("best_by_metric")
+def q_best_by_metric(spark, sf):
+    base = scored_folds(spark, sf)
+    parts = []
+    for i, (name, cut) in enumerate(CUTS):
+        f = base.withColumn("pred", (F.col("score") > cut).cast("int"))
+        parts.append(_summary_for(f).select(F.lit(name).alias("dataset"), F.lit(i).alias("dataset_idx"),
+                                            "metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std")))
+    allp = P.union_by_name(parts)
+    return CL.best_by_metric(allp).drop("dataset_idx")
