@@ -270,3 +270,87 @@ ORACLE["best_by_metric"] = _BEST + """
     for i, (n, _) in enumerate(_CUTS)) + """)
 SELECT dataset, metric, mean, std,
        row_number() OVER (PARTITION BY metric ORDER BY mean DESC, dataset_idx ASC) = 1 AS is_best FROM allp"""
+
+
+# --- distances ---------------------------------------------------------------------
+
+_EPS2 = repr(0.12 * 0.12)
+_PTS = with_("part2") + """
+, pts AS (SELECT row_id, x0, x1 FROM part2)
+"""
+_SQD = "((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1))"
+
+ORACLE["k_distance"] = _PTS + f"""
+, d AS (SELECT a.row_id, sqrt({_SQD}) AS dist,
+               row_number() OVER (PARTITION BY a.row_id ORDER BY {_SQD}) AS k
+        FROM pts a JOIN pts b ON true)
+SELECT row_id, round(dist, 6) AS k_distance FROM d WHERE k = 5"""
+
+ORACLE["eps_knee"] = _PTS + f"""
+, s AS (SELECT * FROM pts ORDER BY md5('42:' || CAST(row_id AS VARCHAR)) LIMIT 1000),
+  d AS (SELECT a.row_id, sqrt({_SQD}) AS dist,
+               row_number() OVER (PARTITION BY a.row_id ORDER BY {_SQD}) AS k
+        FROM s a JOIN s b ON true),
+  kd AS (SELECT dist AS kdist, row_number() OVER (ORDER BY dist) - 1 AS i FROM d WHERE k = 5),
+  e AS (SELECT count(*) AS n, min(kdist) AS d0, max(kdist) AS dn FROM kd),
+  c AS (SELECT i, kdist, CASE WHEN sqrt((n - 1) * (n - 1) + (dn - d0) * (dn - d0)) > 0 THEN
+               abs((n - 1) * (d0 - kdist) - (dn - d0) * (0 - i)) / sqrt((n - 1) * (n - 1) + (dn - d0) * (dn - d0))
+               ELSE 0.0 END AS chord, n FROM kd, e),
+  best AS (SELECT kdist AS eps_raw, n FROM c ORDER BY chord DESC, i ASC LIMIT 1)
+SELECT round(CASE WHEN n < 2 OR eps_raw < 0.1 THEN 0.5 ELSE eps_raw END, 6) AS eps,
+       round(eps_raw, 6) AS eps_raw, n AS n_points FROM best"""
+
+_NB = _PTS + f"""
+, nb AS (SELECT a.row_id AS a, b.row_id AS b FROM pts a JOIN pts b ON {_SQD} <= {_EPS2}::DOUBLE)
+"""
+ORACLE["eps_neighbours"] = _NB + "SELECT a AS row_id, count(*) AS n_neighbours FROM nb GROUP BY a"
+
+_DBSCAN = "WITH RECURSIVE " + _NB[len("WITH "):] + """
+, deg AS (SELECT a, count(*) AS n FROM nb GROUP BY a),
+  core AS (SELECT a AS id FROM deg WHERE n >= 5),
+  ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.id JOIN core c2 ON nb.b = c2.id),
+  reach(id, lbl) AS (SELECT id, id FROM core UNION SELECT ce.b, r.lbl FROM reach r JOIN ce ON r.id = ce.a),
+  comp AS (SELECT id, min(lbl) AS root FROM reach GROUP BY id),
+  num AS (SELECT root, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster
+          FROM (SELECT DISTINCT root FROM comp)),
+  corecl AS (SELECT comp.id, num.cluster FROM comp JOIN num USING (root)),
+  border AS (SELECT nb.a AS id, min(cc.cluster) AS cluster FROM nb JOIN corecl cc ON nb.b = cc.id
+             WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+  lab AS (SELECT p.row_id, CAST(coalesce(cc.cluster, b.cluster, -1) AS INTEGER) AS cluster
+          FROM pts p LEFT JOIN corecl cc ON p.row_id = cc.id LEFT JOIN border b ON p.row_id = b.id)
+"""
+ORACLE["dbscan"] = _DBSCAN + "SELECT row_id, cluster FROM lab"
+ORACLE["dbscan_info"] = _DBSCAN + """
+SELECT CAST(count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS INTEGER) AS n_clusters,
+       CAST(sum(CASE WHEN cluster = -1 THEN 1 ELSE 0 END) AS INTEGER) AS n_noise,
+       round(sum(CASE WHEN cluster = -1 THEN 1 ELSE 0 END) / count(*), 6) AS noise_ratio FROM lab"""
+
+_PCL = with_("part2") + """
+, pts AS (SELECT p.row_id, p.x0, p.x1,
+                 CASE WHEN CAST(split_part(q.p_brand, '#', 2) AS INTEGER) >= 24 THEN -1
+                      ELSE CAST(split_part(q.p_brand, '#', 2) AS INTEGER) - 1 END AS cluster
+          FROM part2 p JOIN part q ON p.row_id = q.p_partkey),
+  nn AS (SELECT * FROM pts WHERE cluster >= 0)
+"""
+ORACLE["silhouette"] = _PCL + f"""
+, per AS (SELECT a.row_id, a.cluster AS own, b.cluster AS cl, sum(sqrt({_SQD})) AS s, count(*) AS c
+          FROM nn a JOIN nn b ON true GROUP BY a.row_id, a.cluster, b.cluster),
+  ab AS (SELECT row_id, max(CASE WHEN cl = own THEN c END) AS n_own, max(CASE WHEN cl = own THEN s END) AS s_own,
+                min(CASE WHEN cl <> own THEN s / c END) AS b FROM per GROUP BY row_id),
+  sc AS (SELECT CASE WHEN n_own <= 1 THEN 0.0
+                     WHEN greatest(s_own / (n_own - 1), b) > 0 THEN (b - s_own / (n_own - 1)) / greatest(s_own / (n_own - 1), b)
+                     ELSE 0.0 END AS s FROM ab)
+SELECT round(CASE WHEN (SELECT count(DISTINCT cluster) FROM nn) >= 2 AND (SELECT count(*) FROM nn) >= 2
+                  THEN avg(coalesce(s, 0.0)) END, 6) AS silhouette FROM sc"""
+
+ORACLE["davies_bouldin"] = _PCL + """
+, cen AS (SELECT cluster, avg(x0) AS c0, avg(x1) AS c1 FROM nn GROUP BY cluster),
+  intra AS (SELECT n.cluster, avg(sqrt((n.x0 - c.c0) * (n.x0 - c.c0) + (n.x1 - c.c1) * (n.x1 - c.c1))) AS s
+            FROM nn n JOIN cen c USING (cluster) GROUP BY n.cluster),
+  cc AS (SELECT a.cluster, sqrt((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1)) AS d,
+                ia.s + ib.s AS ss
+         FROM cen a JOIN cen b ON true JOIN intra ia ON ia.cluster = a.cluster JOIN intra ib ON ib.cluster = b.cluster),
+  per AS (SELECT cluster, max(CASE WHEN d = 0 THEN 0.0 ELSE ss / d END) AS r, max(d) AS dmax FROM cc GROUP BY cluster)
+SELECT round(CASE WHEN (SELECT count(*) FROM cen) < 2 THEN NULL
+                  WHEN (SELECT max(abs(s)) FROM intra) <= 1e-8 OR max(dmax) <= 1e-8 THEN 0.0
+                  ELSE avg(r) END, 6) AS davies_bouldin FROM per"""

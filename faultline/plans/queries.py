@@ -353,3 +353,70 @@ def q_best_by_metric(spark, sf):
                                             "metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std")))
     allp = P.union_by_name(parts)
     return CL.best_by_metric(allp).drop("dataset_idx")
+
+
+# --- distances: k-distance, eps knee, epsilon neighbours, DBSCAN, silhouette, DB --
+
+from faultline.operators import dbscan as DB  # noqa: E402
+from faultline.operators import pairwise as PW  # noqa: E402
+
+FIXED_EPS = 0.12
+MIN_SAMPLES = 5
+
+
+def part_points(spark, sf):
+    """(row_id, features[2]) from ``part2``."""
+    return td.part2(spark, sf).select("row_id", F.array("x0", "x1").alias("features"))
+
+
+def part_points_clustered(spark, sf):
+    """part points with the brand cluster (brands 24-25 as noise)."""
+    p = td.table(spark, sf, "part").select("p_partkey", "p_brand")
+    brand_no = F.split(F.col("p_brand"), "#").getItem(1).cast("int")
+    cl = p.select(F.col("p_partkey").alias("row_id"),
+                  F.when(brand_no >= 24, F.lit(-1)).otherwise(brand_no - 1).alias("cluster"))
+    return part_points(spark, sf).join(cl, "row_id")
+
+
+@register("k_distance")
+def q_k_distance(spark, sf):
+    k = PW.kth_neighbour(part_points(spark, sf), MIN_SAMPLES)
+    return k.select("row_id", r6(F.col("k_distance")).alias("k_distance"))
+
+
+@register("eps_knee")
+def q_eps_knee(spark, sf):
+    e = PW.find_eps(part_points(spark, sf), MIN_SAMPLES, 1000)
+    return e.select(r6(F.col("eps")).alias("eps"), r6(F.col("eps_raw")).alias("eps_raw"), "n_points")
+
+
+@register("eps_neighbours")
+def q_eps_neighbours(spark, sf):
+    return PW.neighbour_counts(part_points(spark, sf), FIXED_EPS)
+
+
+def part_dbscan(spark, sf):
+    return DB.dbscan(part_points(spark, sf), FIXED_EPS, MIN_SAMPLES)
+
+
+@register("dbscan")
+def q_dbscan(spark, sf):
+    return part_dbscan(spark, sf).select("row_id", "cluster")
+
+
+@register("dbscan_info")
+def q_dbscan_info(spark, sf):
+    i = quality.cluster_info(part_dbscan(spark, sf))
+    return i.select("n_clusters", "n_noise", r6(F.col("noise_ratio")).alias("noise_ratio"))
+
+
+@register("silhouette")
+def q_silhouette(spark, sf):
+    s = PW.silhouette(part_points_clustered(spark, sf))
+    return s.select(r6(F.col("silhouette")).alias("silhouette"))
+
+
+@register("davies_bouldin")
+def q_davies_bouldin(spark, sf):
+    d = PW.davies_bouldin(part_points_clustered(spark, sf))
+    return d.select(r6(F.col("davies_bouldin")).alias("davies_bouldin"))
