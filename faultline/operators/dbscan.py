@@ -22,10 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.ordering import row_index
-from faultline.operators.pairwise import (DEFAULT_BLOCK_ROWS, as_matrix, eps_blocks, eps_pair_groups, run_groups,
-                                          sq_dists)
-
-GROUP_KEYS = ["__lc", "__ls", "__rc", "__rs"]
+from faultline.operators.pairwise import DEFAULT_BLOCK_ROWS, eps_blocks, eps_pair_groups, pair_apply, sq_dists
 
 
 def _hash_stats(e: DataFrame) -> tuple[int, int]:
@@ -100,30 +97,28 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
     eps2 = float(eps) * float(eps)
 
     # 1. neighbour counts -> core flags
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        l, r = pdf[pdf["__side"] == 0], pdf[pdf["__side"] == 1]
-        if len(l) == 0 or len(r) == 0:
+    def count(lid, lm, rid, rm, valid):
+        if len(lid) == 0:
             return pd.DataFrame({"rid": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
-        within = sq_dists(as_matrix(l["vec"]), as_matrix(r["vec"])) <= eps2
-        return pd.DataFrame({"rid": l["rid"].to_numpy(), "n": within.sum(axis=1).astype("int64")})
+        within = (sq_dists(lm, rm) <= eps2) & valid
+        return pd.DataFrame({"rid": lid.astype("int64"), "n": within.sum(axis=1).astype("int64")})
 
     g = eps_pair_groups(rows, rows, cells, "rid", ["vec"], n_piv)
-    deg = run_groups(g, GROUP_KEYS, count, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n"))
+    deg = pair_apply(g, "rid", count, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n"))
     flags = rows.select("rid").join(deg, "rid", "left") \
         .select("rid", (F.coalesce(F.col("n"), F.lit(0)) >= min_samples).alias("is_core")).checkpoint(eager=True)
     core_rows = rows.join(flags.filter("is_core").select("rid"), "rid", "left_semi")
     other_rows = rows.join(flags.filter(~F.col("is_core")).select("rid"), "rid", "left_semi")
 
-    # 2. core-core adjacency, reduced to local stars inside each block pair
-    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
+    # 2. core-core adjacency, reduced to local stars inside each group
+    def stars(lid, lm, rid, rm, valid):
         empty = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64")})
-        l, r = pdf[pdf["__side"] == 0], pdf[pdf["__side"] == 1]
-        if len(l) == 0 or len(r) == 0:
+        if len(lid) == 0:
             return empty
-        ids = np.unique(np.concatenate([l["rid"].to_numpy(), r["rid"].to_numpy()]))
-        li = np.searchsorted(ids, l["rid"].to_numpy())
-        ri = np.searchsorted(ids, r["rid"].to_numpy())
-        within = sq_dists(as_matrix(l["vec"]), as_matrix(r["vec"])) <= eps2
+        ids = np.unique(np.concatenate([lid, rid]))
+        li = np.searchsorted(ids, lid)
+        ri = np.searchsorted(ids, rid)
+        within = (sq_dists(lm, rm) <= eps2) & valid
         a, b = np.nonzero(within)
         a, b = li[a], ri[b]
         sel = a != b
@@ -131,7 +126,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
         return pd.DataFrame({"src": src.astype("int64"), "dst": dst.astype("int64")})
 
     g2 = eps_pair_groups(core_rows, core_rows, cells, "rid", ["vec"], n_piv)
-    edges = run_groups(g2, GROUP_KEYS, stars, "src long, dst long")
+    edges = pair_apply(g2, "rid", stars, "src long, dst long")
     comp = connected_components(flags.filter("is_core").select(F.col("rid").alias("id")), edges, "id",
                                 max_rounds=max_rounds)
     roots = comp.select(F.col("component").alias("root")).distinct()
@@ -140,17 +135,15 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
         .checkpoint(eager=True)
 
     # 3. border rows: lowest cluster among core neighbours (< min_samples of them)
-    def border(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rid": pd.Series([], dtype="int64"), "nb": pd.Series([], dtype="int64")})
-        l, r = pdf[pdf["__side"] == 0], pdf[pdf["__side"] == 1]
-        if len(l) == 0 or len(r) == 0:
-            return empty
-        within = sq_dists(as_matrix(l["vec"]), as_matrix(r["vec"])) <= eps2
+    def border(lid, lm, rid, rm, valid):
+        if len(lid) == 0:
+            return pd.DataFrame({"rid": pd.Series([], dtype="int64"), "nb": pd.Series([], dtype="int64")})
+        within = (sq_dists(lm, rm) <= eps2) & valid
         a, b = np.nonzero(within)
-        return pd.DataFrame({"rid": l["rid"].to_numpy()[a].astype("int64"), "nb": r["rid"].to_numpy()[b].astype("int64")})
+        return pd.DataFrame({"rid": lid[a].astype("int64"), "nb": rid[b].astype("int64")})
 
     g3 = eps_pair_groups(other_rows, core_rows, cells, "rid", ["vec"], n_piv)
-    pairs = run_groups(g3, GROUP_KEYS, border, "rid long, nb long")
+    pairs = pair_apply(g3, "rid", border, "rid long, nb long")
     bcl = pairs.join(core_cluster.select(F.col("rid").alias("nb"), "cluster"), "nb") \
         .groupBy("rid").agg(F.min("cluster").alias("cluster"))
     labels = flags.join(core_cluster, "rid", "left").join(bcl.withColumnRenamed("cluster", "bcluster"), "rid", "left")

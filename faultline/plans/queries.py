@@ -420,3 +420,45 @@ def q_silhouette(spark, sf):
 def q_davies_bouldin(spark, sf):
     d = PW.davies_bouldin(part_points_clustered(spark, sf))
     return d.select(r6(F.col("davies_bouldin")).alias("davies_bouldin"))
+
+
+# --- models (rows-only checks: statistical parity, no SQL twin) ------------------
+
+from faultline.operators import centroid as CT  # noqa: E402
+
+
+@register("kmeans")
+def q_kmeans(spark, sf):
+    prep = unit_prepared(spark, sf)
+    _, labels, _ = CT.kmeans(prep.df, prep.features, k=2, seed=42, n_init=10, max_iter=300)
+    return labels
+
+
+@register("pca2d")
+def q_pca2d(spark, sf):
+    prep = unit_prepared(spark, sf)
+    df = prep.df.join(unit_clusters(spark, sf).select("row_id", "cluster"), "row_id")
+    out, ratios = CT.pca2d(df, prep.features, extra=["cluster", "label"])
+    return out.withColumn("var_ratio_1", F.lit(ratios[0])).withColumn("var_ratio_2", F.lit(ratios[1]))
+
+
+def _cv(spark, sf, kind):
+    prep = unit_prepared(spark, sf)
+    preds = CL.cross_validate(prep.df.withColumnRenamed("label", "y"), prep.features, kind, "y", "row_id", 5, 42)
+    return _r6_all(CL.cv_metrics(preds))
+
+
+@register("logreg_cv")
+def q_logreg_cv(spark, sf):
+    return _cv(spark, sf, "lr")
+
+
+@register("forest_cv")
+def q_forest_cv(spark, sf):
+    return _cv(spark, sf, "rf")
+
+
+@register("importances")
+def q_importances(spark, sf):
+    prep = unit_prepared(spark, sf)
+    return CL.importances(prep.df.withColumnRenamed("label", "y"), prep.features, "rf", "y", 42)
