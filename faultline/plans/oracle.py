@@ -354,3 +354,22 @@ ORACLE["davies_bouldin"] = _PCL + """
 SELECT round(CASE WHEN (SELECT count(*) FROM cen) < 2 THEN NULL
                   WHEN (SELECT max(abs(s)) FROM intra) <= 1e-8 OR max(dmax) <= 1e-8 THEN 0.0
                   ELSE avg(r) END, 6) AS davies_bouldin FROM per"""
+
+ORACLE["kdist_curve"] = _PTS + f"""
+, d AS (SELECT a.row_id, sqrt({_SQD}) AS dist,
+               row_number() OVER (PARTITION BY a.row_id ORDER BY {_SQD}) AS k
+        FROM pts a JOIN pts b ON true),
+  full_kd AS (SELECT row_id, dist AS k_distance FROM d WHERE k = 5),
+  s AS (SELECT * FROM pts ORDER BY md5('42:' || CAST(row_id AS VARCHAR)) LIMIT 1000),
+  sd AS (SELECT a.row_id, sqrt({_SQD}) AS dist,
+                row_number() OVER (PARTITION BY a.row_id ORDER BY {_SQD}) AS k
+         FROM s a JOIN s b ON true),
+  kd AS (SELECT dist AS kdist, row_number() OVER (ORDER BY dist) - 1 AS i FROM sd WHERE k = 5),
+  e AS (SELECT count(*) AS n, min(kdist) AS d0, max(kdist) AS dn FROM kd),
+  c AS (SELECT i, kdist, CASE WHEN sqrt((n - 1) * (n - 1) + (dn - d0) * (dn - d0)) > 0 THEN
+               abs((n - 1) * (d0 - kdist) - (dn - d0) * (0 - i)) / sqrt((n - 1) * (n - 1) + (dn - d0) * (dn - d0))
+               ELSE 0.0 END AS chord, n FROM kd, e),
+  best AS (SELECT CASE WHEN n < 2 OR kdist < 0.1 THEN 0.5 ELSE kdist END AS eps FROM c ORDER BY chord DESC, i ASC LIMIT 1)
+SELECT row_number() OVER (ORDER BY k_distance, row_id) - 1 AS idx, round(k_distance, 6) AS k_distance,
+       round(k_distance, 9) = round((SELECT eps FROM best), 9) AS is_eps
+FROM full_kd"""

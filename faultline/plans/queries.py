@@ -462,3 +462,52 @@ def q_forest_cv(spark, sf):
 def q_importances(spark, sf):
     prep = unit_prepared(spark, sf)
     return CL.importances(prep.df.withColumnRenamed("label", "y"), prep.features, "rf", "y", 42)
+
+
+# --- pipelines and report tables ---------------------------------------------
+
+from faultline.plans import experiments as EX  # noqa: E402
+
+
+@register("cluster_experiment")
+def q_cluster_experiment(spark, sf):
+    """X7 + R1: DBSCAN with automatic eps on ``unit``, full metrics summary."""
+    res = EX.cluster_experiment(td.unit(spark, sf), "Bug", dataset="unit", algorithm="dbscan")
+    return EX.metrics_summary(res)
+
+
+@register("kdist_curve")
+def q_kdist_curve(spark, sf):
+    """Sorted k-distance curve of all part points, knee eps flagged."""
+    pts = part_points(spark, sf)
+    eps = float(PW.find_eps(pts, MIN_SAMPLES, 1000).first()["eps"])
+    c = EX.k_distance_curve(pts, eps, MIN_SAMPLES)
+    return c.select("idx", r6(F.col("k_distance")).alias("k_distance"), "is_eps")
+
+
+def part_labelled(spark, sf):
+    y = td.unit(spark, sf).select("row_id", (F.col("Bug") > 0).cast("int").alias("y"))
+    return part_points_clustered(spark, sf).join(y, "row_id")
+
+
+def _metric_table(df):
+    parts = [quality.external_metrics(df), quality.risk_metrics(df).drop(
+        "high_risk_clusters", "total_clusters", "files_in_high_risk", "defects_captured", "total_defects"),
+        PW.silhouette(df), PW.davies_bouldin(df)]
+    out = None
+    for d in parts:
+        st = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                                          for c in d.columns])).alias("m")).select("m.metric", "m.value")
+        out = st if out is None else out.unionByName(st)
+    return out
+
+
+@register("experiment_compare")
+def q_experiment_compare(spark, sf):
+    """Brand groups vs DBSCAN clusters of the part points, side by side."""
+    lab = part_labelled(spark, sf)
+    db = part_dbscan(spark, sf).select("row_id", F.col("cluster").alias("db_cluster"))
+    by_db = lab.join(db, "row_id").drop("cluster").withColumnRenamed("db_cluster", "cluster")
+    t = EX.side_by_side(_metric_table(lab), _metric_table(by_db), "brand", "dbscan")
+    return t.select("metric", r6(F.col("brand")).alias("brand"), r6(F.col("dbscan")).alias("dbscan"),
+                    r6(F.col("delta")).alias("delta"), "winner")
