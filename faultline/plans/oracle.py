@@ -373,3 +373,32 @@ ORACLE["kdist_curve"] = _PTS + f"""
 SELECT row_number() OVER (ORDER BY k_distance, row_id) - 1 AS idx, round(k_distance, 6) AS k_distance,
        round(k_distance, 9) = round((SELECT eps FROM best), 9) AS is_eps
 FROM full_kd"""
+
+
+def _unsigned_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)`` so -0.0 prints as 0.0."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "(" + "round(" + _unsigned_zero(sql[j + len(key):k]) + ") + 0.0)")
+        i = k + 1
+
+
+for _k in list(ORACLE):
+    ORACLE[_k] = _unsigned_zero(ORACLE[_k])

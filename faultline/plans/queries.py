@@ -27,7 +27,8 @@ def register(name: str):
 
 
 def r6(c):
-    return F.round(c, 6)
+    """Round to 6 dp; ``+ 0.0`` turns a -0.0 into 0.0 (the oracle does the same)."""
+    return F.round(c, 6) + F.lit(0.0)
 
 
 # --- fixture views -----------------------------------------------------------
@@ -93,7 +94,12 @@ def sm_ranking(spark, sf):
 
 def combined_df(spark, sf, top_n: int = 30):
     top = [r["feature"] for r in RK.top_family(sm_ranking(spark, sf), "SM_", top_n).collect()]  # <= top_n names
-    return X.combined(td.sm(spark, sf), td.coverage(spark, sf), td.effort(spark, sf), top, td.SM_METADATA)
+    # one lineitem aggregate feeds all three inputs; materialised once (it is
+    # parts x years rows, far smaller than lineitem) so the three projections
+    # and the later passes read it instead of re-aggregating lineitem
+    py = td.part_year(spark, sf).checkpoint(eager=True)
+    return X.combined(td.sm(spark, sf, py), td.coverage(spark, sf, py), td.effort(spark, sf, py), top,
+                      td.SM_METADATA)
 
 
 @register("load_clean")
@@ -336,7 +342,7 @@ def _summary_for(folded):
 def q_cv_summary(spark, sf):
     s = _summary_for(scored_folds(spark, sf))
     return s.select("metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"),
-                    F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+                    F.transform("values", lambda v: F.round(v, 6) + F.lit(0.0)).alias("values"))
 
 
 # three "models": hard predictions at three score cuts
