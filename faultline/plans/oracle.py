@@ -375,6 +375,43 @@ SELECT row_number() OVER (ORDER BY k_distance, row_id) - 1 AS idx, round(k_dista
 FROM full_kd"""
 
 
+ORACLE["high_risk_members"] = _UC + """
+, pc AS (SELECT cluster, count(*) AS total, sum(y) AS defective FROM unit_clusters GROUP BY cluster),
+  hi AS (SELECT cluster FROM pc WHERE cluster >= 0
+         AND defective / total > (SELECT avg(CAST(y AS DOUBLE)) FROM unit_clusters))
+SELECT row_id, cluster, y FROM unit_clusters WHERE cluster IN (SELECT cluster FROM hi)"""
+
+ORACLE["ranking_head"] = _CRANK.rstrip().rstrip(",") + """
+SELECT rank, feature, round(relevance, 6) AS relevance FROM crank WHERE rank <= 5"""
+
+_EMB = """WITH e AS (SELECT vec_id AS row_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+                  label AS cluster FROM embeddings),
+  nn AS (SELECT * FROM e WHERE cluster >= 0)
+"""
+ORACLE["silhouette_emb"] = _EMB + """
+, per AS (SELECT a.row_id, a.cluster AS own, b.cluster AS cl, sum(list_distance(a.v, b.v)) AS s, count(*) AS c
+          FROM nn a JOIN nn b ON true GROUP BY a.row_id, a.cluster, b.cluster),
+  ab AS (SELECT row_id, max(CASE WHEN cl = own THEN c END) AS n_own, max(CASE WHEN cl = own THEN s END) AS s_own,
+                min(CASE WHEN cl <> own THEN s / c END) AS b FROM per GROUP BY row_id),
+  sc AS (SELECT CASE WHEN n_own <= 1 THEN 0.0
+                     WHEN greatest(s_own / (n_own - 1), b) > 0 THEN (b - s_own / (n_own - 1)) / greatest(s_own / (n_own - 1), b)
+                     ELSE 0.0 END AS s FROM ab)
+SELECT round(CASE WHEN (SELECT count(DISTINCT cluster) FROM nn) >= 2 AND (SELECT count(*) FROM nn) >= 2
+                  THEN avg(coalesce(s, 0.0)) END, 6) AS silhouette FROM sc"""
+
+ORACLE["davies_bouldin_emb"] = _EMB + """
+, ex AS (SELECT cluster, generate_subscripts(v, 1) AS j, unnest(v) AS x FROM nn),
+  cen AS (SELECT cluster, list(c ORDER BY j) AS c FROM (SELECT cluster, j, avg(x) AS c FROM ex GROUP BY cluster, j)
+          GROUP BY cluster),
+  intra AS (SELECT n.cluster, avg(list_distance(n.v, c.c)) AS s FROM nn n JOIN cen c USING (cluster) GROUP BY n.cluster),
+  cc AS (SELECT a.cluster, list_distance(a.c, b.c) AS d, ia.s + ib.s AS ss
+         FROM cen a JOIN cen b ON true JOIN intra ia ON ia.cluster = a.cluster JOIN intra ib ON ib.cluster = b.cluster),
+  per AS (SELECT cluster, max(CASE WHEN d = 0 THEN 0.0 ELSE ss / d END) AS r, max(d) AS dmax FROM cc GROUP BY cluster)
+SELECT round(CASE WHEN (SELECT count(*) FROM cen) < 2 THEN NULL
+                  WHEN (SELECT max(abs(s)) FROM intra) <= 1e-8 OR max(dmax) <= 1e-8 THEN 0.0
+                  ELSE avg(r) END, 6) AS davies_bouldin FROM per"""
+
+
 def _unsigned_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0.0)`` so -0.0 prints as 0.0."""
     out, i, key = [], 0, "round("

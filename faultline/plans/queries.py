@@ -517,3 +517,40 @@ def q_experiment_compare(spark, sf):
     t = EX.side_by_side(_metric_table(lab), _metric_table(by_db), "brand", "dbscan")
     return t.select("metric", r6(F.col("brand")).alias("brand"), r6(F.col("dbscan")).alias("dbscan"),
                     r6(F.col("delta")).alias("delta"), "winner")
+
+
+@register("high_risk_members")
+def q_high_risk_members(spark, sf):
+    return quality.high_risk_members(unit_clusters(spark, sf))
+
+
+@register("ranking_head")
+def q_ranking_head(spark, sf):
+    """The first 5 rows of the combined-table ranking."""
+    h = RK.head(combined_ranking(spark, sf), 5)
+    return h.select("rank", "feature", r6(F.col("relevance")).alias("relevance"))
+
+
+def emb_points(spark, sf):
+    return td.emb(spark, sf).select("row_id", "features", F.col("label").alias("cluster"))
+
+
+@register("silhouette_emb")
+def q_silhouette_emb(spark, sf):
+    """A8 on 64-d embedding vectors grouped by their label."""
+    return PW.silhouette(emb_points(spark, sf)).select(r6(F.col("silhouette")).alias("silhouette"))
+
+
+@register("davies_bouldin_emb")
+def q_davies_bouldin_emb(spark, sf):
+    return PW.davies_bouldin(emb_points(spark, sf)).select(r6(F.col("davies_bouldin")).alias("davies_bouldin"))
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    """Logistic regression CV on two datasets, metric x dataset
+    matrix with the best dataset marked."""
+    unit_res = EX.classify_experiment(td.unit(spark, sf).drop("grp"), "Bug", "unit", "lr")
+    sm_res = EX.classify_experiment(td.sm(spark, sf).drop("id"), "Bug", "sm", "lr", id_col="version_id")
+    mat, _ = EX.compare_all([unit_res, sm_res])
+    return mat.select("dataset", "metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "is_best")
