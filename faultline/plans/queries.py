@@ -144,7 +144,8 @@ def q_version_exclude(spark, sf):
 
 
 def merged_df(spark, sf):
-    return X.merge_coverage(td.sm(spark, sf), td.coverage(spark, sf), first_version=td.FIRST_VERSION)
+    py = td.part_year(spark, sf).checkpoint(eager=True)  # one lineitem aggregate for both inputs
+    return X.merge_coverage(td.sm(spark, sf, py), td.coverage(spark, sf, py), first_version=td.FIRST_VERSION)
 
 
 @register("merge_left")
