@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.ordering import row_index
 from faultline.operators.pairwise import DEFAULT_BLOCK_ROWS, eps_blocks, eps_pair_groups, pair_apply, sq_dists
+from faultline.session import materialize
 
 
 def _hash_stats(e: DataFrame) -> tuple[int, int]:
@@ -35,13 +36,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
     """(id, component) with component = smallest id of the connected component.
 
     Alternating large-star / small-star (Kiveris et al., 2014). Each round
-    is two grouped aggregates and two joins; the edge set is checkpointed to
-    ``spark.checkpoint.dir`` every round, so lineage stays one round long and
+    is two grouped aggregates and two joins; the edge set is written to
+    ``spark.checkpoint.dir`` every round (``session.materialize``), so lineage stays one round long and
     lost executors recompute at most one round. Stops when a round leaves
     the edge set unchanged; more than ``max_rounds`` rounds is an error.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")) \
-        .filter(F.col("u") != F.col("v")).distinct().checkpoint(eager=True)
+        .filter(F.col("u") != F.col("v")).distinct().transform(materialize)
     stats = _hash_stats(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -52,7 +53,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
         small = large.join(m2, "u").select(F.col("v").alias("a"), F.col("m").alias("b")) \
             .unionByName(m2.select(F.col("u").alias("a"), F.col("m").alias("b")))
         new = small.filter(F.col("a") != F.col("b")) \
-            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint(eager=True)
+            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().transform(materialize)
         new_stats = _hash_stats(new)
         if new_stats == stats:
             e = new
@@ -92,8 +93,8 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
     n_piv = n_pivots if n_pivots is not None else min(3, max(1, dim))
     base = df.select(F.col(id_col).cast("long").alias("rid"), F.col(vec).alias("vec"))
     rows, cells = eps_blocks(base, "rid", "vec", eps, n_piv, block_rows)
-    rows = rows.checkpoint(eager=True)      # reused by three passes
-    cells = cells.checkpoint(eager=True)
+    rows = rows.transform(materialize)      # reused by three passes
+    cells = cells.transform(materialize)
     eps2 = float(eps) * float(eps)
 
     # 1. neighbour counts -> core flags
@@ -106,7 +107,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
     g = eps_pair_groups(rows, rows, cells, "rid", ["vec"], n_piv)
     deg = pair_apply(g, "rid", count, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n"))
     flags = rows.select("rid").join(deg, "rid", "left") \
-        .select("rid", (F.coalesce(F.col("n"), F.lit(0)) >= min_samples).alias("is_core")).checkpoint(eager=True)
+        .select("rid", (F.coalesce(F.col("n"), F.lit(0)) >= min_samples).alias("is_core")).transform(materialize)
     core_rows = rows.join(flags.filter("is_core").select("rid"), "rid", "left_semi")
     other_rows = rows.join(flags.filter(~F.col("is_core")).select("rid"), "rid", "left_semi")
 
@@ -132,7 +133,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
     roots = comp.select(F.col("component").alias("root")).distinct()
     numbered = row_index(roots, ["root"], "cluster")
     core_cluster = comp.join(numbered, comp.component == numbered.root).select(F.col("id").alias("rid"), "cluster") \
-        .checkpoint(eager=True)
+        .transform(materialize)
 
     # 3. border rows: lowest cluster among core neighbours (< min_samples of them)
     def border(lid, lm, rid, rm, valid):

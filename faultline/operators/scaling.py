@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.columns import binarize, col, feature_columns, impute
+from faultline.session import materialize
 
 
 @dataclass
@@ -100,15 +101,15 @@ def preprocess(
     remove_outliers: bool = False,
     z: float = 3.0,
     features: Sequence[str] | None = None,
-    materialize: bool = True,
+    persist_input: bool = True,
 ) -> Prepared:
     """M1: select numeric features, binarise the label, impute, standardise,
     optionally drop outliers (after scaling; the scaler is not refit).
 
     Statistics are fit on all rows, as in the reference. With
-    ``materialize`` the imputed matrix is written once as a reliable
-    checkpoint (``spark.checkpoint.dir``): the statistics pass and every
-    later use read it instead of re-running the upstream plan.
+    ``persist_input`` the imputed matrix is written once as Parquet under
+    ``spark.checkpoint.dir`` (``session.materialize``): the statistics pass
+    and every later use read it instead of re-running the upstream plan.
     """
     feats = list(features) if features is not None else [c for c in feature_columns(df, label) if c != id_col]
     names = [str((feature_name_map or {}).get(f, f)) for f in feats]
@@ -117,8 +118,8 @@ def preprocess(
         binarize(label).alias("label"),
         *[impute(col(f)).alias(f) for f in feats],
     )
-    if materialize:
-        base = base.checkpoint(eager=True)
+    if persist_input:
+        base = materialize(base)
     scaled, means, stds = standardize(base, feats, keep=[id_col, "label"])
     if remove_outliers:
         scaled = drop_outliers(scaled, feats, z)

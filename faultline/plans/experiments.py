@@ -2,7 +2,7 @@
 
 Each pipeline returns DataFrames (plus a few driver-side scalars such as the
 chosen eps); writing them is the caller's choice (``sources.sinks``). The
-scaled matrix is checkpointed once and shared by every downstream job.
+scaled matrix is materialised once and shared by every downstream job.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from faultline.operators import ranking as RK
 from faultline.operators.centroid import kmeans, pca2d
 from faultline.operators.ordering import row_index
 from faultline.operators.scaling import Prepared, preprocess
+from faultline.session import materialize
 
 # --- fixed values: defaults of the reference's experiments --------------------
 KMEANS_DEFAULTS = {"n_clusters": 2, "random_state": 42, "n_init": 10, "max_iter": 300}
@@ -60,7 +61,7 @@ def cluster_experiment(df: DataFrame, label: str, dataset: str = "dataset", algo
     seed = KMEANS_DEFAULTS["random_state"] if seed is None else seed
     z = z or PREPROCESSING_DEFAULTS["outlier_z_threshold"]
     prep = preprocess(df, label, id_col=id_col, feature_name_map=feature_name_map, remove_outliers=remove_outliers, z=z)
-    vec = prep.vectors().checkpoint(eager=True)  # shared by every pass below
+    vec = prep.vectors().transform(materialize)  # shared by every pass below
     params: dict = {}
     centers = None
     info = None
@@ -78,7 +79,7 @@ def cluster_experiment(df: DataFrame, label: str, dataset: str = "dataset", algo
         params = {"n_clusters": n_clusters}
     else:
         raise ValueError(f"Unknown algorithm: {algorithm}")
-    labelled = vec.join(labels, id_col).withColumnRenamed("label", "y").checkpoint(eager=True)
+    labelled = vec.join(labels, id_col).withColumnRenamed("label", "y").transform(materialize)
     stats = QL.cluster_stats(labelled, "cluster", "y")
     prediction = QL.risk_metrics(labelled, "cluster", "y")
     external = QL.external_metrics(labelled, "cluster", "y")

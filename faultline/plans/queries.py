@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators import quality
+from faultline.session import materialize
 from faultline.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +98,7 @@ def combined_df(spark, sf, top_n: int = 30):
     # one lineitem aggregate feeds all three inputs; materialised once (it is
     # parts x years rows, far smaller than lineitem) so the three projections
     # and the later passes read it instead of re-aggregating lineitem
-    py = td.part_year(spark, sf).checkpoint(eager=True)
+    py = td.part_year(spark, sf).transform(materialize)
     return X.combined(td.sm(spark, sf, py), td.coverage(spark, sf, py), td.effort(spark, sf, py), top,
                       td.SM_METADATA)
 
@@ -144,7 +145,7 @@ def q_version_exclude(spark, sf):
 
 
 def merged_df(spark, sf):
-    py = td.part_year(spark, sf).checkpoint(eager=True)  # one lineitem aggregate for both inputs
+    py = td.part_year(spark, sf).transform(materialize)  # one lineitem aggregate for both inputs
     return X.merge_coverage(td.sm(spark, sf, py), td.coverage(spark, sf, py), first_version=td.FIRST_VERSION)
 
 

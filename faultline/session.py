@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Iterative operators (connected components) cut lineage with reliable
 # checkpoints. On a cluster ``spark.checkpoint.dir`` must name a shared
@@ -50,3 +51,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="faultline-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df: DataFrame, how: str = "parquet") -> DataFrame:
+    """Cut lineage: write ``df`` once under the session's checkpoint folder
+    and read it back (``how="parquet"``), or use a reliable RDD checkpoint
+    (``how="checkpoint"``).
+
+    The Parquet form computes the plan exactly once, stores it columnar and
+    compressed, and keeps column statistics for later pruning. The folder is
+    the shared ``spark.checkpoint.dir`` (never a machine-local temp folder on
+    a cluster), so a lost executor re-reads the files instead of recomputing.
+    """
+    spark = df.sparkSession
+    if how == "checkpoint":
+        return df.checkpoint(eager=True)
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/faultline-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
