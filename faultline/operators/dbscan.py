@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.ordering import row_index
-from faultline.operators.pairwise import DEFAULT_BLOCK_ROWS, eps_blocks, eps_pair_groups, pair_apply, sq_dists
+from faultline.operators.pairwise import DEFAULT_BLOCK_ROWS, eps_blocks, eps_pair_groups, pair_apply
 from faultline.session import materialize
 
 
@@ -94,40 +94,32 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
     base = df.select(F.col(id_col).cast("long").alias("rid"), F.col(vec).alias("vec"))
     rows, cells = eps_blocks(base, "rid", "vec", eps, n_piv, block_rows)
     rows = rows.transform(materialize)      # reused by three passes
+    n_rows = rows.count()                   # sizes the pair groups (cheap: reads the written rows)
+    est = 2 * n_rows * 3 ** n_piv
     cells = cells.transform(materialize)
-    eps2 = float(eps) * float(eps)
 
     # 1. neighbour counts -> core flags
-    def count(lid, lm, rid, rm, valid):
-        if len(lid) == 0:
-            return pd.DataFrame({"rid": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
-        within = (sq_dists(lm, rm) <= eps2) & valid
-        return pd.DataFrame({"rid": lid.astype("int64"), "n": within.sum(axis=1).astype("int64")})
+    def count(lid, rid, ii, jj):
+        return pd.DataFrame({"rid": lid.astype("int64"), "n": np.bincount(ii, minlength=len(lid)).astype("int64")})
 
     g = eps_pair_groups(rows, rows, cells, "rid", ["vec"], n_piv)
-    deg = pair_apply(g, "rid", count, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n"))
+    deg = pair_apply(g, "rid", "vec", eps, count, "rid long, n long", est_rows=est).groupBy("rid").agg(F.sum("n").alias("n"))
     flags = rows.select("rid").join(deg, "rid", "left") \
         .select("rid", (F.coalesce(F.col("n"), F.lit(0)) >= min_samples).alias("is_core")).transform(materialize)
     core_rows = rows.join(flags.filter("is_core").select("rid"), "rid", "left_semi")
     other_rows = rows.join(flags.filter(~F.col("is_core")).select("rid"), "rid", "left_semi")
 
     # 2. core-core adjacency, reduced to local stars inside each group
-    def stars(lid, lm, rid, rm, valid):
-        empty = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64")})
-        if len(lid) == 0:
-            return empty
+    def stars(lid, rid, ii, jj):
         ids = np.unique(np.concatenate([lid, rid]))
-        li = np.searchsorted(ids, lid)
-        ri = np.searchsorted(ids, rid)
-        within = (sq_dists(lm, rm) <= eps2) & valid
-        a, b = np.nonzero(within)
-        a, b = li[a], ri[b]
+        a = np.searchsorted(ids, lid[ii])
+        b = np.searchsorted(ids, rid[jj])
         sel = a != b
         src, dst = _local_stars(ids, (a[sel], b[sel]))
         return pd.DataFrame({"src": src.astype("int64"), "dst": dst.astype("int64")})
 
     g2 = eps_pair_groups(core_rows, core_rows, cells, "rid", ["vec"], n_piv)
-    edges = pair_apply(g2, "rid", stars, "src long, dst long")
+    edges = pair_apply(g2, "rid", "vec", eps, stars, "src long, dst long", est_rows=est)
     comp = connected_components(flags.filter("is_core").select(F.col("rid").alias("id")), edges, "id",
                                 max_rounds=max_rounds)
     roots = comp.select(F.col("component").alias("root")).distinct()
@@ -136,15 +128,11 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
         .transform(materialize)
 
     # 3. border rows: lowest cluster among core neighbours (< min_samples of them)
-    def border(lid, lm, rid, rm, valid):
-        if len(lid) == 0:
-            return pd.DataFrame({"rid": pd.Series([], dtype="int64"), "nb": pd.Series([], dtype="int64")})
-        within = (sq_dists(lm, rm) <= eps2) & valid
-        a, b = np.nonzero(within)
-        return pd.DataFrame({"rid": lid[a].astype("int64"), "nb": rid[b].astype("int64")})
+    def border(lid, rid, ii, jj):
+        return pd.DataFrame({"rid": lid[ii].astype("int64"), "nb": rid[jj].astype("int64")})
 
     g3 = eps_pair_groups(other_rows, core_rows, cells, "rid", ["vec"], n_piv)
-    pairs = pair_apply(g3, "rid", border, "rid long, nb long")
+    pairs = pair_apply(g3, "rid", "vec", eps, border, "rid long, nb long", est_rows=est)
     bcl = pairs.join(core_cluster.select(F.col("rid").alias("nb"), "cluster"), "nb") \
         .groupBy("rid").agg(F.min("cluster").alias("cluster"))
     labels = flags.join(core_cluster, "rid", "left").join(bcl.withColumnRenamed("cluster", "bcluster"), "rid", "left")

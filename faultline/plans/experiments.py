@@ -18,7 +18,7 @@ from faultline.operators import dbscan as DB
 from faultline.operators import pairwise as PW
 from faultline.operators import quality as QL
 from faultline.operators import ranking as RK
-from faultline.operators.centroid import kmeans, pca2d
+from faultline.operators.centroid import kmeans_batched, pca2d
 from faultline.operators.ordering import row_index
 from faultline.operators.scaling import Prepared, preprocess
 from faultline.session import materialize
@@ -73,7 +73,7 @@ def cluster_experiment(df: DataFrame, label: str, dataset: str = "dataset", algo
         info = QL.cluster_info(labels)
         params = {"eps": eps, "auto_eps": auto, "min_samples": min_samples}
     elif algorithm == "kmeans":
-        _, labels, centers = kmeans(prep.df, prep.features, k=n_clusters, seed=seed,
+        _, labels, centers = kmeans_batched(prep.df, prep.features, k=n_clusters, seed=seed,
                                     n_init=KMEANS_DEFAULTS["n_init"], max_iter=KMEANS_DEFAULTS["max_iter"],
                                     id_col=id_col)
         params = {"n_clusters": n_clusters}

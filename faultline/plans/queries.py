@@ -85,22 +85,22 @@ def year_cluster(version_id: str = "version_id"):
     return F.substring(F.col(version_id), 1, 4).cast("int") - int(td.FIRST_VERSION)
 
 
-def sm_ranking(spark, sf):
+def sm_ranking(spark, sf, sm_df=None):
     """A4 ranking of the ``sm`` SM_* features, clusters = ship year."""
-    s = td.sm(spark, sf)
+    s = sm_df if sm_df is not None else td.sm(spark, sf)
     prep = SC.preprocess(s, "Bug", id_col="version_id")
     df = prep.df.withColumn("cluster", year_cluster())
     return RK.feature_relevance(df, prep.features, "cluster", id_col="version_id")
 
 
 def combined_df(spark, sf, top_n: int = 30):
-    top = [r["feature"] for r in RK.top_family(sm_ranking(spark, sf), "SM_", top_n).collect()]  # <= top_n names
-    # one lineitem aggregate feeds all three inputs; materialised once (it is
-    # parts x years rows, far smaller than lineitem) so the three projections
-    # and the later passes read it instead of re-aggregating lineitem
+    # one lineitem aggregate feeds all three inputs and the SM ranking;
+    # materialised once (it is parts x years rows, far smaller than lineitem)
+    # so the projections and the later passes read it instead of re-aggregating
     py = td.part_year(spark, sf).transform(materialize)
-    return X.combined(td.sm(spark, sf, py), td.coverage(spark, sf, py), td.effort(spark, sf, py), top,
-                      td.SM_METADATA)
+    sm_df = td.sm(spark, sf, py)
+    top = [r["feature"] for r in RK.top_family(sm_ranking(spark, sf, sm_df), "SM_", top_n).collect()]  # <= top_n
+    return X.combined(sm_df, td.coverage(spark, sf, py), td.effort(spark, sf, py), top, td.SM_METADATA)
 
 
 @register("load_clean")
@@ -438,7 +438,7 @@ from faultline.operators import centroid as CT  # noqa: E402
 @register("kmeans")
 def q_kmeans(spark, sf):
     prep = unit_prepared(spark, sf)
-    _, labels, _ = CT.kmeans(prep.df, prep.features, k=2, seed=42, n_init=10, max_iter=300)
+    _, labels, _ = CT.kmeans_batched(prep.df, prep.features, k=2, seed=42, n_init=10, max_iter=300)
     return labels
 
 

@@ -85,3 +85,17 @@ def test_category_rollup(spark):
     rk = ranking(spark, ["SM_a", "COV_b", "SM_c"])
     r = {x.category: x for x in RK.category_rollup(rk).collect()}
     assert r["SM"].n == 2 and r["SM"].top_feature == "SM_a" and r["COV"].max_rank == 2
+
+
+def test_kmeans_batched_separates_blobs(spark):
+    import numpy as np
+    from faultline.operators.centroid import kmeans_batched
+    rng = np.random.default_rng(1)
+    pts = np.concatenate([rng.normal(c, 0.1, size=(40, 2)) for c in ([0, 0], [5, 5], [0, 5])])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "row_id long, x double, y double")
+    info, labels, centers = kmeans_batched(df, ["x", "y"], k=3, seed=42, n_init=4)
+    lab = {r.row_id: r.cluster for r in labels.collect()}
+    groups = [{lab[i] for i in range(g * 40, g * 40 + 40)} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    assert info["inertia"] < 120 * 0.05
+    assert centers.count() == 6
