@@ -100,9 +100,11 @@ def cluster_experiment(df: DataFrame, label: str, dataset: str = "dataset", algo
                          ranking, {"labelled": labelled})
 
 
-def metrics_summary(res: ClusterResult) -> DataFrame:
+def metrics_summary(res: ClusterResult, drop_null: bool = True) -> DataFrame:
     """(section, metric, value) rows of one clustering run, then one
-    row per cluster with its rate and risk marker."""
+    row per cluster with its rate and risk marker. F10: metrics that are
+    undefined for the run (NULL, e.g. silhouette with one cluster) are left
+    out unless ``drop_null=False``."""
     lab = res.extra["labelled"]
     head = lab.agg(F.count(F.lit(1)).cast("double").alias("n_samples"),
                    F.sum("y").cast("double").alias("n_defective"),
@@ -123,6 +125,8 @@ def metrics_summary(res: ClusterResult) -> DataFrame:
             F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m")) \
             .select(F.lit(section).alias("section"), "m.metric", "m.value")
         out = st if out is None else out.unionByName(st)
+    if drop_null:
+        out = out.filter(F.col("value").isNotNull())
     clusters = res.stats.select(F.lit("clusters").alias("section"),
                                 F.concat("cluster_name", F.lit(" ["), "risk", F.lit("]")).alias("metric"),
                                 F.col("defect_rate").alias("value"))

@@ -145,7 +145,7 @@ def q_version_exclude(spark, sf):
 
 
 def merged_df(spark, sf):
-    py = td.part_year(spark, sf).transform(materialize)  # one lineitem aggregate for both inputs
+    py = td.part_year(spark, sf, ("sm", "coverage")).transform(materialize)  # one lineitem aggregate, both inputs
     return X.merge_coverage(td.sm(spark, sf, py), td.coverage(spark, sf, py), first_version=td.FIRST_VERSION)
 
 

@@ -72,36 +72,46 @@ EFFORT_FIXTURE = [
 FIRST_VERSION = "1995"
 
 
-def part_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (part, ship year) measure the sm / coverage / effort stand-ins
-    need, from ONE scan and ONE shuffle of lineitem. The three fixtures are
-    projections of this aggregate, so a plan that uses several of them
-    reuses the same exchange instead of re-aggregating lineitem."""
+_MEASURES = {
+    "n_lines": lambda: F.count(F.lit(1)),
+    "qty_sum": lambda: F.sum("l_quantity"),
+    "price_avg": lambda: F.avg("l_extendedprice"),
+    "disc_avg": lambda: F.avg("l_discount"),
+    "tax_avg": lambda: F.avg("l_tax"),
+    "bug": lambda: F.sum(F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.095), 1).otherwise(0)),
+    "ci": lambda: F.avg(F.sqrt("l_quantity")),
+    "cb": lambda: F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)),
+    "cc": lambda: F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)),
+    "cm": lambda: F.avg("l_quantity"),
+    "hcm": lambda: F.count_distinct("l_suppkey"),
+    "rev": lambda: F.count_distinct(F.month("l_shipdate")),
+    "major": lambda: F.sum(F.when(F.col("l_quantity") > 40, 1).otherwise(0)),
+    "price_sqrt": lambda: F.avg(F.sqrt("l_extendedprice")),
+    "abug": lambda: F.sum(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)),
+    "maxdisc": lambda: F.max("l_discount"),
+}
+_NEEDS = {
+    "sm": ["n_lines", "qty_sum", "price_avg", "disc_avg", "tax_avg", "bug"],
+    "coverage": ["n_lines", "ci", "cb", "tax_avg", "cc", "cm"],
+    "effort": ["qty_sum", "hcm", "rev", "major", "price_sqrt", "abug", "maxdisc"],
+}
+
+
+def part_year(spark: SparkSession, sf_dir: str, parts=("sm", "coverage", "effort")) -> DataFrame:
+    """The (part, ship year) measures the requested stand-ins need, from ONE
+    scan and ONE shuffle of lineitem. sm / coverage / effort are projections
+    of this aggregate; a caller that needs several of them materialises it
+    once instead of aggregating lineitem several times. Only the measures of
+    the requested ``parts`` are computed (the distinct counts only for effort)."""
+    names = list(dict.fromkeys(m for p in parts for m in _NEEDS[p]))
     li = table(spark, sf_dir, "lineitem").withColumn("yr", F.year("l_shipdate"))
-    return li.groupBy("l_partkey", "yr").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum("l_quantity").alias("qty_sum"),
-        F.avg("l_extendedprice").alias("price_avg"),
-        F.avg("l_discount").alias("disc_avg"),
-        F.avg("l_tax").alias("tax_avg"),
-        F.sum(F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.095), 1).otherwise(0)).alias("bug"),
-        F.avg(F.sqrt("l_quantity")).alias("ci"),
-        F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)).alias("cb"),
-        F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)).alias("cc"),
-        F.avg("l_quantity").alias("cm"),
-        F.count_distinct("l_suppkey").alias("hcm"),
-        F.count_distinct(F.month("l_shipdate")).alias("rev"),
-        F.sum(F.when(F.col("l_quantity") > 40, 1).otherwise(0)).alias("major"),
-        F.avg(F.sqrt("l_extendedprice")).alias("price_sqrt"),
-        F.sum(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("abug"),
-        F.max("l_discount").alias("maxdisc"),
-    )
+    return li.groupBy("l_partkey", "yr").agg(*[_MEASURES[m]().alias(m) for m in names])
 
 
 def sm(spark: SparkSession, sf_dir: str, py: DataFrame | None = None) -> DataFrame:
     """One row per (ship year, part). Version is missing for size-50 parts,
     SM_tax_avg is missing for PROMO parts (null rules need real nulls)."""
-    g = py if py is not None else part_year(spark, sf_dir)
+    g = py if py is not None else part_year(spark, sf_dir, ("sm",))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
     j = g.join(part, g.l_partkey == part.p_partkey, "inner")
     yr = F.col("yr").cast("string")
@@ -122,7 +132,7 @@ def sm(spark: SparkSession, sf_dir: str, py: DataFrame | None = None) -> DataFra
 
 def coverage(spark: SparkSession, sf_dir: str, py: DataFrame | None = None) -> DataFrame:
     """One row per (version, filename); coverage exists only for >= 2 lines."""
-    g = py if py is not None else part_year(spark, sf_dir)
+    g = py if py is not None else part_year(spark, sf_dir, ("coverage",))
     return g.filter(F.col("n_lines") >= 2).select(
         F.col("yr").cast("string").alias("version"),
         F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("filename"),
@@ -136,7 +146,7 @@ def coverage(spark: SparkSession, sf_dir: str, py: DataFrame | None = None) -> D
 
 def effort(spark: SparkSession, sf_dir: str, py: DataFrame | None = None) -> DataFrame:
     """One row per version_id; effort exists only when >= 20 units shipped."""
-    g = py if py is not None else part_year(spark, sf_dir)
+    g = py if py is not None else part_year(spark, sf_dir, ("effort",))
     return g.filter(F.col("qty_sum") >= 20).select(
         F.concat(F.col("yr").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("version_id"),
         F.col("hcm").cast("double").alias("HASSAN_hcm"),
