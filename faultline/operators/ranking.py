@@ -57,14 +57,14 @@ def feature_relevance(df: DataFrame, features: Sequence[str], cluster: str = "cl
 def rank_features(rel: DataFrame) -> DataFrame:
     """rank = position after a relevance-descending sort, ties by feature_idx."""
     w = Window.orderBy(F.col("relevance").desc(), F.col("feature_idx").asc())  # feature grain
-    return rel.select(F.row_number().over(w).alias("rank"), "feature", "relevance", "feature_idx")
+    return rel.select(F.row_number().over(w).cast("long").alias("rank"), "feature", "relevance", "feature_idx")
 
 
 def top_family(ranking: DataFrame, prefix: str = "SM_", n: int = 30) -> DataFrame:
     """Top-N features of a family by relevance (stable: ties keep rank order)."""
     fam = ranking.filter(F.col("feature").startswith(prefix))
     w = Window.orderBy(F.col("relevance").desc(), F.col("rank").asc())
-    return fam.select(F.row_number().over(w).alias("family_rank"), "feature", "relevance", "rank") \
+    return fam.select(F.row_number().over(w).cast("long").alias("family_rank"), "feature", "relevance", "rank") \
         .filter(F.col("family_rank") <= n)
 
 
@@ -127,7 +127,7 @@ def top_found(ranks: DataFrame, n: int = 20) -> DataFrame:
     """T4: the N best-ranked found features of each group, with category."""
     w = Window.partitionBy("group").orderBy(F.col("rank").asc(), F.col("feature").asc())
     found = ranks.filter(F.col("rank").isNotNull())
-    return found.select("group", F.row_number().over(w).alias("pos"), "feature", "rank",
+    return found.select("group", F.row_number().over(w).cast("long").alias("pos"), "feature", "rank",
                         feature_category(F.col("feature")).alias("category")).filter(F.col("pos") <= n)
 
 

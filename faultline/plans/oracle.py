@@ -9,7 +9,7 @@ ORACLE: dict[str, str] = {}
 _UC = with_("unit", "unit_clusters")
 
 ORACLE["cluster_stats"] = _UC + """
-, pc AS (SELECT cluster, count(*) AS total, sum(y) AS defective FROM unit_clusters GROUP BY cluster)
+, pc AS (SELECT cluster, count(*) AS total, CAST(sum(y) AS BIGINT) AS defective FROM unit_clusters GROUP BY cluster)
 SELECT cluster,
        CASE WHEN cluster = -1 THEN 'noise' ELSE 'cluster_' || CAST(cluster AS VARCHAR) END AS cluster_name,
        total, defective,
@@ -19,7 +19,7 @@ SELECT cluster,
 FROM pc"""
 
 ORACLE["risk_metrics"] = _UC + """
-, pc AS (SELECT cluster, count(*) AS total, sum(y) AS defective FROM unit_clusters
+, pc AS (SELECT cluster, count(*) AS total, CAST(sum(y) AS BIGINT) AS defective FROM unit_clusters
          WHERE cluster >= 0 GROUP BY cluster),
   fl AS (SELECT *, defective / total > (SELECT avg(CAST(y AS DOUBLE)) FROM unit_clusters) AS hi FROM pc),
   a AS (SELECT sum(CASE WHEN hi THEN 1 ELSE 0 END) AS hrc, count(*) AS tc,
@@ -55,7 +55,7 @@ SELECT round(CASE WHEN n >= 2 THEN h END, 6) AS homogeneity,
 FROM hcv"""
 
 ORACLE["high_rate_groups"] = _UC + """
-, pc AS (SELECT cluster, count(*) AS total, sum(y) AS defective FROM unit_clusters GROUP BY cluster)
+, pc AS (SELECT cluster, count(*) AS total, CAST(sum(y) AS BIGINT) AS defective FROM unit_clusters GROUP BY cluster)
 SELECT CASE WHEN cluster = -1 THEN 'noise' ELSE 'cluster_' || CAST(cluster AS VARCHAR) END AS cluster_name,
        total, defective, round(defective / total * 100, 2) AS defect_rate
 FROM pc WHERE round(defective / total * 100, 2) > 10"""
@@ -171,7 +171,7 @@ ORACLE["rank_stats"] = _GR + f"""
           WHERE pos = floor(nf / 2) + 1),
   g AS (SELECT "group", count(*) AS total, count(rank) AS found, min(rank) AS min_rank, max(rank) AS max_rank,
                avg(rank) AS avg_rank,
-               {", ".join(f"sum(CASE WHEN rank <= {n} THEN 1 ELSE 0 END) AS in_top_{n}" for n in _TOPS)}
+               {", ".join(f"CAST(sum(CASE WHEN rank <= {n} THEN 1 ELSE 0 END) AS BIGINT) AS in_top_{n}" for n in _TOPS)}
         FROM granks GROUP BY "group")
 SELECT g."group", total, found, total - found AS not_found,
        round(CASE WHEN total > 0 THEN found / total * 100 ELSE 0.0 END, 6) AS found_pct,
@@ -189,7 +189,7 @@ _CAT_COV = "CASE " + " ".join(
 
 ORACLE["category_breakdown"] = _GR + f"""
 SELECT "group", {_CAT} AS category, count(*) AS count, round(avg(rank), 6) AS avg_rank, min(rank) AS min_rank,
-       sum(CASE WHEN rank <= 100 THEN 1 ELSE 0 END) AS in_top_100
+       CAST(sum(CASE WHEN rank <= 100 THEN 1 ELSE 0 END) AS BIGINT) AS in_top_100
 FROM granks WHERE rank IS NOT NULL GROUP BY 1, 2"""
 
 ORACLE["top20_by_group"] = _GR + f"""
@@ -376,7 +376,7 @@ FROM full_kd"""
 
 
 ORACLE["high_risk_members"] = _UC + """
-, pc AS (SELECT cluster, count(*) AS total, sum(y) AS defective FROM unit_clusters GROUP BY cluster),
+, pc AS (SELECT cluster, count(*) AS total, CAST(sum(y) AS BIGINT) AS defective FROM unit_clusters GROUP BY cluster),
   hi AS (SELECT cluster FROM pc WHERE cluster >= 0
          AND defective / total > (SELECT avg(CAST(y AS DOUBLE)) FROM unit_clusters))
 SELECT row_id, cluster, y FROM unit_clusters WHERE cluster IN (SELECT cluster FROM hi)"""
