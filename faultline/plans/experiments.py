@@ -216,3 +216,25 @@ def top_per_dataset(imp: DataFrame, n: int = 10) -> DataFrame:
     """T5: top-N rows of each dataset's importance table."""
     w = Window.partitionBy("dataset").orderBy(F.col("importance").desc(), F.col("rank").asc())
     return imp.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
+
+
+def group_report(parts: dict[str, DataFrame]) -> DataFrame:
+    """One long table ``(group, section, stat, value)`` from
+    :func:`group_comparison`: the rank statistics, one row per category
+    (count / avg rank / best rank / in top 100) and the best-ranked found
+    features (stat = position, value = rank)."""
+    st = parts["stats"]
+    num = [c for c, t in st.dtypes if c != "group" and t in ("int", "bigint", "double")]
+    stats = st.select("group", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("value")) for c in num])).alias("s")) \
+        .select("group", F.lit("stats").alias("section"), "s.stat", "s.value")
+    cats = parts["categories"].select("group", "category", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("value"))
+        for c in ("count", "avg_rank", "min_rank", "in_top_100")])).alias("s")) \
+        .select("group", F.lit("category").alias("section"),
+                F.concat("category", F.lit(":"), F.col("s.m")).alias("stat"), "s.value")
+    top = parts["top"].select("group", F.lit("top").alias("section"),
+                              F.concat(F.col("pos").cast("string"), F.lit(". "), "feature", F.lit(" ["),
+                                       "category", F.lit("]")).alias("stat"),
+                              F.col("rank").cast("double").alias("value"))
+    return stats.unionByName(cats).unionByName(top)

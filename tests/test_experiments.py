@@ -76,3 +76,14 @@ def test_k_distance_curve_flags_eps(spark):
     assert [r.idx for r in curve] == list(range(10))
     assert [r.k_distance for r in curve] == sorted(r.k_distance for r in curve)
     assert any(r.is_eps for r in curve)
+
+
+def test_group_report_long_table(spark):
+    ranking = spark.createDataFrame([(1, "PMD_a", 3.0, 0), (2, "SM_b", 2.0, 1)],
+                                    "rank long, feature string, relevance double, feature_idx int")
+    groups = spark.createDataFrame([("g", "PMD_a"), ("g", "SM_b"), ("g", "x")], "group string, feature string")
+    rep = EX.group_report(EX.group_comparison(ranking, groups))
+    rows = {(r.section, r.stat): r.value for r in rep.collect()}
+    assert rows[("stats", "found")] == 2.0 and rows[("stats", "median_rank")] == 2.0
+    assert rows[("category", "PMD:min_rank")] == 1.0
+    assert rows[("top", "1. PMD_a [PMD]")] == 1.0
