@@ -238,3 +238,32 @@ def group_report(parts: dict[str, DataFrame]) -> DataFrame:
                                        "category", F.lit("]")).alias("stat"),
                               F.col("rank").cast("double").alias("value"))
     return stats.unionByName(cats).unionByName(top)
+
+
+def cluster_document(res: ClusterResult, remove_outliers: bool = False, z: float | None = None) -> DataFrame:
+    """The one-row nested results document of a clustering run:
+    dataset, algorithm, algorithm_params, preprocessing, n_samples,
+    n_features, n_defective, defect_rate, internal / external / prediction
+    metric structs, ``cluster_stats`` map and ``feature_relevance`` array.
+    Write it with ``sources.sinks.write_json``."""
+    from faultline.sources.sinks import results_document
+    lab = res.extra["labelled"]
+    head = lab.agg(F.count(F.lit(1)).cast("int").alias("n_samples"),
+                   F.sum("y").cast("int").alias("n_defective"),
+                   F.round(F.avg("y") * 100, 2).alias("defect_rate"))
+    params = res.params.copy()
+    if res.info is not None:
+        info = res.info.first()
+        params.update(n_clusters=int(info["n_clusters"]), n_noise=int(info["n_noise"]),
+                      noise_ratio=float(info["noise_ratio"]))
+    p = F.struct(*[F.lit(v).alias(k) for k, v in params.items()])
+    pre = F.struct(F.lit(remove_outliers).alias("remove_outliers"),
+                   F.lit(z if remove_outliers else None).cast("double").alias("z_threshold"))
+    metrics = head.select(
+        F.lit(res.dataset).alias("dataset"), F.lit(res.algorithm).alias("algorithm"),
+        p.alias("algorithm_params"), pre.alias("preprocessing"), "n_samples",
+        F.lit(len(res.prepared.features)).alias("n_features"), "n_defective", "defect_rate",
+        res.internal.select(F.struct("*")).scalar().alias("internal_metrics"),
+        res.external.select(F.struct("*")).scalar().alias("external_metrics"),
+        res.prediction.select(F.struct("*")).scalar().alias("prediction_metrics"))
+    return results_document(metrics, res.ranking, res.stats)

@@ -87,3 +87,25 @@ def test_group_report_long_table(spark):
     assert rows[("stats", "found")] == 2.0 and rows[("stats", "median_rank")] == 2.0
     assert rows[("category", "PMD:min_rank")] == 1.0
     assert rows[("top", "1. PMD_a [PMD]")] == 1.0
+
+
+def test_cluster_document(blobs, tmp_dir):
+    import json
+    import os
+
+    from faultline.sources import sinks
+    from faultline.sources.files import read_results_json
+    res = EX.cluster_experiment(blobs, "Bug", "blobs", "dbscan")
+    doc = EX.cluster_document(res)
+    r = doc.first()
+    assert r.dataset == "blobs" and r.algorithm_params.auto_eps and r.algorithm_params.n_clusters == 3
+    assert r.n_samples == 180 and r.n_features == 3 and len(r.feature_relevance) == 3
+    assert set(r.cluster_stats) >= {"cluster_0", "cluster_1", "cluster_2"}
+    assert r.prediction_metrics.total_clusters == 3
+    out = os.path.join(tmp_dir, "doc")
+    sinks.write_json(doc, out)
+    part = [f for f in os.listdir(out) if f.endswith(".json")][0]
+    text = open(os.path.join(out, part)).read()
+    assert json.loads(text)["dataset"] == "blobs"
+    meta, ranks = read_results_json(doc.sparkSession, os.path.join(out, part))
+    assert ranks.count() == 3 and meta.first().n_features == 3
