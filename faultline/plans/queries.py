@@ -247,10 +247,9 @@ def combined_ranking(spark, sf, by: str = "year"):
 def effort_groups(spark, sf):
     """Feature groups: the 26 common effort names (fixed list) and every
     column of the effort table except its key (S10 column listing)."""
-    eff = td.effort(spark, sf)
-    rows = [("26_common", f) for f in C.EFFORT_FEATURES_26]
-    rows += [("effort_all", f) for f in eff.columns if f not in ("version_id",) and "Unnamed" not in f]
-    return spark.createDataFrame(rows, "group string, feature string")
+    common = spark.createDataFrame([("26_common", f) for f in C.EFFORT_FEATURES_26], "group string, feature string")
+    listed = P.schema_table(td.effort(spark, sf), exclude=["version_id"])  # S10, minus Unnamed* columns
+    return common.unionByName(listed.select(F.lit("effort_all").alias("group"), "feature"))
 
 
 def group_ranks(spark, sf):

@@ -109,3 +109,10 @@ def test_cluster_document(blobs, tmp_dir):
     assert json.loads(text)["dataset"] == "blobs"
     meta, ranks = read_results_json(doc.sparkSession, os.path.join(out, part))
     assert ranks.count() == 3 and meta.first().n_features == 3
+
+
+def test_top_per_dataset(spark):
+    imp = spark.createDataFrame([("a", 1, "f1", 0.5), ("a", 2, "f2", 0.3), ("b", 1, "f3", 0.9)],
+                                "dataset string, rank int, feature string, importance double")
+    got = sorted((r.dataset, r.feature) for r in EX.top_per_dataset(imp, 1).collect())
+    assert got == [("a", "f1"), ("b", "f3")]
