@@ -91,7 +91,8 @@ def test_kth_neighbour_and_knee(spark):
     s = np.sort(kd)
     n = len(s)
     line = np.array([n - 1, s[-1] - s[0]])
-    dist = [abs(np.cross(line, np.array([0, s[0]]) - np.array([i, v]))) / np.linalg.norm(line) for i, v in enumerate(s)]
+    # |2-D cross product| of the chord with (first point - point), over the chord length
+    dist = [abs(line[0] * (s[0] - v) - line[1] * (0 - i)) / np.linalg.norm(line) for i, v in enumerate(s)]
     want = float(s[int(np.argmax(dist))])
     want = 0.5 if want < 0.1 else want
     got_eps = PW.find_eps(frame(spark, X), 5, 1000).first().eps
