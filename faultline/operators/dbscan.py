@@ -85,7 +85,7 @@ def _local_stars(ids: np.ndarray, adj_pairs: tuple[np.ndarray, np.ndarray]) -> t
 
 
 def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_id", vec: str = "features",
-           n_pivots: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS, max_rounds: int = 64) -> DataFrame:
+           n_pivots: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """M4: (row_id, cluster, is_core); cluster -1 = noise."""
     dim = len(df.select(vec).first()[0]) if n_pivots is None else None
     n_piv = n_pivots if n_pivots is not None else min(3, max(1, dim))
@@ -118,8 +118,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
 
     g2 = eps_pair_groups(core_rows, core_rows, cells, "rid", ["vec"], n_piv)
     edges = pair_apply(g2, "rid", "vec", eps, stars, "src long, dst long", est_rows=est)
-    comp = connected_components(flags.filter("is_core").select(F.col("rid").alias("id")), edges, "id",
-                                max_rounds=max_rounds)
+    comp = connected_components(flags.filter("is_core").select(F.col("rid").alias("id")), edges, "id")
     roots = comp.select(F.col("component").alias("root")).distinct()
     numbered = row_index(roots, ["root"], "cluster")
     core_cluster = comp.join(numbered, comp.component == numbered.root).select(F.col("id").alias("rid"), "cluster") \
