@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import simhash
+from faultline.llm import bpe, packing, simhash
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +30,18 @@ def op4_simhash(spark, sf_dir):
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                       F.col("component").alias("component_id"))
+
+
+@register("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op9_packing")
+def op9_packing(spark, sf_dir):
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.drop("ids")
