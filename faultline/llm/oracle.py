@@ -1,3 +1,45 @@
 """DuckDB statements of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from faultline.llm import quality
+
 ORACLE: dict[str, str] = {}
+
+
+def _re(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_SUSPECT_LINE = f"""(
+    (runs >= {quality.MIN_RUNS} AND runs >= {quality.SYMBOL_SHARE} * k)
+    OR (k >= {quality.MIN_WORDS} AND NOT regexp_matches(s, '{_re(quality.SENTENCE_MARK)}'))
+    OR (marks >= 2 AND marks * 5 >= k)
+    OR {" OR ".join(f"contains(lower(s), '{p}')" for p in quality.BOILERPLATE)})"""
+
+ORACLE["op3_quality_rules"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 0))) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS k FROM p),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM rep) GROUP BY doc_id),
+l0 AS (SELECT doc_id, unnest(lines) AS s FROM d),
+l1 AS (SELECT doc_id, s, len(list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS k,
+              len(regexp_extract_all(s, '{_re(quality.SYMBOL_RUN)}')) AS runs,
+              len(regexp_extract_all(s, '{_re(quality.SEPARATOR)}')) AS marks FROM l0),
+l AS (SELECT doc_id, sum(length(s)) AS line_chars, sum(CASE WHEN {_SUSPECT_LINE} THEN length(s) ELSE 0 END) AS lost_chars,
+             count(*) FILTER (WHERE k > 0) - count(DISTINCT s) FILTER (WHERE k > 0) AS n_dup_lines FROM l1 GROUP BY doc_id),
+q AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         l.n_dup_lines::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+         l.line_chars::BIGINT AS line_chars, l.lost_chars::BIGINT AS lost_chars
+  FROM d JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, line_chars, lost_chars,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= {quality.MAX_LOST} * line_chars AS kept
+FROM q"""

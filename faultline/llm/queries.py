@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, packing, simhash
+from faultline.llm import bpe, packing, quality, simhash
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,11 @@ def op7_bpe(spark, sf_dir):
 def op9_packing(spark, sf_dir):
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.drop("ids")
+
+
+@register("op3_quality_rules")
+def op3_quality_rules(spark, sf_dir):
+    q = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars",
+             "lost_chars", "kept"]
+    return q.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
