@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import quality
+from faultline.llm import licenses, quality
 
 ORACLE: dict[str, str] = {}
 
@@ -43,3 +43,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, line_chars, lost_chars,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= {quality.MAX_LOST} * line_chars AS kept
 FROM q"""
+
+_TEMPLATE_ROWS = ", ".join(
+    f"('{label}', {licenses.template_words(text)}, {licenses.needed(len(licenses.template_words(text)), licenses.THRESHOLD)})"
+    for label, text in licenses.TEMPLATES)
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE["op8_licenses"] = rf"""
+WITH t(label, tw, need) AS (VALUES {_TEMPLATE_ROWS}),
+d AS (SELECT doc_id, coalesce(text, '') AS text,
+             regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LICENSE_WORD}') AS w FROM documents),
+places AS (
+  SELECT doc_id, i - 2 AS pos, CASE w[i - 1] WHEN 'mit' THEN 'mit' WHEN 'apache' THEN 'apache' END AS label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license'))
+  WHERE i > 1 AND w[i] = 'license' AND w[i - 1] IN ('mit', 'apache')
+  UNION ALL
+  SELECT doc_id, i - 3, 'gpl'
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license'))
+  WHERE i > 2 AND w[i] = 'license' AND w[i - 1] = 'public' AND w[i - 2] = 'general'),
+base AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all({_LOWER.format("s")}, '{_LICENSE_WORD}')) AS b
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM d)),
+hits AS (SELECT doc_id, label, len(list_intersect(b, tw)) / len(tw) AS score FROM blocks, t
+         WHERE len(list_intersect(b, tw)) >= need),
+best AS (SELECT doc_id, max(score) AS score FROM hits GROUP BY doc_id),
+every AS (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM hits),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM every GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a::BIGINT AS first_word,
+       base.z::BIGINT AS last_word, coalesce(bl.s, '') AS base_labels, coalesce(al.s, '') AS labels,
+       coalesce(best.score, 0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, packing, quality, simhash
+from faultline.llm import bpe, licenses, packing, quality, simhash
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,14 @@ def op3_quality_rules(spark, sf_dir):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars",
              "lost_chars", "kept"]
     return q.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
+
+
+@register("op8_licenses")
+def op8_licenses(spark, sf_dir):
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    at, own = F.transform("places", lambda p: p["at"]), F.transform("places", lambda p: p["label"])
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        F.array_join(F.sort_array(F.array_distinct(own)), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(own, "labels")), ",").alias("labels"), "score")
