@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, licenses, packing, quality, simhash
+from faultline.llm import bpe, html_extract, licenses, packing, quality, simhash
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,8 @@ def op8_licenses(spark, sf_dir):
         F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
         F.array_join(F.sort_array(F.array_distinct(own)), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_union(own, "labels")), ",").alias("labels"), "score")
+
+
+@register("op10_html_extract")
+def op10_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
