@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, html_extract, licenses, packing, quality, simhash
+from faultline.llm import bpe, html_extract, licenses, packing, quality, simhash, topk
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,9 @@ def op8_licenses(spark, sf_dir):
 @register("op10_html_extract")
 def op10_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register("op5_topk")
+def op5_topk(spark, sf_dir):
+    out = topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+    return out.withColumnRenamed("id", "vec_id")
