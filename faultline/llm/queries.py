@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, html_extract, licenses, packing, quality, simhash, topk
+from faultline.llm import bpe, html_extract, langid, licenses, packing, quality, simhash, topk
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,12 @@ def op10_html_extract(spark, sf_dir):
 def op5_topk(spark, sf_dir):
     out = topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
     return out.withColumnRenamed("id", "vec_id")
+
+
+@register("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    v = F.col("language_id")
+    return langid.identify(docs).select(
+        "doc_id", v["language"].alias("language"), v["best"].alias("best"), v["posterior"].alias("posterior"),
+        v["text_best"].alias("text_best"), v["n_trigrams"].alias("n_trigrams"), v["accepted"].alias("accepted"))
