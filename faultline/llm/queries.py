@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, html_extract, langid, licenses, packing, quality, simhash, topk
+from faultline.llm import bpe, html_extract, langid, licenses, packing, quality, simhash, suffix_dedup, topk
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,9 @@ def op6_language_id(spark, sf_dir):
     return langid.identify(docs).select(
         "doc_id", v["language"].alias("language"), v["best"].alias("best"), v["posterior"].alias("posterior"),
         v["text_best"].alias("text_best"), v["n_trigrams"].alias("n_trigrams"), v["accepted"].alias("accepted"))
+
+
+@register("op2_suffix_dedup")
+def op2_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
