@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,5 +52,42 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nobody holds any more
+    (it does so when the driver's garbage is collected, else much later)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class WordCache:
+    """Codes of the words of whole texts, each word coded once while it is remembered.
+
+    Two generations of at most ``limit`` words each: what the older one holds is
+    taken over when it is met again, the rest is forgotten when the younger one
+    is full. Memory is bounded whatever the number of different words.
+    """
+
+    def __init__(self, code: Callable[[list], list[bytes]], limit: int):
+        self.code, self.limit = code, limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def join(self, words: list) -> bytes:
+        """The codes of ``words``, one after another."""
+        young, new = self.young, []
+        for w in set(words).difference(young):
+            known = self.old.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                young[w] = known
+        if new:
+            young.update(zip(new, self.code(new), strict=True))
+        out = b"".join([young[w] for w in words])
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return out
