@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import unicodedata
 
 import numpy as np
 import regex
@@ -53,6 +54,12 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
+def unsettled(text: str) -> bool:
+    """True if the text holds code points that were unassigned in this Python's
+    Unicode version: pattern libraries of other versions class them otherwise."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a byte-level BPE file (JSON text)."""
 
@@ -60,7 +67,8 @@ class Vocabulary:
         spec = json.loads(source)
         ids: dict[str, int] = spec["model"]["vocab"]
         letters = byte_letters()
-        byte_of = {c: b for b, c in enumerate(letters)}
+        byte_of = self.byte_of = {c: b for b, c in enumerate(letters)}
+        self.source = source
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.first = [ids[c] for c in letters]
         self.size = 1 + max([*ids.values(), *self.special.values()])
@@ -123,6 +131,14 @@ class Vocabulary:
             push(i, after[i])
         return [x for x, on in zip(ids, alive, strict=True) if on]
 
+    def split(self, text: str) -> list[str]:
+        """Words of a text; the tokenizers library splits texts with unsettled code points."""
+        if not unsettled(text):
+            return self.word.findall(text)
+        from tokenizers import Tokenizer
+        pieces = Tokenizer.from_str(self.source).pre_tokenizer.pre_tokenize_str(text)
+        return [bytes(self.byte_of[c] for c in p).decode("utf-8") for p, _ in pieces]
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         cache, out = self.cache, []
@@ -130,7 +146,7 @@ class Vocabulary:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
-            words = self.word.findall(part)
+            words = self.split(part)
             new = {w for w in words if w not in cache}
             if len(cache) + len(new) > CACHE_WORDS:
                 cache.clear()
