@@ -19,18 +19,23 @@ an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from faultline.llm.common import schema_of, utf8
+from faultline.llm.bpe import BLANK, byte_letters, unsettled
+from faultline.llm.common import WordCache, schema_of, utf8
 
 #: Tokens of a sequence.
 SEQUENCE = 2048
@@ -40,8 +45,8 @@ END_ID = 1
 POOL_TOKENS = 4_000_000
 #: Estimated cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Words whose ids a worker process remembers.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker process remembers, in each of two generations.
+CACHE_WORDS = 400_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "ids binary, cost double")
@@ -87,8 +92,13 @@ def assign(lengths: list[int], capacity: int = SEQUENCE, linear: float = LINEAR,
 
 
 class WordIds:
-    """Ids of whole texts from a tokenizer that drops white space: a text's ids
-    are those of its blank-separated strings, so each string is encoded once."""
+    """Ids of whole texts, each word coded once by the tokenizer's model.
+
+    A tokenizer that normalises (NFC, blanks, lower case) and splits by a
+    pattern that drops blanks is followed word by word: the text is normalised
+    and split here, and the model codes the words not met before. Any other
+    tokenizer codes the whole text itself.
+    """
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,19 +106,53 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[bytes, bytes] = {}
+        spec = json.loads(source)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.by_word = self._splits_words(spec)
+        if self.by_word:
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            self.word = regex.compile(pattern.replace(r"\s", BLANK))
+            self.letters = dict(enumerate(byte_letters()))
+            self.model = self.tokenizer.model
+            self.words = WordCache(self.code_word, CACHE_WORDS)  # as they stand between blanks
+            self.pieces = WordCache(self.code, CACHE_WORDS)  # as the pattern splits them
+
+    @staticmethod
+    def _splits_words(spec: dict) -> bool:
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+        return (normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"]
+                and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["add_prefix_space"]
+                and not pre[1]["use_regex"] and plain)
+
+    def code(self, words: list[str]) -> list[bytes]:
+        tokenize, letters = self.model.tokenize, self.letters
+        return [np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+                for w in words]
+
+    def code_word(self, words: list[bytes]) -> list[bytes]:
+        return [self.pieces.join(self.word.findall(w.decode())) for w in words]
 
     def __call__(self, text: bytes) -> bytes:
-        cache, words = self.cache, text.split()
-        new = list({w for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(set(words))
-        if new:
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, coded, strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        whole = text.decode("utf-8", "replace")
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for part in self.cut.split(whole) if self.cut else [whole]:
+            if part in self.special:
+                out.append(self.special[part].to_bytes(4, "little"))
+                continue
+            if unsettled(part):
+                out.append(np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            # the library lowers letter by letter; only capital sigma looks at its neighbours in Python
+            part = "".join([c.lower() for c in part]) if "\u03a3" in part else part.lower()
+            out.append(self.words.join(part.encode().split()))
+        return b"".join(out)
 
 
 _LOADED: dict[int, WordIds] = {}

@@ -50,6 +50,17 @@ def test_costs_are_balanced():
     assert np.std(full) < 0.12 * np.mean(full)
 
 
+LIB = Tokenizer.from_file(PATH)
+IDS = packing.WordIds(open(PATH, encoding="utf-8").read())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text("aZ\u00c9e\u0301 \u0130\u03a3\u03a3'stl19.\x1c\x85\xa0<|endoftext|>", max_size=60))
+def test_ids_are_the_library_s(t):
+    t = t.encode("utf-8", "replace").decode()
+    assert np.frombuffer(IDS(t.encode()), "<u4").tolist() == LIB.encode(t, add_special_tokens=False).ids
+
+
 def test_rows(spark):
     lib = Tokenizer.from_file(PATH)
     texts = ["", None, "One two THREE it's", "À la carte x <|endoftext|> y", "İstanbul ΑΣ ΑΣ. 42", "é ́a",
