@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, html_extract, langid, licenses, packing, quality, simhash, suffix_dedup, topk
+from faultline.llm import bpe, html_extract, langid, licenses, lm_score, packing, quality, simhash, suffix_dedup, topk
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op6_language_id(spark, sf_dir):
 def op2_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op1_lm_score")
+def op1_lm_score(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
