@@ -123,8 +123,8 @@ def train(docs: DataFrame, text: str, declared: str, languages: tuple[str, ...],
                 # a text speaks with at most DOCUMENT_WEIGHT trigrams' voice, so that no single one sets the model
                 c += np.bincount(mine, minlength=BINS) * (1.0 if len(mine) <= DOCUMENT_WEIGHT else DOCUMENT_WEIGHT / len(texts[i]))
             out = [(k, np.flatnonzero(c), c) for k, c in counts.items()]
-            return {"lang": [k for k, at, _ in out for _ in at], "bin": np.concatenate([at for _, at, _ in out]),
-                    "n": np.concatenate([c[at] for _, at, c in out])}
+            return {"lang": [k for k, at, _ in out for _ in at], "bin": np.concatenate([np.zeros(0, np.int64), *[at for _, at, _ in out]]),
+                    "n": np.concatenate([np.zeros(0), *[c[at] for _, at, c in out]])}
         return run
 
     counted = map_batches(picked, make, "lang string, bin int, n double").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
