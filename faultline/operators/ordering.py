@@ -3,7 +3,11 @@
 A window with ``orderBy`` but no (or a coarse) ``partitionBy`` runs in one
 task. These helpers compute the same values from a range-partitioned
 layout: each range partition is ordered locally, a per-partition total
-table (partitions x keys rows, broadcast) supplies the offsets.
+table (partitions x keys rows) supplies the offsets.
+
+The layout is written once and read back. Range bounds come from a sample of
+the rows, so two evaluations of the same plan can place a row in different
+partitions; totals and rows must see one and the same placement.
 """
 
 from __future__ import annotations
@@ -13,12 +17,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import materialize
+
 
 def _range_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None) -> DataFrame:
     spark = df.sparkSession
     n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *[F.col(c) for c in list(keys) + list(order)]) \
-        .withColumn("__pid", F.spark_partition_id())
+    return materialize(df.repartitionByRange(n, *[F.col(c) for c in list(keys) + list(order)])
+                       .withColumn("__pid", F.spark_partition_id()))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
@@ -33,7 +39,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     tot = r.groupBy("__pid", *keys).agg(F.sum(value).alias("__t"))
     wo = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("__pid", *keys, F.coalesce(F.sum("__t").over(wo), F.lit(0)).alias("__off"))
-    return r.join(F.broadcast(off), ["__pid", *keys]) \
+    return r.join(off, ["__pid", *keys]) \
         .withColumn(out, F.col("__off") + F.col("__local")).drop("__pid", "__local", "__off")
 
 

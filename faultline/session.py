@@ -49,7 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get(_CKPT_CONF, None) or sc.getConf().get(_CKPT_CONF, None)
     if not conf_dir:
-        # Only reached in local runs (tests, bench); a cluster names a shared folder.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="faultline-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators.ordering import row_index, running_sum
@@ -25,6 +27,34 @@ def test_row_index_is_a_permutation_in_order(spark):
     assert all(r.i == r.x for r in idx)
 
 
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_positions_of_large_inputs(spark, partitions):
+    """Large enough that range bounds are sampled."""
+    n = 300_000
+    df = spark.range(n).select(((F.col("id") * 7919 + 13) % n).alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    wrong = row_index(df, ["x"], "i", partitions=partitions).filter("i != x").count()
+    assert wrong == 0
+
+
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_auc_of_nearly_unique_scores(spark, partitions):
+    from faultline.operators.classify import roc_auc
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 300_000)
+    score = rng.normal(size=len(y)) + 0.6 * y
+    df = spark.createDataFrame(pd.DataFrame({"fold": 0, "y": y, "score": score}))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = roc_auc(df).first()["roc_auc"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    rank = np.empty(len(y))
+    rank[np.argsort(score)] = np.arange(1, len(y) + 1)
+    pos = y.sum()
+    assert abs(got - (rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))) < 1e-9
+
+
 def test_materialize_cuts_lineage_and_keeps_values(spark):
     ensure_checkpoint_dir(spark)
     df = spark.range(50).withColumn("sq", F.col("id") * F.col("id"))
