@@ -194,12 +194,38 @@ def links(distinct: DataFrame, max_bits: int = 2, hot: int = HOT_SEGMENT) -> Dat
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = 2) -> DataFrame:
-    """(id, fp, component): one row per input row; see the module's text."""
+    """(id, fp, component, root): one row per input row; ``root`` is the
+    component's smallest fingerprint. See the module's text."""
     prepare(docs.sparkSession)
     fps = materialize(fingerprints(docs, id_col, text_col, shingle))
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
     comp = connected_components(distinct, links(distinct.select("fp"), max_bits), id_col="fp")
-    label = comp.join(distinct, comp["id"] == distinct["fp"]).select("fp", "component", "first_id")
-    first = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = materialize(label.join(first, "component").select("fp", "component_id"))
-    return fps.join(named, "fp").select("id", "fp", F.col("component_id").alias("component"))
+    label = comp.join(distinct, comp["id"] == distinct["fp"]).select("fp", F.col("component").alias("root"), "first_id")
+    first = label.groupBy("root").agg(F.min("first_id").alias("component"))
+    named = materialize(label.join(first, "root").select("fp", "root", "component"))
+    return fps.join(named, "fp").select("id", "fp", "component", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+             max_bits: int = 2) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id (a row
+    without an id only where no row of the component has one)."""
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("b"))
+    best = materialize(best.select(F.col("b.id").alias("_id"), F.col("b.fp").alias("_fp")))
+    kept = docs.join(best, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
+    # the same id may stand on rows of other texts, and repeat: the fingerprint and one row decide
+    sizes = kept.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
+    names = docs.columns
+    if sizes.isEmpty():
+        return kept.select(*names)
+    several = kept.join(sizes.withColumnRenamed("_id", "_s"), F.col("_id").eqNullSafe(F.col("_s")))
+    checked = _with_fingerprint(several.select(*names, "_id", "_fp"), text_col, shingle).filter("_own = _fp") \
+        .groupBy("_id", "_fp").agg(F.first(F.struct(*names)).alias("r")).select("r.*")
+    single = kept.join(sizes.withColumnRenamed("_id", "_s"), F.col("_id").eqNullSafe(F.col("_s")), "left_anti").select(*names)
+    return single.unionByName(checked)
+
+
+def _with_fingerprint(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    own = F.pandas_udf(lambda t: pd.Series([np.uint64(fingerprint_bytes(x, shingle)).astype(np.int64) for x in t]), "long")
+    return rows.withColumn("_own", own(utf8(text_col)))
