@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.ordering import row_index
-from faultline.operators.pairwise import DEFAULT_BLOCK_ROWS, eps_blocks, eps_pair_groups, pair_apply
+from faultline.operators.pairwise import DEFAULT_BLOCK_ROWS, emitted_rows, eps_blocks, eps_pair_groups, pair_apply
 from faultline.session import materialize
 
 
@@ -92,9 +92,8 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_i
     base = df.select(F.col(id_col).cast("long").alias("rid"), F.col(vec).alias("vec"))
     rows, cells = eps_blocks(base, "rid", "vec", eps, n_piv, block_rows)
     rows = rows.transform(materialize)      # reused by three passes
-    n_rows = rows.count()                   # sizes the pair groups (cheap: reads the written rows)
-    est = 2 * n_rows * 3 ** n_piv
     cells = cells.transform(materialize)
+    est = emitted_rows(cells, n_piv)        # sizes the pair groups, from the cell table
 
     # 1. neighbour counts -> core flags
     def count(lid, rid, ii, jj):

@@ -8,7 +8,7 @@ scaled matrix is materialised once and shared by every downstream job.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,12 +50,23 @@ def cluster_experiment(df: DataFrame, label: str, dataset: str = "dataset", algo
                        id_col: str = "row_id", eps: float | None = None, min_samples: int | None = None,
                        n_clusters: int | None = None, seed: int | None = None, remove_outliers: bool = False,
                        z: float | None = None, feature_name_map: Mapping[str, str] | None = None,
-                       max_eps_samples: int = 1000) -> ClusterResult:
+                       max_eps_samples: int | None = None) -> ClusterResult:
     """Preprocess -> K-Means or DBSCAN (auto eps by default) -> metrics -> ranking.
 
     As in the reference, ``0`` for ``min_samples`` / ``n_clusters`` / ``z``
     falls back to the default (``x or default``) while ``eps`` uses ``is None``.
+    ``id_col`` may be of any ordered type: the distance work runs on row
+    positions in its order, and the labels come back under the ids. Automatic
+    eps looks at all rows unless ``max_eps_samples`` is given.
     """
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        ids = materialize(row_index(df.select(id_col).distinct(), [id_col], "__row"))
+        res = cluster_experiment(df.join(ids, id_col).drop(id_col), label, dataset, algorithm, "__row", eps, min_samples,
+                                 n_clusters, seed, remove_outliers, z, feature_name_map, max_eps_samples)
+
+        def named(t: DataFrame) -> DataFrame:
+            return t.join(ids, "__row").select(id_col, *[c for c in t.columns if c != "__row"])
+        return replace(res, labels=named(res.labels), extra={k: named(v) for k, v in res.extra.items()})
     min_samples = min_samples or DBSCAN_DEFAULTS["min_samples"]
     n_clusters = n_clusters or KMEANS_DEFAULTS["n_clusters"]
     seed = KMEANS_DEFAULTS["random_state"] if seed is None else seed

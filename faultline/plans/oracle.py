@@ -287,7 +287,7 @@ ORACLE["k_distance"] = _PTS + f"""
 SELECT row_id, round(dist, 6) AS k_distance FROM d WHERE k = 5"""
 
 ORACLE["eps_knee"] = _PTS + f"""
-, s AS (SELECT * FROM pts ORDER BY md5('42:' || CAST(row_id AS VARCHAR)) LIMIT 1000),
+, s AS (SELECT * FROM pts),
   d AS (SELECT a.row_id, sqrt({_SQD}) AS dist,
                row_number() OVER (PARTITION BY a.row_id ORDER BY {_SQD}) AS k
         FROM s a JOIN s b ON true),
@@ -360,7 +360,7 @@ ORACLE["kdist_curve"] = _PTS + f"""
                row_number() OVER (PARTITION BY a.row_id ORDER BY {_SQD}) AS k
         FROM pts a JOIN pts b ON true),
   full_kd AS (SELECT row_id, dist AS k_distance FROM d WHERE k = 5),
-  s AS (SELECT * FROM pts ORDER BY md5('42:' || CAST(row_id AS VARCHAR)) LIMIT 1000),
+  s AS (SELECT * FROM pts),
   sd AS (SELECT a.row_id, sqrt({_SQD}) AS dist,
                 row_number() OVER (PARTITION BY a.row_id ORDER BY {_SQD}) AS k
          FROM s a JOIN s b ON true),

@@ -23,7 +23,7 @@ def extract_family(df: DataFrame, metadata: Sequence[str], prefix: str = "SM_")
 
 
 def merge_coverage(metrics: DataFrame, coverage: DataFrame, version_col: str = "version",
-                   first_version: str = "1.0.0", null_keys: bool = False) -> DataFrame:
+                   first_version: str = "1.0.0", null_keys: bool = True) -> DataFrame:
     """Drop rows without a version, drop the first version (no coverage
     exists for it), then LEFT join coverage on (version, file).
 
@@ -39,7 +39,7 @@ def merge_coverage(metrics: DataFrame, coverage: DataFrame, version_col: str = "
 
 def combined(metrics: DataFrame, coverage: DataFrame, effort: DataFrame, top_sm: Sequence[str],
              metadata: Sequence[str], version_col: str = "version", version_id_col: str = "version_id",
-             null_keys: bool = False) -> DataFrame:
+             null_keys: bool = True) -> DataFrame:
     """Top-N SM features + coverage (inner on file, version) + the 26
     effort features that exist (inner on version id)."""
     sm_subset = metrics.select(*[col(c) for c in list(metadata) + available(metrics, top_sm)])

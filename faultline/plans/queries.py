@@ -393,7 +393,7 @@ def q_k_distance(spark, sf):
 
 @register("eps_knee")
 def q_eps_knee(spark, sf):
-    e = PW.find_eps(part_points(spark, sf), MIN_SAMPLES, 1000)
+    e = PW.find_eps(part_points(spark, sf), MIN_SAMPLES)
     return e.select(r6(F.col("eps")).alias("eps"), r6(F.col("eps_raw")).alias("eps_raw"), "n_points")
 
 
@@ -487,7 +487,7 @@ def q_cluster_experiment(spark, sf):
 def q_kdist_curve(spark, sf):
     """Sorted k-distance curve of all part points, knee eps flagged."""
     pts = part_points(spark, sf)
-    eps = float(PW.find_eps(pts, MIN_SAMPLES, 1000).first()["eps"])
+    eps = float(PW.find_eps(pts, MIN_SAMPLES).first()["eps"])
     c = EX.k_distance_curve(pts, eps, MIN_SAMPLES)
     return c.select("idx", r6(F.col("k_distance")).alias("k_distance"), "is_eps")
 

@@ -1,6 +1,7 @@
 """Distance operators against brute-force NumPy implementations."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +141,17 @@ def test_silhouette_needs_two_clusters(spark):
     df = spark.createDataFrame([(0, [0.0], 0), (1, [1.0], 0), (2, [5.0], -1)], "row_id long, features array<double>, cluster int")
     assert PW.silhouette(df).first().silhouette is None
     assert PW.davies_bouldin(df).first().davies_bouldin is None
+
+
+def test_pair_groups_stay_bounded_when_one_cell_holds_all_rows(spark):
+    """The estimate counts what is emitted, so groups do not grow with a hot cell."""
+    rng = np.random.default_rng(4)
+    for n in (600, 1200, 2400):
+        df = frame(spark, rng.normal(0, 1e-4, (n, 2)))
+        rows, cells = PW.eps_blocks(df, "row_id", "features", 1.0, 2, block_rows=64)
+        groups = PW.eps_pair_groups(rows, rows, cells, "row_id", ["features"], 2)
+        emitted = groups.count()
+        assert PW.emitted_rows(cells, 2) == emitted
+        sizes = PW.pair_apply(groups, "row_id", "features", 1.0,
+                              lambda l, r, i, j: pd.DataFrame({"n": [len(l) + len(r)]}), "n long", target_rows=256, est_rows=emitted)
+        assert sizes.agg({"n": "max"}).first()[0] <= 256 * 8

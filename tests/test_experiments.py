@@ -116,3 +116,19 @@ def test_top_per_dataset(spark):
                                 "dataset string, rank int, feature string, importance double")
     got = sorted((r.dataset, r.feature) for r in EX.top_per_dataset(imp, 1).collect())
     assert got == [("a", "f1"), ("b", "f3")]
+
+
+def test_cluster_experiment_takes_string_ids(spark):
+    """X7 on a table keyed by strings: the same clusters as with row numbers."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.1, (40, 2)), rng.normal(3, 0.1, (40, 2))])
+    rows = [(f"v{i:03d}", i, float(a), float(b), int(a > 1.5 and i % 2 == 0)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "version_id string, row_id long, SM_a double, SM_b double, Bug int")
+    for algorithm in ("dbscan", "kmeans"):
+        by_name = EX.cluster_experiment(df.drop("row_id"), "Bug", algorithm=algorithm, id_col="version_id")
+        by_row = EX.cluster_experiment(df.drop("version_id"), "Bug", algorithm=algorithm, id_col="row_id")
+        names = {r["version_id"]: r["cluster"] for r in by_name.labels.collect()}
+        numbers = {f"v{r['row_id']:03d}": r["cluster"] for r in by_row.labels.collect()}
+        assert names == numbers and len(set(names.values()) - {-1}) == 2
+        assert by_name.external.collect() == by_row.external.collect()
