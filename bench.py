@@ -18,13 +18,13 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from faultline.plans.queries import REGISTRY  # noqa: E402
-from faultline.session import local_session  # noqa: E402
+from faultline.session import cleanup, local_session  # noqa: E402
 
 HEADLINE = [
     "cluster_stats", "risk_metrics", "external_metrics", "load_clean", "merge_left", "combine_inner",
     "standardize", "zscore_outliers", "feature_relevance", "rank_stats", "stratified_folds", "roc_auc",
     "cv_summary", "k_distance", "eps_knee", "eps_neighbours", "dbscan", "silhouette", "davies_bouldin",
-    "kmeans", "logreg_cv",
+    "kmeans", "logreg_cv", "forest_cv", "cluster_experiment", "kdist_curve",
 ]
 
 
@@ -41,6 +41,7 @@ def main() -> None:
         t0 = time.time()
         REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        cleanup(spark)
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {

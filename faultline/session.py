@@ -71,10 +71,29 @@ def materialize(df: DataFrame, how: str = "parquet") -> DataFrame:
         return df.checkpoint(eager=True)
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/faultline-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+#: Folders that ``materialize`` wrote in this process and ``cleanup`` has not removed.
+_WRITTEN: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete what ``materialize`` wrote so far; returns the number of folders.
+
+    Frames are lazy, so a result may read such a folder until it has been
+    written or collected: call this after the results of a run are stored.
+    """
+    jvm, n = spark.sparkContext._jvm, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -61,3 +63,11 @@ def test_materialize_cuts_lineage_and_keeps_values(spark):
     m = materialize(df)
     assert "faultline-" in m.inputFiles()[0]
     assert sorted((r.id, r.sq) for r in m.collect()) == [(i, i * i) for i in range(50)]
+
+
+def test_cleanup_removes_what_was_written(spark):
+    from faultline.session import cleanup
+    folder = materialize(spark.range(5)).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    assert cleanup(spark) >= 1
+    assert not os.path.exists(folder)
