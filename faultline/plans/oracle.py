@@ -256,6 +256,13 @@ ORACLE["hard_ap"] = _FOLDS + "," + _fold_metrics_sql("folded") + \
     "\nSELECT fold, round(avg_precision, 6) AS avg_precision FROM fm_folded"
 ORACLE["roc_auc"] = _FOLDS + "," + _fold_metrics_sql("folded") + \
     "\nSELECT fold, round(roc_auc, 6) AS roc_auc FROM auc_folded"
+ORACLE["roc_auc_unique"] = """
+WITH s AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS fold, o_totalprice AS score,
+                  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders),
+per AS (SELECT fold, score, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY fold, score),
+run AS (SELECT fold, pos, neg, coalesce(sum(neg) OVER (PARTITION BY fold ORDER BY score
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per)
+SELECT fold, round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM run GROUP BY fold"""
 ORACLE["cv_summary"] = _FOLDS + "," + _fold_metrics_sql("folded") + """
 SELECT metric, round(mean, 6) AS mean, round(std, 6) AS std, list_transform(vals, lambda v: round(v, 6)) AS "values"
 FROM sum_folded"""
