@@ -446,3 +446,21 @@ def _unsigned_zero(sql: str) -> str:
 
 for _k in list(ORACLE):
     ORACLE[_k] = _unsigned_zero(ORACLE[_k])
+
+ORACLE["join_null_keys"] = """
+WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS file,
+                  CASE WHEN p_size % 9 <> 0 THEN CAST(p_size % 5 AS INTEGER) END AS version FROM part),
+r AS (SELECT file, version, min(p_partkey) AS first_part, count(*) AS n FROM k GROUP BY file, version HAVING count(*) > 1)
+SELECT k.p_partkey, k.file, k.version, r.first_part, r.n
+FROM k LEFT JOIN r ON k.file IS NOT DISTINCT FROM r.file AND k.version IS NOT DISTINCT FROM r.version
+WHERE k.p_partkey % 3 = 0"""
+ORACLE["versioned_files"] = """
+SELECT c_name AS filename, CASE WHEN c_nationkey < 12 THEN '1.1.0' ELSE '1.10.0' END AS version,
+       CAST(c_custkey AS BIGINT) AS "COV_A", CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS "COV_B",
+       CASE WHEN c_nationkey >= 12 THEN CAST(c_custkey % 7 AS BIGINT) END AS "COV_C"
+FROM customer"""
+ORACLE["cell_values"] = """
+SELECT col_idx, value, count(*) AS n
+FROM (SELECT CAST(0 AS INTEGER) AS col_idx, CAST(n_nationkey AS VARCHAR) AS value FROM nation
+      UNION ALL SELECT 1, n_name FROM nation)
+WHERE value IS NOT NULL AND NOT contains(value, '7') GROUP BY col_idx, value"""

@@ -7,6 +7,7 @@ runs a library operator over the whole input. Floats are rounded at the end
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -189,9 +190,10 @@ def q_top30_dataset(spark, sf):
 def q_family_counts(spark, sf):
     comb = combined_df(spark, sf)
     feats = C.feature_columns(comb, "Bug")
-    lf = SC.long_form(comb, "version_id", feats)
-    return lf.groupBy(C.family_of(F.col("feature")).alias("family")).agg(
-        F.count_distinct("feature").alias("n_features"), F.count("value").alias("n_values"))
+    columns = P.family_counts(P.schema_table(comb.select(*[F.col(f"`{c}`") for c in feats])))
+    values = SC.long_form(comb, "version_id", feats).groupBy(C.family_of(F.col("feature")).alias("family")) \
+        .agg(F.count("value").alias("n_values"))
+    return columns.join(values, "family").select("family", "n_features", "n_values")
 
 
 # --- scaling -----------------------------------------------------------------
@@ -565,3 +567,41 @@ def q_model_comparison(spark, sf):
     sm_res = EX.classify_experiment(td.sm(spark, sf).drop("id"), "Bug", "sm", "lr", id_col="version_id")
     mat, _ = EX.compare_all([unit_res, sm_res])
     return mat.select("dataset", "metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "is_best")
+
+
+# --- joins on null keys, sources read back from files -------------------------------
+
+@register("join_null_keys")
+def q_join_null_keys(spark, sf):
+    """J1-J3 with missing keys on both sides: they match, as in pandas."""
+    part = td.table(spark, sf, "part")
+    keyed = part.select("p_partkey", F.when(F.col("p_partkey") % 11 != 0, F.col("p_brand")).alias("file"),
+                        F.when(F.col("p_size") % 9 != 0, (F.col("p_size") % 5).cast("int")).alias("version"))
+    right = keyed.groupBy("file", "version").agg(F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("n"))
+    return P.join_on(keyed.filter("p_partkey % 3 = 0"), right.filter("n > 1"), ["file", "version"], how="left", null_keys=True)
+
+
+@register("versioned_files")
+def q_versioned_files(spark, sf):
+    """S2 + S7 + P6 + U1 + S11: two versions written as CSV with swapped, missing
+    and additional columns and NA tokens, read back by name."""
+    from faultline.session import ensure_checkpoint_dir
+    from faultline.sources import files as FS
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultline-csv-{uuid.uuid4().hex}"
+    c = td.table(spark, sf, "customer")
+    b = F.when(F.col("c_custkey") % 5 == 0, "NA").otherwise(F.col("c_nationkey").cast("string")).alias("COV_B")
+    name, a = F.col("c_name").alias("filename"), F.col("c_custkey").alias("COV_A")
+    old, new = c.filter("c_nationkey < 12"), c.filter("c_nationkey >= 12")
+    old.select(name, a, b).write.option("header", True).csv(f"{root}/Coverage-P-1.1.0-filename")
+    new.select(b, name, (F.col("c_custkey") % 7).alias("COV_C"), a).write.option("header", True).csv(f"{root}/Coverage-P-1.10.0-filename")
+    df = FS.read_versioned(spark, f"{root}/Coverage-*-filename")
+    return df.select("filename", "version", *[F.col(x).cast("bigint").alias(x) for x in ("COV_A", "COV_B", "COV_C")])
+
+
+@register("cell_values")
+def q_cell_values(spark, sf):
+    """S9 + F7: the cells of a sheet, without those that hold a phrase."""
+    from faultline.sources import files as FS
+    sheet = td.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    cells = FS.flatten_cells(sheet, exclude_substring="7")
+    return cells.groupBy("col_idx", "value").agg(F.count(F.lit(1)).alias("n"))
