@@ -148,7 +148,6 @@ def _scored(docs: DataFrame, text: str, table) -> DataFrame:
     """``docs`` with ``_lid``: log likelihood per language, then of the unknown
     language, then the number of trigrams; null for a text without a letter."""
     names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("_lid_text", docs.select(utf8(text).alias("x")).schema[0].dataType)])
     out_schema = StructType([*docs.schema.fields, StructField("_lid", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +160,7 @@ def _scored(docs: DataFrame, text: str, table) -> DataFrame:
             col = pa.array([s if k else None for s, k in zip(scores.tolist(), ok, strict=True)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], col], names=[*names, "_lid"])
 
-    rows = docs.withColumn("_lid_text", utf8(text))
-    assert len(rows.columns) == len(schema.fields)
-    return rows.mapInArrow(run, out_schema)
+    return docs.withColumn("_lid_text", utf8(text)).mapInArrow(run, out_schema)
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source",

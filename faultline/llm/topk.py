@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import map_batches, prepare, shuffle_partitions
+from faultline.llm.common import map_batches, prepare
 from faultline.session import materialize
 
 #: Rows of a bucket, buckets of a group, queries of a block.

@@ -4,7 +4,6 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from faultline.llm import langid

@@ -3,8 +3,6 @@
 import random
 import re
 
-import pytest
-
 from faultline.llm import quality
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
