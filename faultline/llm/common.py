@@ -19,10 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows of an Arrow batch: documents are long rows, and a worker holds some copies of a batch.
+ARROW_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and worker code for the session (both idempotent)."""
+    """Checkpoint folder, worker code and batch size for the session (idempotent)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
 
 
 def utf8(col: str | Column) -> Column:
