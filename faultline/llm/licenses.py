@@ -8,6 +8,13 @@ block needs at least o words of the templates' vocabulary (length), and the
 first shared word must leave room for o shared words behind it on both sides
 (position). What is left is verified exactly.
 
+A notice may be wrapped. With ``wrapped`` a block is also a window of
+consecutive lines: from any line on, the fewest lines that hold as many words as
+the template has (one word a line may be a comment marker and does not count;
+lines without a word are passed over). Windows are cut only around the lines that
+hold a prefix word of the template; what stands around such a line must hold
+enough of its words before its windows are verified exactly.
+
 All of it is DataFrame work. The vocabulary of the templates is a parameter of
 a few hundred words; the driver sees only their counts. Lines without a prefix
 word of any template never leave their scan task.
@@ -137,17 +144,75 @@ def matching_blocks(blocks: DataFrame, templates: list[tuple[str, str]], order:
         .select(*keys, "template", "label", (F.col("shared") / F.col("n")).alias("score")).distinct()
 
 
+def prefix_index(templates: list[tuple[str, str]], order: list[str], threshold: float) -> list[tuple[str, int, int]]:
+    """(prefix word, template, words needed) of all templates."""
+    rank = {w: i for i, w in enumerate(order)}
+    out = []
+    for t, (_, text) in enumerate(templates):
+        own = sorted(template_words(text), key=rank.__getitem__)
+        need = needed(len(own), threshold)
+        out += [(w, t, need) for w in own[:len(own) - need + 1]]
+    return out
+
+
+def matching_windows(docs: DataFrame, text_col: str, templates: list[tuple[str, str]], order: list[str], threshold: float) -> DataFrame:
+    """(keys..., label, score) of the windows of lines of every text and template that meet."""
+    spark = docs.sparkSession
+    keys = [c for c in docs.columns if c != text_col]
+    index = prefix_index(templates, order, threshold)
+    prefix_words = sorted({w for w, *_ in index})
+    length = [len(re.findall(WORD, text)) for _, text in templates]
+    most = max(length)
+    sides = F.broadcast(spark.createDataFrame(
+        [(w, t, need, templates[t][0], template_words(templates[t][1]), length[t]) for w, t, need in index],
+        "word string, template int, need int, label string, own array<string>, length int"))
+    near = docs.filter(F.col(text_col).rlike(r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(map(re.escape, prefix_words))
+                                             + r")(?![0-9a-z\x{80}-\x{10FFFF}])"))
+    vocabulary, prefix = F.array(*map(F.lit, order)), F.array(*map(F.lit, prefix_words))
+    worded = F.filter(F.transform(F.split(text_col, "\n"), lambda x: _words(_lower_ascii(x))), lambda w: F.size(w) > 0)
+    lines = near.select(*keys, F.transform(worded, lambda w: F.struct(
+        F.size(w).alias("n"), F.array_intersect(w, vocabulary).alias("v"))).alias("lines"))
+    # a line with a prefix word and the lines around it that a window of it can reach
+    spots = let(F.col("lines"), lambda x: F.filter(F.transform(x, lambda line, i: F.struct(
+        F.array_intersect(line["v"], prefix).alias("words"), i.alias("i"))), lambda z: F.size(z["words"]) > 0))
+    around = F.transform(spots, lambda z: F.struct(
+        z["words"].alias("words"), F.least(z["i"], F.lit(most)).alias("at"),
+        F.slice("lines", F.greatest(z["i"] - most, F.lit(0)) + 1, F.least(z["i"], F.lit(most)) + most + 1).alias("lines")))
+    found = lines.select(*keys, F.explode(around).alias("z")).select(*keys, "z.at", "z.lines", F.explode("z.words").alias("word")).join(sides, "word")
+
+    def reach(line: Column) -> Column:
+        return F.greatest(line["n"] - 1, F.lit(1))
+
+    def window(start: Column) -> Column:
+        first = F.struct(F.lit(0).alias("got"), F.array_intersect(F.get("lines", start)["v"], F.col("own")).alias("met"))
+        held = F.aggregate(F.slice("lines", start + 2, F.col("length")), first, lambda a, line: F.when(
+            a["got"] >= F.col("length") - 1, a).otherwise(F.struct(
+                (a["got"] + reach(line)).alias("got"),
+                F.array_union(a["met"], F.array_intersect(line["v"], F.col("own"))).alias("met"))))
+        return F.size(held["met"])
+
+    enough = F.size(F.array_intersect(F.flatten(F.transform("lines", lambda x: x["v"])), F.col("own"))) >= F.col("need")
+    starts = F.sequence(F.greatest(F.col("at") - F.col("length"), F.lit(0)), F.col("at"))
+    return found.filter(enough).withColumn("shared", F.array_max(F.transform(starts, window))) \
+        .filter(F.col("shared") >= F.col("need")) \
+        .select(*keys, "label", (F.col("shared") / F.size("own")).alias("score")).distinct()
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+         templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+         wrapped: bool = False) -> DataFrame:
     """One row per input row: id, n_words, places (array of (at, label)), labels
-    (those of the join, sorted) and score (highest containment, 0 without any)."""
+    (those of the join, sorted) and score (highest containment, 0 without any).
+    ``wrapped``: windows of lines are blocks too."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     # rows with the same id and text get the same labels, so these two identify what is joined back
     key = [F.col("id"), F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")]
     order = word_order(base, "text", sorted({w for _, t in templates for w in template_words(t)}))
     lines = base.select(*key, F.posexplode(F.split("text", "\n")).alias("block_no", "line"))
-    found = matching_blocks(lines, templates, order, threshold)
+    found = matching_blocks(lines, templates, order, threshold).drop("template", "block_no")
+    if wrapped:
+        found = found.unionByName(matching_windows(base.select(*key, "text"), "text", templates, order, threshold))
     labels = found.groupBy("id", "h1", "h2").agg(F.sort_array(F.collect_set("label")).alias("labels"), F.max("score").alias("score"))
     counts = base.select(*key, F.size(_words(F.col("text"))).cast("long").alias("n_words"), _places(F.col("text")).alias("places"))
     labels = materialize(labels).withColumnsRenamed({c: f"_{c}" for c in ("id", "h1", "h2")})

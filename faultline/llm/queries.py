@@ -57,7 +57,7 @@ def op3_quality_rules(spark, sf_dir):
 
 @register("op8_licenses")
 def op8_licenses(spark, sf_dir):
-    out = licenses.scan(table(spark, sf_dir, "documents"))
+    out = licenses.scan(table(spark, sf_dir, "documents"), wrapped=True)
     at, own = F.transform("places", lambda p: p["at"]), F.transform("places", lambda p: p["label"])
     return out.select(
         F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"),

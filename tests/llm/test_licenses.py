@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 from faultline.llm import licenses
 
@@ -43,3 +44,31 @@ def test_against_brute_force(spark):
         want = sorted((str(i), n, p, lb, round(s, 9)) for i, t, _ in rows for n, p, lb, s in [brute(t, threshold)])
         assert have == want
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    """A notice wrapped at 30-80 columns, in comment lines or after other text, is found like one on a line."""
+    rng = random.Random(5)
+    rows, want = [], []
+    for label, text in licenses.TEMPLATES:
+        for mark in ("", "# ", " * ", "// ", "dnl "):
+            for width in (30, 72, 80):
+                lines = textwrap.wrap(text, width)
+                if mark == "":
+                    lines[0] = f"Some words before. {lines[0]}"
+                if len(lines) > 2:
+                    lines.insert(rng.randint(1, len(lines) - 1), mark.strip() if mark != "dnl " else "")  # a line without words
+                body = ["alpha beta gamma"] * rng.randint(0, 50) + [mark + x for x in lines] + ["delta epsilon " * 9] * 3
+                rows.append((len(rows), "\n".join(body)))
+                want.append(label)
+    scattered = "\n".join(f"{w}\n" + "filler words go here\n" * 12 for w in licenses.TEMPLATES[6][1].split())
+    rows += [(len(rows), scattered), (len(rows) + 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r for r in licenses.scan(df, wrapped=True).collect()}
+    for (i, text), label in zip(rows, want, strict=False):
+        assert label in got[i]["labels"] and got[i]["score"] >= 0.9, text
+    assert got[rows[-2][0]]["labels"] == [] and got[rows[-1][0]]["score"] == 0
+    assert licenses.scan(df.limit(0), wrapped=True).count() == 0
+    by_line = {r["id"]: r for r in licenses.scan(df).collect()}
+    assert all(set(by_line[i]["labels"]) <= set(got[i]["labels"]) for i in by_line)
+    assert sum(label not in by_line[i]["labels"] for i, label in enumerate(want)) > 50  # one line does not show them
