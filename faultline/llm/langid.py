@@ -32,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from faultline.llm.common import map_batches, prepare, utf8
+from faultline.llm.html_extract import DROP, read_page
 from faultline.session import materialize
 
 #: Languages that are told apart.
@@ -193,7 +194,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
         return df.withColumns({"_lid_host": F.coalesce(host_col, F.lit("")), "_lid_suffix": F.coalesce(suffix_col, F.lit("")),
                                "_lid_declared": known, "_lid_best": F.when(sure, best)})
 
-    evidence = with_evidence(_scored(docs.select(text, declared, host, *_columns_of(docs, suffix)), text, table))
+    evidence = with_evidence(_scored(docs.select(text, declared, host) if suffix is None else docs, text, table))
     # one pass over all rows: verdicts by host, suffix and declaration
     counted = materialize(evidence.filter("_lid_best is not null")
                           .groupBy("_lid_host", "_lid_suffix", "_lid_declared", "_lid_best").agg(F.count(F.lit(1)).alias("n")))
@@ -248,8 +249,24 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     return rows.select(*[F.col(c) for c in docs.columns], out.alias(verdict))
 
 
-def _columns_of(docs: DataFrame, suffix: Column | None) -> list[Column]:
-    return [] if suffix is None else [F.col(c) for c in docs.columns]
+def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` with the column ``text``: the page's lines that its markup does not drop."""
+    names = pages.columns
+    out_schema = StructType([*pages.schema.fields, StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = ["\n".join(t for t, state in read_page(x.decode("utf-8", "replace")) if state != DROP) for x in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], pa.array(texts, pa.string())], names=[*names, "text"])
+
+    return pages.withColumn("_lid_html", utf8(html)).mapInArrow(run, out_schema)
+
+
+def identify_pages(pages: DataFrame, url: str = "url", html: str = "html", verdict: str = "language_id", **options) -> DataFrame:
+    """``pages`` without ``html``, with the page's text, the evidence columns of
+    ``page_evidence`` and ``verdict``: the declaration is the markup's, host and suffix are the url's."""
+    return identify(page_text(page_evidence(pages, url, html), html).drop(html), "text", "declared", "host", suffix=F.col("suffix"),
+                    verdict=verdict, **options)
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -86,6 +86,15 @@ def op6_language_id(spark, sf_dir):
         v["text_best"].alias("text_best"), v["n_trigrams"].alias("n_trigrams"), v["accepted"].alias("accepted"))
 
 
+@register("op6_page_language_id")
+def op6_page_language_id(spark, sf_dir):
+    """The pages by all evidences: their text, markup language, host and address suffix."""
+    v = F.col("language_id")
+    return langid.identify_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", F.lit("page").alias("kind"), "declared", "host", "suffix", v["language"].alias("language"), v["best"].alias("best"),
+        v["posterior"].alias("posterior"), v["text_best"].alias("text_best"), v["n_trigrams"].alias("n_trigrams"), v["accepted"].alias("accepted"))
+
+
 @register("op2_suffix_dedup")
 def op2_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))

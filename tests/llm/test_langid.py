@@ -104,3 +104,29 @@ def test_edge_cases(spark):
 def test_page_evidence(spark):
     df = spark.createDataFrame([("http://User@Blog.Example.FR:80/a", "<!doctype html><HTML class=x lang='FR-fr'>"), (None, None)], "url string, html string")
     assert [tuple(r)[2:] for r in langid.page_evidence(df).collect()] == [("fr", "blog.example.fr", "fr"), (None, None, None)]
+
+
+def test_pages_query_uses_markup_host_and_suffix(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = E.queries()["op6_page_language_id"](spark, sf).collect()
+    assert len(got) == pages.count()
+    assert all(r["kind"] == "page" and r["host"] and r["suffix"] for r in got)
+    assert sum(r["declared"] is not None for r in got) > 0.5 * len(got)
+    assert sum(r["n_trigrams"] > 0 for r in got) > 0.9 * len(got)
+
+
+def test_page_suffix_decides_between_equal_pages(spark):
+    """Pages of equal, poor text and without a declaration or known host differ by their suffix only."""
+    english, german = "the house and the garden with the man ", "das haus und der garten mit dem mann "
+    rows = [(i, f"http://h{i}.example.{'uk' if i % 2 else 'de'}/x", f"<html lang={'en' if i % 2 else 'de'}><p>{(english if i % 2 else german) * 5}")
+            for i in range(200)]
+    rows += [(1000 + k, f"http://new{k}.example.{s}/x", "<html><nav>das haus und der garten</nav><p>in man") for k, s in enumerate(["uk", "de"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in langid.identify_pages(df).collect()}
+    assert got[1]["language_id"]["best"] == "en" and got[0]["language_id"]["best"] == "de"
+    assert got[1000]["suffix"] == "uk" and got[1001]["suffix"] == "de"
+    assert got[1000]["text"] == got[1001]["text"] == "in man"  # the menu is not scored
+    a, b = got[1000]["language_id"], got[1001]["language_id"]
+    assert (a["best"], a["posterior"]) != (b["best"], b["posterior"])
