@@ -464,3 +464,14 @@ SELECT col_idx, value, count(*) AS n
 FROM (SELECT CAST(0 AS INTEGER) AS col_idx, CAST(n_nationkey AS VARCHAR) AS value FROM nation
       UNION ALL SELECT 1, n_name FROM nation)
 WHERE value IS NOT NULL AND NOT contains(value, '7') GROUP BY col_idx, value"""
+ORACLE["join_null_keys_all"] = """
+WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS file,
+                  CASE WHEN p_size % 9 <> 0 THEN CAST(p_size % 5 AS INTEGER) END AS version FROM part),
+r AS (SELECT file, version, min(p_partkey) AS first_part, count(*) AS n FROM k GROUP BY file, version HAVING count(*) > 1)
+SELECT k.p_partkey, k.file, k.version, r.first_part, r.n
+FROM k LEFT JOIN r ON k.file IS NOT DISTINCT FROM r.file AND k.version IS NOT DISTINCT FROM r.version"""
+ORACLE["cell_values_customer"] = """
+SELECT col_idx, value, count(*) AS n
+FROM (SELECT CAST(0 AS INTEGER) AS col_idx, CAST(c_custkey AS VARCHAR) AS value FROM customer
+      UNION ALL SELECT 1, c_name FROM customer UNION ALL SELECT 2, CAST(c_nationkey AS VARCHAR) FROM customer)
+WHERE value IS NOT NULL AND NOT contains(value, '7') GROUP BY col_idx, value"""

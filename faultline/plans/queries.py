@@ -571,14 +571,27 @@ def q_model_comparison(spark, sf):
 
 # --- joins on null keys, sources read back from files -------------------------------
 
-@register("join_null_keys")
-def q_join_null_keys(spark, sf):
-    """J1-J3 with missing keys on both sides: they match, as in pandas."""
+def _keyed_parts(spark, sf):
+    """Parts by a key with missing values, and a row for each key that comes more than once."""
     part = td.table(spark, sf, "part")
     keyed = part.select("p_partkey", F.when(F.col("p_partkey") % 11 != 0, F.col("p_brand")).alias("file"),
                         F.when(F.col("p_size") % 9 != 0, (F.col("p_size") % 5).cast("int")).alias("version"))
     right = keyed.groupBy("file", "version").agg(F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("n"))
-    return P.join_on(keyed.filter("p_partkey % 3 = 0"), right.filter("n > 1"), ["file", "version"], how="left", null_keys=True)
+    return keyed, right.filter("n > 1")
+
+
+@register("join_null_keys")
+def q_join_null_keys(spark, sf):
+    """J1-J3 with missing keys on both sides: they match, as in pandas."""
+    keyed, right = _keyed_parts(spark, sf)
+    return P.join_on(keyed.filter("p_partkey % 3 = 0"), right, ["file", "version"], how="left", null_keys=True)
+
+
+@register("join_null_keys_all")
+def q_join_null_keys_all(spark, sf):
+    """J1-J3 as ``join_null_keys``, over every part row."""
+    keyed, right = _keyed_parts(spark, sf)
+    return P.join_on(keyed, right, ["file", "version"], how="left", null_keys=True)
 
 
 @register("versioned_files")
@@ -605,3 +618,12 @@ def q_cell_values(spark, sf):
     sheet = td.table(spark, sf, "nation").select("n_nationkey", "n_name")
     cells = FS.flatten_cells(sheet, exclude_substring="7")
     return cells.groupBy("col_idx", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("cell_values_customer")
+def q_cell_values_customer(spark, sf):
+    """S9 + F7 as ``cell_values``, over a sheet that grows with the input."""
+    from faultline.sources import files as FS
+    sheet = td.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    cells = FS.flatten_cells(sheet, exclude_substring="7")
+    return cells.groupBy("col_idx", "value").agg(F.count(F.lit(1)).alias("n"))

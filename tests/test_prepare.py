@@ -100,3 +100,11 @@ def test_merge_coverage_drops_first_and_null_versions(spark):
     rows = sorted((r.file, r.COV_INSTRUCTION) for r in out.collect())
     assert rows == [("a", 0.5), ("b", None)]
     assert not math.isnan(P.unmatched_count(out, "COV_INSTRUCTION").first().unmatched)
+
+
+def test_null_key_join_takes_every_part(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    out = E.queries()["join_null_keys_all"](spark, sf)
+    assert out.count() == spark.read.parquet(f"{sf}/part.parquet").count()
+    assert out.filter("file is null and n > 1").count() > 0
