@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from faultline.session import ensure_checkpoint_dir, ship_package
+from faultline.session import _WRITTEN, ensure_checkpoint_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,12 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, ARROW_ROWS)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the session's checkpoint folder, which ``session.cleanup`` deletes."""
+    _WRITTEN.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def utf8(col: str | Column) -> Column:
     """A text column as its UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")

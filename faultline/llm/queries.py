@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, html_extract, langid, licenses, lm_score, packing, quality, simhash, suffix_dedup, topk
+from faultline.llm import bpe, html_extract, langid, licenses, lm_score, packing, quality, simhash, suffix_dedup, token_files, topk
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,10 @@ def op2_suffix_dedup(spark, sf_dir):
 @register("op1_lm_score")
 def op1_lm_score(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op11_token_files")
+def op11_token_files(spark, sf_dir):
+    out = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.crc32("ids").alias("ids_crc32"))
