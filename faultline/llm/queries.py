@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, html_extract, langid, licenses, lm_score, packing, quality, simhash, suffix_dedup, token_files, topk
+from faultline.llm import bpe, html_extract, langid, licenses, lm_score, packing, quality, simhash, suffix_dedup, token_files, topk, whitening
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,12 @@ def op11_token_files(spark, sf_dir):
     out = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256)
+    both = F.arrays_zip("whitened", "explained")
+    return out.select("id", "n", "deviation", "identity_error", F.posexplode(both).alias("at", "c")).select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).cast("int").alias("component"), "n", "deviation",
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
