@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, html_extract, langid, licenses, lm_score, packing, quality, simhash, suffix_dedup, token_files, topk, whitening
+from faultline.llm import (
+    alignment,
+    bpe,
+    html_extract,
+    langid,
+    licenses,
+    lm_score,
+    packing,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_files,
+    topk,
+    whitening,
+)
 from faultline.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +134,10 @@ def op12_whitening(spark, sf_dir):
     return out.select("id", "n", "deviation", "identity_error", F.posexplode(both).alias("at", "c")).select(
         F.col("id").alias("vec_id"), (F.col("at") + 1).cast("int").alias("component"), "n", "deviation",
         F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+@register("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    out = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.coalesce(F.lower(F.hex("groups")), F.lit(""))).drop("groups")
