@@ -36,7 +36,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import struct
 from collections.abc import Iterator
 
@@ -51,7 +50,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from faultline.llm.bpe import byte_letters
 from faultline.llm.common import schema_of, utf8
-from faultline.llm.pieces import Pieces
+from faultline.llm.pieces import PartIds, Pieces
 from faultline.session import materialize
 
 #: Runs that the records of a chunk are dealt to, and runs that are merged at a time.
@@ -66,66 +65,86 @@ CACHE_PARTS = 200_000
 MARK = "▁"
 
 
+def _texts(numbers: int) -> np.ndarray:
+    """Four byte strings for each number: followed by nothing, comma, bar and semicolon."""
+    return np.array([f"{i}{end}".encode() for i in range(numbers) for end in ("", ",", "|", ";")], object)
+
+
 class Aligner:
-    """Records of words: (group string, links as A id << 32 | B id, numbers of A tokens, B tokens and groups)."""
+    """Records of words: (group string closed by a semicolon, links as A id << 32 |
+    B id, numbers of A tokens, B tokens and groups); None where bytes differ."""
 
     def __init__(self, source: str, model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_str(source)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.a = PartIds(source, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        spec = json.loads(source)
         byte_of = {c: i for i, c in enumerate(byte_letters())}
-        self.a_bytes = {i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        vocab = json.loads(source)["model"]["vocab"]
+        a_bytes = [b""] * (1 + max(vocab.values()))
+        for token, i in vocab.items():
+            a_bytes[i] = bytes(byte_of[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_bytes, self.b_bytes = np.array(a_bytes, object), np.array(b_bytes, object)
+        self.a_size, self.b_size = np.array([len(x) for x in a_bytes]), np.array([len(x) for x in b_bytes])
+        self.texts = _texts(max(len(a_bytes), len(b_bytes)))
         self.space = self.b.piece_to_id(MARK)
-        pre = spec["pre_tokenizer"] or {}
         marks_in_front = all(MARK not in p.lstrip(MARK) for p in pieces)
         keeps_spaces = "".join(self.b.encode_as_pieces("  a  b")) == f"{MARK * 3}a{MARK * 2}b"
-        self.by_part = (marks_in_front and keeps_spaces and not spec["normalizer"] and pre.get("type") == "ByteLevel"
-                        and pre["use_regex"] and not pre["add_prefix_space"])
+        self.by_part = marks_in_front and keeps_spaces and self.a.by_part
         self.parts = Pieces(self.code, CACHE_PARTS)
 
     def code(self, parts: list[str]) -> list[tuple[bytes, bytes, bytes] | None]:
-        """Records of parts, each read with one space before it; None where bytes differ."""
-        a = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        b = self.b.encode(parts, num_threads=1)
-        return [self.align(p, x.ids, y or [self.space]) for p, x, y in zip(parts, a, b, strict=True)]
-
-    def align(self, part: str, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes] | None:
-        a_of, b_of = self.a_bytes, self.b_bytes
-        whole = (" " + part).encode()
-        if b"".join([a_of[x] for x in a]) != whole or b"".join([b_of[y] for y in b]) != whole:
-            return None
-        groups, links, i, j, first, other = [], [], 0, 0, 0, 0
-        a_end, b_end = len(a_of[a[0]]), len(b_of[b[0]])
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if a_end == b_end:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[first:i]))}|{','.join(map(str, b[other:j]))}")
-                first, other = i, j
-                if i == len(a):
-                    break
-                a_end, b_end = a_end + len(a_of[a[i]]), b_end + len(b_of[b[j]])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(a_of[a[i]])
-            else:
-                j += 1
-                b_end += len(b_of[b[j]])
-        return ";".join(groups).encode(), np.array(links, "<i8").tobytes(), struct.pack("<3q", len(a), len(b), len(groups))
-
-    def __call__(self, text: str) -> list[tuple[bytes, bytes, bytes]]:
-        """Records of a text's parts; none if it has no tokens."""
-        if not text or MARK in text:
-            return []
-        records = self.parts(text) if self.by_part else self.code([text])
-        return [] if None in records else records
+        """Records of parts, each read with one space before it."""
+        a = self.a(parts) if self.by_part else self.a.whole([" " + p for p in parts])
+        b = [x or [self.space] for x in self.b.encode(parts, num_threads=1)]
+        whole = [(" " + p).encode() for p in parts]
+        a_ids, b_ids = np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.array([y for x in b for y in x], np.int64)
+        a_upto, b_upto = np.cumsum([len(x) // 4 for x in a]), np.cumsum([len(x) for x in b])
+        # parts whose token bytes are not their own are left out
+        a_text, b_text = self.a_bytes[a_ids].tolist(), self.b_bytes[b_ids].tolist()
+        sound, i, j = np.zeros(len(parts), bool), 0, 0
+        for k, (w, i2, j2) in enumerate(zip(whole, a_upto.tolist(), b_upto.tolist(), strict=True)):
+            sound[k] = b"".join(a_text[i:i2]) == w == b"".join(b_text[j:j2])
+            i, j = i2, j2
+        out: list = [None] * len(parts)
+        if not sound.any():
+            return out
+        n_a, n_b = np.diff(a_upto, prepend=0), np.diff(b_upto, prepend=0)
+        a_ids, b_ids = a_ids[np.repeat(sound, n_a)], b_ids[np.repeat(sound, n_b)]
+        n_a, n_b = n_a[sound], n_b[sound]
+        # byte offsets in all sound parts, one after another; tokens of both sides end where a part ends
+        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        part_end = a_end[np.cumsum(n_a) - 1]
+        ends = np.union1d(a_end, b_end)  # each stretch between two ends is one link
+        links = a_ids[np.searchsorted(a_end, ends)] << 32 | b_ids[np.searchsorted(b_end, ends)]
+        both = np.intersect1d(a_end, b_end, assume_unique=True)
+        a_last, b_last = np.searchsorted(a_end, both), np.searchsorted(b_end, both)
+        # the groups' string: a group's A tokens, then its B tokens
+        a_sign, b_sign = np.ones(len(a_ids), np.int64), np.ones(len(b_ids), np.int64)
+        a_sign[a_last], b_sign[b_last] = 2, 3
+        a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
+        string = np.empty(len(a_ids) + len(b_ids), np.int64)
+        string[np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[a_group]] = 4 * a_ids + a_sign
+        string[np.arange(len(b_ids)) + a_last[b_group] + 1] = 4 * b_ids + b_sign
+        string = self.texts[string].tolist()
+        string_upto = np.cumsum(n_a + n_b).tolist()
+        link_upto = (8 * (np.searchsorted(ends, part_end) + 1)).tolist()
+        groups = np.diff(np.searchsorted(both, part_end) + 1, prepend=0)
+        numbers = np.column_stack([n_a, n_b, groups]).astype("<i8").tobytes()
+        raw, s, t = links.astype("<i8").tobytes(), 0, 0
+        for m, k in enumerate(np.flatnonzero(sound).tolist()):
+            s2, t2 = string_upto[m], link_upto[m]
+            out[k] = (b"".join(string[s:s2]), raw[t:t2], numbers[24 * m:24 * m + 24])
+            s, t = s2, t2
+        return out
+
+    def __call__(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes, bytes]]]:
+        """Records of each text's parts; none if it has no tokens."""
+        able = [t for t in texts if t and MARK not in t]
+        found = self.parts(able) if self.by_part else ([r] for t in able for r in self.code([t]))
+        for t in texts:
+            records = next(found) if t and MARK not in t else []
+            yield [] if None in records else records
 
 
 _LOADED: dict[str, Aligner] = {}
@@ -260,11 +279,11 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, types, strict=True)], names=types.names)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                records = aligner(text.decode("utf-8", "replace"))
+            texts = [t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]
+            for doc, records in zip(b.column(0).to_pylist(), aligner(texts), strict=True):
                 ids.append(doc)
                 stats.append(np.frombuffer(b"".join([r[2] for r in records]), "<i8").reshape(-1, 3).sum(axis=0))
-                hashes.append(hashlib.sha256(b";".join([r[0] for r in records])).digest() if records else bytes(32))
+                hashes.append(hashlib.sha256(b"".join([r[0] for r in records])[:-1]).digest() if records else bytes(32))
                 links.append(b"".join([r[1] for r in records]))
                 size += len(links[-1]) // 8
                 if size >= CHUNK_LINKS or len(ids) >= CHUNK_DOCS:

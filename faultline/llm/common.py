@@ -92,6 +92,10 @@ class WordCache:
 
     def join(self, words: list) -> bytes:
         """The codes of ``words``, one after another."""
+        return b"".join(self.each(words))
+
+    def each(self, words: list) -> list[bytes]:
+        """The code of each of ``words``."""
         young, new = self.young, []
         for w in set(words).difference(young):
             known = self.old.get(w)
@@ -101,7 +105,7 @@ class WordCache:
                 young[w] = known
         if new:
             young.update(zip(new, self.code(new), strict=True))
-        out = b"".join([young[w] for w in words])
+        out = [young[w] for w in words]
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out

@@ -9,12 +9,29 @@ it is remembered.
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import regex
+
+from faultline.llm.bpe import PATTERN, byte_letters
+from faultline.llm.common import WordCache
 
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Longer parts are coded each time: what a worker remembers stays bounded.
 LONGEST = 120
+#: Characters of texts whose unknown parts are coded together.
+TOGETHER = 1 << 22
+#: Words that a worker process remembers, in each of two generations.
+CACHE_WORDS = 200_000
+#: The first code point of scripts that pattern libraries may not know alike.
+YOUNGER = "\u0500"
+#: Signs that are a word of their own after letters.
+SIGNS = frozenset('.,;:!?)"]')
 
 
 def _recurs(part: str) -> bool:
@@ -25,34 +42,110 @@ def _recurs(part: str) -> bool:
 class Pieces:
     """Records of the parts of texts. ``code`` turns parts, each to be read with
     one space before it, into records; two generations of at most ``limit``
-    records each are remembered."""
+    records each are remembered. The unknown parts of ``TOGETHER`` characters of
+    texts are coded in one call."""
 
     def __init__(self, code: Callable[[list[str]], list], limit: int):
         self.code, self.limit = code, limit
         self.young: dict = {}
         self.old: dict = {}
 
-    def __call__(self, text: str) -> list:
-        """Records of ``text`` read with a space before it."""
-        parts, young = text.split(" "), self.young
-        try:
-            return [young[p] for p in parts]
-        except KeyError:
-            pass
-        new = set(parts).difference(young)
-        if not all(map(_recurs, new)):
-            parts = [s[1:] for s in CUT.split(" " + text)]
-            new = set(parts).difference(young)
-        once, unknown = {}, []
-        for p in new:
-            known = self.old.get(p)
-            if known is None:
-                unknown.append(p)
-            else:
-                young[p] = known
-        for p, record in zip(unknown, self.code(unknown) if unknown else [], strict=True):
+    def __call__(self, texts: list[str]) -> Iterator[list]:
+        """Records of each text read with a space before it."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[list]:
+        young, old = self.young, self.old
+        parted = [text.split(" ") for text in texts]
+        unknown = set().union(*[set(parts).difference(young) for parts in parted])
+        # what stands before a space that is no cut
+        open_ended = {p for p in unknown if not p or p[-1].isspace()}
+        if open_ended:
+            for k, parts in enumerate(parted):
+                if not open_ended.isdisjoint(parts):
+                    parted[k] = [s[1:] for s in CUT.split(" " + texts[k])]
+                    unknown.update(parted[k])
+            unknown = unknown.intersection(set().union(*parted)).difference(young)
+        for p in unknown & old.keys():
+            young[p] = old[p]
+            unknown.remove(p)
+        once = {}
+        ordered = list(unknown)
+        for p, record in zip(ordered, self.code(ordered) if ordered else [], strict=True):
             (young if _recurs(p) else once)[p] = record
-        out = [young[p] if p in young else once[p] for p in parts]
+        for parts in parted:
+            if once and not once.keys().isdisjoint(parts):
+                yield [young[p] if p in young else once[p] for p in parts]
+            else:
+                yield [young[p] for p in parts]
         if len(young) > self.limit:
             self.old, self.young = young, {}
+
+
+class PartIds:
+    """Ids of parts of texts by a tokenizer file of the tokenizers library, without added special tokens.
+
+    A part is split into words here where the pattern leaves no doubt (letters,
+    letters and one sign) or by the pattern itself, and the words not met before are coded
+    by the tokenizer's model. Parts with special tokens or with letters of younger
+    scripts, which pattern libraries may class differently, are coded whole by the library.
+    ``by_part`` tells whether texts may be coded by their parts at all.
+    """
+
+    def __init__(self, source: str, width: str = "<u4", special: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tokenizer, self.width = Tokenizer.from_str(source), width
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = not special
+        spec = json.loads(source)
+        pre, added = spec["pre_tokenizer"] or {}, spec["added_tokens"] if special else []
+        plain = all(" " not in t["content"] and not t["content"][:1].isalpha() and not (
+            t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+        self.by_part = (plain and not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre["use_regex"]
+                        and not pre["add_prefix_space"])
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+        self.word, self.letters, self.model = regex.compile(PATTERN), dict(enumerate(byte_letters())), self.tokenizer.model
+        self.words = WordCache(self._code_words, CACHE_WORDS)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _code_words(self, words: list[str]) -> list[bytes]:
+        tokenize, letters, kind = self.model.tokenize, self.letters, "H" if self.width == "<u2" else "I"
+        out = []
+        for w in words:
+            spelt = letters[32] + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else \
+                w.encode().decode("latin-1").translate(letters)
+            out.append(array(kind, [t.id for t in tokenize(spelt)]).tobytes())
+        return out
+
+    def __call__(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, each read with one space before it."""
+        out, words, bounds, others = [b""] * len(parts), [], [], []
+        for i, p in enumerate(parts):
+            if not (p.isascii() or max(p) < YOUNGER) or (self.special and self.special.search(p)):
+                others.append(i)
+                continue
+            if p.isalpha():
+                words.append(" " + p)
+            elif p[-1:] in SIGNS and p[:-1].isalpha():
+                words += (" " + p[:-1], p[-1])
+            else:
+                words += self.word.findall(" " + p)
+            bounds.append((i, len(words)))
+        codes, at = self.words.each(words), 0
+        for i, end in bounds:
+            out[i] = codes[at] if end - at == 1 else b"".join(codes[at:end])
+            at = end
+        for i, ids in zip(others, self.whole([" " + parts[i] for i in others]) if others else [], strict=True):
+            out[i] = ids
         return out

@@ -36,27 +36,27 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from faultline.llm.common import schema_of, scratch, utf8
-from faultline.llm.pieces import CUT, Pieces
+from faultline.llm.pieces import CUT, PartIds, Pieces
 from faultline.operators.ordering import running_sum
 from faultline.session import materialize
 
 #: Ids of a block (a longer document has a block of its own), and blocks of a file.
 BLOCK_IDS, FILE_BLOCKS = 1 << 20, 16
 #: Parts of texts whose ids a worker process remembers, in each of two generations.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 200_000
 
 MAGIC, HEAD = b"FVB1", struct.Struct("<4sQQQ")
 #: Byte lengths of the four numbers of each control byte, and the bits of a number by its length.
@@ -120,38 +120,19 @@ def blocks(content: bytes) -> Iterator[Block]:
 
 
 class TextIds:
-    """Ids of whole texts by a tokenizer file of the tokenizers library, without added special tokens.
-
-    Where the tokenizer splits words by the byte-level pattern and does not
-    normalise, texts are coded by their parts (``pieces``), else whole.
-    """
+    """Ids of whole texts: by their parts where the tokenizer allows it, else whole."""
 
     def __init__(self, source: str, width: str = "<u4"):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer, self.width = Tokenizer.from_str(source), width
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        spec = json.loads(source)
-        pre = spec["pre_tokenizer"] or {}
-        plain = all(" " not in t["content"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])
-                    for t in spec["added_tokens"])
-        self.by_part = (plain and not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre["use_regex"]
-                        and not pre["add_prefix_space"])
-        self.parts = Pieces(lambda parts: self.code([" " + p for p in parts]), CACHE_PARTS)
-
-    def code(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if not text or not self.by_part:
-            return self.code([text])[0]
-        if text[0] == " ":
-            return b"".join(self.parts(text[1:]))
-        cut = CUT.search(text)
-        if not cut:
-            return self.code([text])[0]
-        return b"".join([*self.code([text[:cut.start()]]), *self.parts(text[cut.start() + 1:])])
+        self.ids = PartIds(source, width)
+        self.parts = Pieces(self.ids, CACHE_PARTS)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.ids.by_part:
+            return self.ids.whole(texts)
+        cuts = [0 if t[:1] == " " else m.start() if (m := CUT.search(t)) else len(t) for t in texts]
+        firsts = self.ids.whole([t[:i] for t, i in zip(texts, cuts, strict=True)])
+        more = self.parts([t[i + 1:] for t, i in zip(texts, cuts, strict=True) if i < len(t)])
+        return [first + b"".join(next(more)) if i < len(t) else first for t, i, first in zip(texts, cuts, firsts, strict=True)]
 
 
 _LOADED: dict[tuple[str, str], TextIds] = {}
@@ -166,21 +147,20 @@ def _loaded(source: str, width: str) -> TextIds:
 
 def encode(docs: DataFrame, path: str, end_id: int, width: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """(id, ids binary of ``width``, n, row): every text's ids and the end id; ``row`` numbers the rows."""
+    """(id, ids, row): every text's ids (of ``width``, zstd) with the end id; ``row`` numbers the rows."""
     with open(path, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = schema_of("id long, ids binary, n long, row long")
+    schema = schema_of("id long, ids binary, row long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, types, end = _loaded(source.value, width), to_arrow_schema(schema), np.array([end_id], width).tobytes()
-        row = TaskContext.get().partitionId() << 36
+        zip_, row = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 36
         for b in batches:
-            ids = [ids_of(t.decode("utf-8", "replace")) + end for t in b.column(1).to_pylist()]
-            n = [len(x) // int(width[2]) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, types.types[1]), pa.array(n, types.types[2]),
-                 pa.array(np.arange(row, row + len(n)))], names=types.names)
-            row += len(n)
+            ids = ids_of([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])
+            packed = [zip_.compress(x + end) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, types.types[1]), pa.array(np.arange(row, row + len(ids)))],
+                                             names=types.names)
+            row += len(ids)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).mapInArrow(run, schema)
 
@@ -188,9 +168,13 @@ def encode(docs: DataFrame, path: str, end_id: int, width: str, id_col: str = "d
 def count_ids(tokens: DataFrame, size: int, width: str) -> DataFrame:
     """(id, n) of the ids that occur, summed in the tasks first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size, np.int64)
+        n, held, unzip = np.zeros(size, np.int64), [], zstandard.ZstdDecompressor()
         for b in batches:
-            n += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), width), minlength=size)
+            for ids in b.column(0).to_pylist():
+                held.append(np.frombuffer(unzip.decompress(ids), width))
+            if held:
+                n += np.bincount(np.concatenate(held), minlength=size)
+                held.clear()
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(n[seen])], names=["id", "n"])
 
@@ -215,7 +199,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_col: str
     ranks = sc.broadcast(rank)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, unzip = [], 0, zstandard.ZstdDecompressor()
 
         def close() -> pa.RecordBatch:
             block = pack_block(held)
@@ -224,7 +208,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_col: str
 
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                numbers = ranks.value[np.frombuffer(ids, width)]
+                numbers = ranks.value[np.frombuffer(unzip.decompress(ids), width)]
                 if held and n + len(numbers) > BLOCK_IDS:
                     yield close()
                     n = 0
