@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import regex
@@ -130,22 +131,24 @@ class PartIds:
 
     def __call__(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, each read with one space before it."""
-        out, words, bounds, others = [b""] * len(parts), [], [], []
-        for i, p in enumerate(parts):
-            if not (p.isascii() or max(p) < YOUNGER) or (self.special and self.special.search(p)):
-                others.append(i)
-                continue
-            if p.isalpha():
-                words.append(" " + p)
-            elif p[-1:] in SIGNS and p[:-1].isalpha():
-                words += (" " + p[:-1], p[-1])
-            else:
-                words += self.word.findall(" " + p)
-            bounds.append((i, len(words)))
-        codes, at = self.words.each(words), 0
-        for i, end in bounds:
-            out[i] = codes[at] if end - at == 1 else b"".join(codes[at:end])
-            at = end
-        for i, ids in zip(others, self.whole([" " + parts[i] for i in others]) if others else [], strict=True):
-            out[i] = ids
+        words, shape, special = [], [], self.special
+        for p in parts:
+            if p.isascii() or (p and max(p) < YOUNGER):
+                if p.isalpha():
+                    words.append(" " + p)
+                    shape.append(1)
+                    continue
+                if p[-1:] in SIGNS and p[:-1].isalpha():
+                    words += (" " + p[:-1], p[-1])
+                    shape.append(2)
+                    continue
+                if not (special and special.search(p)):
+                    found = self.word.findall(" " + p)
+                    words += found
+                    shape.append(len(found))
+                    continue
+            shape.append(0)
+        others = iter(self.whole([" " + p for p, k in zip(parts, shape, strict=True) if not k]) if 0 in shape else [])
+        codes = iter(self.words.each(words))
+        out = [next(codes) if k == 1 else b"".join(islice(codes, k)) if k else next(others) for k in shape]
         return out
