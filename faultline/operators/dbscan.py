@@ -1,16 +1,23 @@
 """Exact DBSCAN on DataFrames (M4) and connected components.
 
-Steps, each a distributed job over bounded blocks (see ``pairwise``):
-  1. neighbour counts within ``eps`` (self included) -> core rows
-     (count >= min_samples);
-  2. core-core adjacency inside every block pair, reduced *inside the
-     block* to local components, emitted as star edges (node -> local
-     minimum), never as the pair list;
-  3. global connected components of those edges (alternating large-star /
-     small-star rounds, reliable checkpoints between rounds);
-  4. clusters numbered by their lowest core row id (0, 1, ...), border rows
-     take the lowest-numbered cluster among their core neighbours, the
-     rest is noise (-1).
+On the cells of a metric tree (see ``metric_tree``; equal rows are one weighted point):
+
+1. Leaves and cells are paired by descent. A cell of at least ``min_samples`` rows
+   that lies wholly within ``eps`` of a whole leaf (itself narrower than ``eps``)
+   settles that leaf without measuring: it is *full*, all its points are core and
+   linked, and one edge links them to the cell's core points. What lies partly within reach stays an open leaf pair.
+2. Neighbours are counted for the points of the other leaves only. Each of them
+   has fewer than ``min_samples`` rows in every cell within reach, so dense regions
+   are never counted pair by pair.
+3. Open leaf pairs that the settled edges have connected already are dropped;
+   the others are measured once more, giving links of core points (components
+   inside the task, a full leaf being one vertex) and, in the same pass, the
+   core neighbours of border rows.
+4. Connected components of these links (alternating large-star / small-star
+   rounds, written between rounds); clusters numbered by their lowest core row
+   id (0, 1, ...), border rows take the lowest-numbered cluster among their core
+   neighbours, the rest is noise (-1).
+
 This matches the sequential lowest-row-first labelling of the reference.
 """
 
@@ -21,8 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators.distances import as_matrix, sq_dists
+from faultline.operators.metric_tree import BRANCH, LEAF_ROWS, Tree, build, counts_within, look, pairs
 from faultline.operators.ordering import row_index
-from faultline.operators.pairwise import DEFAULT_BLOCK_ROWS, emitted_rows, eps_blocks, eps_pair_groups, pair_apply
 from faultline.session import materialize
 
 
@@ -64,74 +72,126 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
         .select("id", F.coalesce(F.col("root"), F.col("id")).alias("component"))
 
 
-def _local_stars(ids: np.ndarray, adj_pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Components of a small graph (node indices, edge index arrays) ->
-    (node id, local root id) for every non-root node of a non-trivial component."""
-    n = len(ids)
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lowest node of each node's component in a small graph of ``n`` nodes and edges a - b."""
     lab = np.arange(n)
-    a, b = adj_pairs
-    if len(a) == 0:
-        return np.array([], dtype=np.int64), np.array([], dtype=np.int64)
-    # order nodes by id so the label (smallest index) is the smallest id
-    while True:
-        old = lab.copy()
-        np.minimum.at(lab, a, lab[b])
-        np.minimum.at(lab, b, lab[a])
-        lab = lab[lab]  # pointer jumping
-        if np.array_equal(lab, old):
+    while len(a):
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, lab[a], low)
+        np.minimum.at(new, lab[b], low)
+        new = new[new]  # pointer jumping
+        if np.array_equal(new, lab):
             break
-    keep = lab != np.arange(n)
-    return ids[keep], ids[lab[keep]]
+        lab = new
+    return lab
+
+
+def _vertex(node: str):
+    """Tree cells as vertices: negative numbers, points having none."""
+    return -F.col(node) - 1
+
+
+def _unified(tree: Tree, settled: DataFrame, core_leaves: DataFrame) -> DataFrame:
+    """Edges (src, dst) between cells: a settled leaf with its cell, and from every
+    such cell down to the leaves under it that have core points."""
+    above = core_leaves.select(F.col("leaf").alias("node"))
+    up = None  # (leaf, node): a leaf with core points and all cells it stands in
+    front = above.withColumn("leaf", F.col("node"))
+    for _ in range(tree.depth + 1):
+        up = front if up is None else up.unionByName(front)
+        front = front.filter("node > 0").withColumn("node", ((F.col("node") - 1) / BRANCH).cast("long"))
+    met = settled.join(up.select("node").distinct(), "node", "left_semi")  # a cell without core points links nothing
+    down = up.join(met.select("node").distinct(), "node", "left_semi")
+    return met.select(_vertex("leaf").alias("src"), _vertex("node").alias("dst")).unionByName(
+        down.select(_vertex("leaf").alias("src"), _vertex("node").alias("dst"))).filter("src != dst")
 
 
 def dbscan(df: DataFrame, eps: float, min_samples: int = 5, id_col: str = "row_id", vec: str = "features",
-           n_pivots: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """M4: (row_id, cluster, is_core); cluster -1 = noise."""
-    dim = len(df.select(vec).first()[0]) if n_pivots is None else None
-    n_piv = n_pivots if n_pivots is not None else min(3, max(1, dim))
-    base = df.select(F.col(id_col).cast("long").alias("rid"), F.col(vec).alias("vec"))
-    rows, cells = eps_blocks(base, "rid", "vec", eps, n_piv, block_rows)
-    rows = rows.transform(materialize)      # reused by three passes
-    cells = cells.transform(materialize)
-    est = emitted_rows(cells, n_piv)        # sizes the pair groups, from the cell table
-
-    # 1. neighbour counts -> core flags
-    def count(lid, rid, ii, jj):
-        return pd.DataFrame({"rid": lid.astype("int64"), "n": np.bincount(ii, minlength=len(lid)).astype("int64")})
-
-    g = eps_pair_groups(rows, rows, cells, "rid", ["vec"], n_piv)
-    deg = pair_apply(g, "rid", "vec", eps, count, "rid long, n long", est_rows=est).groupBy("rid").agg(F.sum("n").alias("n"))
-    flags = rows.select("rid").join(deg, "rid", "left") \
-        .select("rid", (F.coalesce(F.col("n"), F.lit(0)) >= min_samples).alias("is_core")).transform(materialize)
-    core_rows = rows.join(flags.filter("is_core").select("rid"), "rid", "left_semi")
-    other_rows = rows.join(flags.filter(~F.col("is_core")).select("rid"), "rid", "left_semi")
-
-    # 2. core-core adjacency, reduced to local stars inside each group
-    def stars(lid, rid, ii, jj):
-        ids = np.unique(np.concatenate([lid, rid]))
-        a = np.searchsorted(ids, lid[ii])
-        b = np.searchsorted(ids, rid[jj])
-        sel = a != b
-        src, dst = _local_stars(ids, (a[sel], b[sel]))
-        return pd.DataFrame({"src": src.astype("int64"), "dst": dst.astype("int64")})
-
-    g2 = eps_pair_groups(core_rows, core_rows, cells, "rid", ["vec"], n_piv)
-    edges = pair_apply(g2, "rid", "vec", eps, stars, "src long, dst long", est_rows=est)
-    comp = connected_components(flags.filter("is_core").select(F.col("rid").alias("id")), edges, "id")
-    roots = comp.select(F.col("component").alias("root")).distinct()
-    numbered = row_index(roots, ["root"], "cluster")
-    core_cluster = comp.join(numbered, comp.component == numbered.root).select(F.col("id").alias("rid"), "cluster") \
-        .transform(materialize)
-
-    # 3. border rows: lowest cluster among core neighbours (< min_samples of them)
-    def border(lid, rid, ii, jj):
-        return pd.DataFrame({"rid": lid[ii].astype("int64"), "nb": rid[jj].astype("int64")})
-
-    g3 = eps_pair_groups(other_rows, core_rows, cells, "rid", ["vec"], n_piv)
-    pairs = pair_apply(g3, "rid", "vec", eps, border, "rid long, nb long", est_rows=est)
-    bcl = pairs.join(core_cluster.select(F.col("rid").alias("nb"), "cluster"), "nb") \
-        .groupBy("rid").agg(F.min("cluster").alias("cluster"))
-    labels = flags.join(core_cluster, "rid", "left").join(bcl.withColumnRenamed("cluster", "bcluster"), "rid", "left")
-    return labels.select(F.col("rid").alias(id_col),
-                         F.coalesce(F.col("cluster"), F.col("bcluster"), F.lit(-1)).cast("int").alias("cluster"),
-                         "is_core")
+           block_rows: int = LEAF_ROWS, sent: dict | None = None) -> DataFrame:
+    """M4: (row_id, cluster, is_core); cluster -1 = noise. ``sent`` collects the
+    numbers of leaf pairs: open, counted, and measured for links."""
+    tree = build(df, id_col, vec, block_rows)
+    rows = df.select(F.col(id_col), F.col(vec).cast("array<double>").alias("vec"))
+    if tree.nodes is None:
+        return rows.select(id_col, F.lit(-1).alias("cluster"), F.lit(False).alias("is_core"))
+    # points are vertices from 0 on, whatever the row ids; the order stays
+    shift = min(0, tree.nodes.filter("level = 0").first()["min_pid"])
+    tree = tree._replace(points=tree.points.withColumn("pid", F.col("pid") - shift))
+    leaves = tree.nodes.filter("is_leaf").select(F.col("node").alias("leaf"), (F.col("min_pid") - shift).alias("min_pid"))
+    reach = leaves.select("leaf", F.lit(float(eps)).alias("reach"))
+    open_, settled = (materialize(t) for t in pairs(tree, reach, full=min_samples, tight=True))
+    full = materialize(settled.select("leaf").distinct())
+
+    # core points: all of a full leaf, the others by counting
+    counted = open_.join(full, "leaf", "left_anti")
+    n = counts_within(tree, eps, counted)
+    flagged = tree.points.select("pid", "vec", "w", "leaf").join(full.withColumn("full", F.lit(True)), "leaf", "left").join(n, "pid", "left")
+    pts = materialize(flagged.select("pid", "vec", "w", "leaf", F.col("full").isNotNull().alias("full"),
+                                     (F.col("full").isNotNull() | (F.coalesce("n", F.lit(0)) >= min_samples)).alias("core")))
+    kinds = materialize(pts.groupBy("leaf").agg(F.max("full").alias("full"), F.max("core").alias("core"), F.min("core").alias("all_core")))
+
+    # links of settled leaves, and the components they make already
+    cell_edges = materialize(_unified(tree, settled, kinds.filter("core")))
+    vertices = full.select(_vertex("leaf").alias("id"))
+    known = None if cell_edges.isEmpty() else materialize(
+        connected_components(vertices, cell_edges, "id").select((-F.col("id") - 1).alias("leaf"), "component"))
+
+    # open pairs: a core point on one side, anything on the other (a pair of two is measured once)
+    left, right = kinds.select("leaf", F.col("full").alias("f"), F.col("core").alias("c"), F.col("all_core").alias("a")),         kinds.select(F.col("leaf").alias("other"), F.col("full").alias("f2"), F.col("core").alias("c2"), F.col("all_core").alias("a2"))
+    both = open_.select(F.least("leaf", "other").alias("leaf"), F.greatest("leaf", "other").alias("other")).distinct()
+    met = both.join(left, "leaf").join(right, "other").filter("c or c2").filter("leaf != other or not f")
+    if known is not None:
+        met = met.join(known, "leaf", "left").join(known.select(F.col("leaf").alias("other"), F.col("component").alias("component2")), "other", "left") \
+            .filter("not (f and f2 and component <=> component2 and component is not null)")
+    met = materialize(met.select("leaf", F.col("other").alias("target")))
+    if sent is not None:
+        sent.update(open=open_.count(), counted=counted.count(), measured=met.count(), leaves=leaves.count())
+    out = "kind int, src long, dst long"
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, p = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        found = [np.zeros((0, 3), np.int64)]
+        if len(q) and len(p):
+            y, y_core, y_pid = as_matrix(p["vec"]), p["core"].to_numpy(bool), p["pid"].to_numpy()
+            # a full leaf is one vertex
+            y_name = np.where(p["full"].to_numpy(bool), -p["target"].to_numpy() - 1, y_pid)
+            for _, g in q.groupby("leaf"):
+                x, x_core, x_pid = as_matrix(g["vec"]), g["core"].to_numpy(bool), g["pid"].to_numpy()
+                x_name = np.where(g["full"].to_numpy(bool), -g["leaf"].to_numpy().astype(np.int64) - 1, x_pid)
+                names, at = np.unique(np.concatenate([x_name, y_name]), return_inverse=True)
+                links, step = [np.zeros((0, 2), np.int64)], max(1, 4_000_000 // len(y))
+                for i in range(0, len(x), step):
+                    a, b = np.nonzero(sq_dists(x[i:i + step], y) <= eps * eps)
+                    a += i
+                    core = x_core[a] & y_core[b]
+                    pair = np.column_stack([at[:len(x)][a[core]], at[len(x):][b[core]]])
+                    links.append(np.unique(pair, axis=0) if len(pair) else pair)
+                    for side, other, name, pid in ((x_core[a] & ~y_core[b], b, x_name[a], y_pid), (~x_core[a] & y_core[b], a, y_name[b], x_pid)):
+                        border = np.column_stack([np.ones(side.sum(), np.int64), pid[other[side]], name[side]])
+                        found.append(np.unique(border, axis=0) if len(border) else border)
+                edges = np.concatenate(links)
+                root = _roots(len(names), edges[:, 0], edges[:, 1])
+                star = np.flatnonzero(root != np.arange(len(names)))
+                found.append(np.column_stack([np.zeros(len(star), np.int64), names[star], names[root[star]]]))
+        all_ = np.concatenate(found)
+        return pd.DataFrame({"kind": all_[:, 0].astype("int32"), "src": all_[:, 1], "dst": all_[:, 2]})
+
+    queries = materialize(met.join(pts.select("leaf", "pid", "vec", "full", "core"), "leaf"))
+    right_points = pts.select("leaf", "pid", "vec", "full", "core")
+    linked = materialize(look(queries, right_points, link, out))
+    edges = linked.filter("kind = 0").select("src", "dst").unionByName(cell_edges)
+    vertices = vertices.unionByName(pts.filter("core and not full").select(F.col("pid").alias("id")))
+    comp = materialize(connected_components(vertices, edges, "id"))
+    lowest = leaves.select(_vertex("leaf").alias("id"), F.col("min_pid").alias("low")).join(full.select(_vertex("leaf").alias("id")), "id") \
+        .unionByName(pts.filter("core and not full").select(F.col("pid").alias("id"), F.col("pid").alias("low")))
+    roots = comp.join(lowest, "id").groupBy("component").agg(F.min("low").alias("low"))
+    numbered = materialize(comp.join(row_index(roots, ["low"], "cluster").select("component", "cluster"), "component").select("id", "cluster"))
+    name = F.when(F.col("full"), _vertex("leaf")).when(F.col("core"), F.col("pid"))
+    border = linked.filter("kind = 1").join(numbered, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("pid")) \
+        .agg(F.min("cluster").alias("near"))
+    labels = pts.withColumn("id", name).join(numbered, "id", "left").join(border, "pid", "left").select(
+        "vec", F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"), F.col("core").alias("is_core"))
+    return rows.join(labels, "vec").select(id_col, "cluster", "is_core")

@@ -144,9 +144,11 @@ def metrics_summary(res: ClusterResult, drop_null: bool = True) -> DataFrame:
     return out.unionByName(clusters)
 
 
-def k_distance_curve(vec: DataFrame, eps: float | None = None, k: int = 5, id_col: str = "row_id") -> DataFrame:
-    """Sorted k-distance curve of all rows: (idx, k_distance, is_eps)."""
-    kd = PW.kth_neighbour(vec, k, id_col)
+def k_distance_curve(vec: DataFrame, eps: float | None = None, k: int = 5, id_col: str = "row_id",
+                     kdist: DataFrame | None = None) -> DataFrame:
+    """Sorted k-distance curve of all rows: (idx, k_distance, is_eps);
+    ``kdist`` are the distances if they are known already."""
+    kd = PW.kth_neighbour(vec, k, id_col) if kdist is None else kdist
     idx = row_index(kd, ["k_distance", id_col], "idx")
     flag = (F.round(F.col("k_distance"), 9) == F.lit(round(eps, 9))) if eps is not None else F.lit(False)
     return idx.select("idx", "k_distance", flag.alias("is_eps"))

@@ -498,8 +498,8 @@ def q_cluster_experiment(spark, sf):
 def q_kdist_curve(spark, sf):
     """Sorted k-distance curve of all part points, knee eps flagged."""
     pts = part_points(spark, sf)
-    eps = float(PW.find_eps(pts, MIN_SAMPLES).first()["eps"])
-    c = EX.k_distance_curve(pts, eps, MIN_SAMPLES)
+    kd = PW.kth_neighbour(pts, MIN_SAMPLES).transform(materialize)  # read by the knee and the curve
+    c = EX.k_distance_curve(pts, float(PW.knee_eps(kd).first()["eps"]), MIN_SAMPLES, kdist=kd)
     return c.select("idx", r6(F.col("k_distance")).alias("k_distance"), "is_eps")
 
 

@@ -1,7 +1,6 @@
 """Distance operators against brute-force NumPy implementations."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,15 +142,73 @@ def test_silhouette_needs_two_clusters(spark):
     assert PW.davies_bouldin(df).first().davies_bouldin is None
 
 
-def test_pair_groups_stay_bounded_when_one_cell_holds_all_rows(spark):
-    """The estimate counts what is emitted, so groups do not grow with a hot cell."""
+@pytest.mark.parametrize("seed,d,eps,m,block", [(1, 2, 0.3, 5, 16), (2, 2, 1.2, 8, 16), (3, 3, 0.35, 4, 9), (4, 1, 0.2, 3, 8), (5, 2, 1.2, 40, 6)])
+def test_dbscan_dense_cells_copies_and_negative_ids(spark, seed, d, eps, m, block):
+    rng = np.random.default_rng(seed)
+    X = np.concatenate([blobs(seed, 200, d), np.repeat([[9.0] * d], 40, 0), np.repeat([[9.2] * d], 3, 0), rng.normal(0, 1e-3, (80, d))]).round(4)
+    X = X[rng.permutation(len(X))]
+    df = frame(spark, X).withColumn("row_id", F.col("row_id") - 100)
+    got = DB.dbscan(df, eps, m, block_rows=block).orderBy("row_id").collect()
+    assert [r.cluster for r in got] == list(brute_dbscan(X, eps, m))
+
+
+def test_dbscan_narrow_cells_far_from_one_another(spark):
+    """Leaves that are settled by a cell whose own points are not core."""
+    X = np.concatenate([[[0.0, 0.0]] * 3, [[0.9, 0.0]] * 2, [[0.45, 0.0]], [[1.8, 0.0]]])
+    for m, block in ((3, 1), (3, 2), (5, 2)):
+        got = DB.dbscan(frame(spark, X), 1.0, m, block_rows=block).orderBy("row_id").collect()
+        assert [r.cluster for r in got] == list(brute_dbscan(X, 1.0, m)), (m, block)
+
+
+def test_work_is_linear_when_one_spot_holds_a_third(spark):
+    """Leaf pairs that are counted or measured grow with the rows, not with their square."""
     rng = np.random.default_rng(4)
-    for n in (600, 1200, 2400):
-        df = frame(spark, rng.normal(0, 1e-4, (n, 2)))
-        rows, cells = PW.eps_blocks(df, "row_id", "features", 1.0, 2, block_rows=64)
-        groups = PW.eps_pair_groups(rows, rows, cells, "row_id", ["features"], 2)
-        emitted = groups.count()
-        assert PW.emitted_rows(cells, 2) == emitted
-        sizes = PW.pair_apply(groups, "row_id", "features", 1.0,
-                              lambda l, r, i, j: pd.DataFrame({"n": [len(l) + len(r)]}), "n long", target_rows=256, est_rows=emitted)
-        assert sizes.agg({"n": "max"}).first()[0] <= 256 * 8
+    pairs = []
+    for n in (1200, 4800):
+        X = np.concatenate([rng.normal(0, 0.05, (n // 3, 2)), rng.uniform(-n ** 0.5 / 10, n ** 0.5 / 10, (2 * n // 3, 2))])
+        sent = {}
+        DB.dbscan(frame(spark, X), 0.5, 5, block_rows=32, sent=sent).count()
+        pairs.append(sent["counted"] + sent["measured"])
+    assert pairs[1] < 6 * pairs[0]
+
+
+def test_kth_neighbour_candidates_do_not_grow_on_clustered_rows(spark):
+    rng = np.random.default_rng(6)
+    per_row = []
+    for n in (1000, 4000):
+        centers = rng.uniform(-50, 50, (n // 50, 3))
+        X = (centers[:, None] + rng.normal(0, 0.2, (n // 50, 50, 3))).reshape(-1, 3)
+        rings = []
+        got = {r.row_id: r.k_distance for r in PW.kth_neighbour(frame(spark, X), 5, block_rows=64, rings=rings).collect()}
+        if n == 1000:
+            D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+            assert np.allclose([got[i] for i in range(n)], np.sort(D, axis=1)[:, 4])
+        per_row.append(sum(r["points"] for r in rings) / n)
+    assert per_row[1] < 2 * per_row[0] + 1
+
+
+def test_kth_neighbour_copies_few_rows_and_no_rows(spark):
+    X = np.repeat([[1.0, 2.0], [3.0, 4.0], [3.0, 4.5]], [6, 2, 1], axis=0)
+    got = {r.row_id: r.k_distance for r in PW.kth_neighbour(frame(spark, X), 3, block_rows=2).collect()}
+    assert [got[i] for i in range(9)] == [0.0] * 6 + [0.5] * 2 + [0.5]
+    assert [r.k_distance for r in PW.kth_neighbour(frame(spark, X[6:]), 5).collect()] == [None] * 3
+    none = frame(spark, X).filter("row_id < 0")
+    assert PW.kth_neighbour(none, 3).count() == PW.neighbour_counts(none, 1.0).count() == DB.dbscan(none, 1.0).count() == 0
+
+
+def test_eps_of_a_sample(spark):
+    """M3 on the reference's terms: at most ``max_samples`` rows, the same at every call."""
+    X = blobs(3, 400)
+    df = frame(spark, X)
+    picked = sorted(r.row_id for r in PW.sample_rows(df, "row_id", 100).collect())
+    assert len(picked) == 100 and picked == sorted(r.row_id for r in PW.sample_rows(df.repartition(5), "row_id", 100).collect())
+    D = np.sqrt(((X[picked][:, None] - X[picked][None]) ** 2).sum(-1))
+    raw = PW.find_eps(df, 5, 100).first()
+    assert raw.n_points == 100 and np.isclose(np.sort(D, axis=1)[:, 4], raw.eps_raw).any()
+
+
+def test_each_row_goes_to_a_fixed_number_of_tiles(spark):
+    assert [PW.bands(t) * (PW.bands(t) + 1) // 2 >= 2 * t for t in (1, 8, 200)] == [True] * 3
+    for n in (50, 500):
+        got = PW.tiles(spark.range(n), "id", 6).groupBy("id").count().select("count").distinct().collect()
+        assert [r[0] for r in got] == [6]
