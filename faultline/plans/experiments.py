@@ -178,7 +178,7 @@ def classify_experiment(df: DataFrame, label: str, dataset: str = "dataset", cla
     preds = CL.cross_validate(data, prep.features, classifier, "y", id_col, folds, seed)
     per = CL.cv_metrics(preds)
     summary = CL.cv_summary(CL.long_metrics(per, list(CL.METRICS)))
-    imp = CL.importances(data, prep.features, classifier, "y", seed)
+    imp = CL.importances(data, prep.features, classifier, "y", seed, id_col)
     if prep.names != prep.features:
         m = df.sparkSession.createDataFrame(list(zip(prep.features, prep.names)), "feature string, display string")
         imp = imp.join(m, "feature").select("rank", F.col("display").alias("feature"), "importance")
