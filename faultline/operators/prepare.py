@@ -56,6 +56,7 @@ def join_on(
     how: str = "inner",
     null_keys: bool = False,
     drop_right_keys: bool = True,
+    suffixes: tuple[str, str] = ("_x", "_y"),
 ) -> DataFrame:
     """Equi-join on (possibly differently named) key columns.
 
@@ -63,6 +64,7 @@ def join_on(
     Right key columns that share a name with a left key are coalesced into the
     left one (as pandas does for ``on=``); differently named right keys are
     dropped when ``drop_right_keys`` (the reference drops them after the merge).
+    Other columns that both sides have are kept, with ``suffixes`` to their names.
     The join strategy is left to Catalyst/AQE: small dimension sides are
     broadcast by the size threshold, large ones sort-merge, skew is split.
     """
@@ -71,9 +73,13 @@ def join_on(
     if len(left_on) != len(right_on):
         raise ValueError("left_on and right_on differ in length")
     r_alias = {c: f"__r{i}" for i, c in enumerate(right_on)}
+    clash = {c for c in right.columns if c in left.columns and c not in r_alias and c not in left_on}
+    renamed = [c + suffixes[0] if c in clash else c for c in left.columns]
+    if clash:
+        left = left.toDF(*renamed)
     r = right.select(
         *[col(c).alias(r_alias[c]) for c in right_on],
-        *[col(c) for c in right.columns if c not in r_alias and c not in left.columns],
+        *[col(c).alias(c + suffixes[1] if c in left_on or c in clash else c) for c in right.columns if c not in r_alias],
     )
     conds = []
     for lk, rk in zip(left_on, right_on):

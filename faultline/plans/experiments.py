@@ -154,10 +154,13 @@ def k_distance_curve(vec: DataFrame, eps: float | None = None, k: int = 5, id_co
     return idx.select("idx", "k_distance", flag.alias("is_eps"))
 
 
-def pca_scatter(res: ClusterResult) -> tuple[DataFrame, list[float]]:
-    """(row_id, pc1, pc2, cluster, label) + explained-variance ratios."""
+def pca_scatter(res: ClusterResult) -> tuple[DataFrame, list[float], DataFrame]:
+    """(row_id, pc1, pc2, cluster, label), the explained-variance ratios, and
+    the clusters' centers projected by the same model: (cluster, pc1, pc2)."""
     df = res.prepared.df.join(res.labels, res.prepared.id_col)
-    return pca2d(df, res.prepared.features, res.prepared.id_col, extra=["cluster", "label"])
+    vec = F.array(*[F.col(f) for f in res.prepared.features])
+    centers = PW.center_vectors(df.select(vec.alias("features"), "cluster"))
+    return pca2d(df, res.prepared.features, res.prepared.id_col, extra=["cluster", "label"], centers=centers)
 
 
 @dataclass
@@ -168,12 +171,17 @@ class ClassifyResult:
     per_fold: DataFrame        # fold x metrics
     summary: DataFrame         # A14
     importances: DataFrame     # M10
+    folds: int = 5
+    seed: int = 42
+    n_features: int = 0
 
 
 def classify_experiment(df: DataFrame, label: str, dataset: str = "dataset", classifier: str = "rf",
-                        id_col: str = "row_id", folds: int = 5, seed: int = 42) -> ClassifyResult:
-    """Preprocess (no outlier removal) -> stratified CV -> metrics -> full refit importances."""
-    prep = preprocess(df, label, id_col=id_col)
+                        id_col: str = "row_id", folds: int = 5, seed: int = 42,
+                        feature_name_map: Mapping[str, str] | None = None) -> ClassifyResult:
+    """Preprocess (no outlier removal) -> stratified CV -> metrics -> full refit
+    importances, under the names of ``feature_name_map`` where it has one."""
+    prep = preprocess(df, label, id_col=id_col, feature_name_map=feature_name_map)
     data = prep.df.withColumnRenamed("label", "y")
     preds = CL.cross_validate(data, prep.features, classifier, "y", id_col, folds, seed)
     per = CL.cv_metrics(preds)
@@ -182,7 +190,7 @@ def classify_experiment(df: DataFrame, label: str, dataset: str = "dataset", cla
     if prep.names != prep.features:
         m = df.sparkSession.createDataFrame(list(zip(prep.features, prep.names)), "feature string, display string")
         imp = imp.join(m, "feature").select("rank", F.col("display").alias("feature"), "importance")
-    return ClassifyResult(dataset, classifier, preds, per, summary, imp)
+    return ClassifyResult(dataset, classifier, preds, per, summary, imp, folds, seed, len(prep.features))
 
 
 def compare_all(results: Sequence[ClassifyResult], top_n: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -280,3 +288,21 @@ def cluster_document(res: ClusterResult, remove_outliers: bool = False, z: float
         res.external.select(F.struct("*")).scalar().alias("external_metrics"),
         res.prediction.select(F.struct("*")).scalar().alias("prediction_metrics"))
     return results_document(metrics, res.ranking, res.stats)
+
+
+def classification_document(res: ClassifyResult, description: str = "") -> DataFrame:
+    """The one-row nested results document of a classification run:
+    dataset, description, classifier, cv_folds, random_state, n_samples, n_features,
+    n_defective, defect_rate, metrics (mean, std and the folds' values by metric) and
+    feature_importances in order. Write it with ``sources.sinks.write_json``."""
+    head = res.predictions.agg(F.count(F.lit(1)).alias("n_samples"), F.sum("y").cast("long").alias("n_defective"),
+                               F.round(F.avg("y") * 100, 2).alias("defect_rate"))
+    metrics = res.summary.agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("metric", F.struct("mean", "std", "values"))))).alias("m"))  # five metrics
+    ranked = res.importances.agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "importance"))).alias("f"))  # one entry a feature
+    ranked = ranked.select(F.transform("f", lambda s: F.struct(s["feature"].alias("feature"), s["importance"].alias("importance"))).alias("f"))
+    return head.select(
+        F.lit(res.dataset).alias("dataset"), F.lit(description).alias("description"), F.lit(res.classifier).alias("classifier"),
+        F.lit(res.folds).alias("cv_folds"), F.lit(res.seed).alias("random_state"), "n_samples",
+        F.lit(res.n_features).alias("n_features"), "n_defective", "defect_rate",
+        metrics.select("m").scalar().alias("metrics"), ranked.select("f").scalar().alias("feature_importances"))

@@ -475,3 +475,22 @@ SELECT col_idx, value, count(*) AS n
 FROM (SELECT CAST(0 AS INTEGER) AS col_idx, CAST(c_custkey AS VARCHAR) AS value FROM customer
       UNION ALL SELECT 1, c_name FROM customer UNION ALL SELECT 2, CAST(c_nationkey AS VARCHAR) FROM customer)
 WHERE value IS NOT NULL AND NOT contains(value, '7') GROUP BY col_idx, value"""
+
+ORACLE["join_suffixes"] = """
+SELECT o.o_custkey AS key, o.o_totalprice AS amount_x, o.o_orderkey AS id_x, c.c_acctbal AS amount_y, c.c_nationkey AS id_y
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey"""
+ORACLE["pca_centers"] = _PCL + """
+, p AS (SELECT * FROM pts),
+  m AS (SELECT avg(x0) AS m0, avg(x1) AS m1, var_samp(x0) AS a, covar_samp(x0, x1) AS b, var_samp(x1) AS c FROM p),
+  e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l FROM m),
+  u AS (SELECT m0, m1, b / sqrt(b * b + (l - a) * (l - a)) AS u0, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS u1 FROM e),
+  k AS (SELECT 'row' AS kind, row_id AS id, x0, x1 FROM p
+        UNION ALL SELECT 'center', cluster, avg(x0), avg(x1) FROM p WHERE cluster >= 0 GROUP BY cluster)
+SELECT kind, CAST(id AS BIGINT) AS id, round(abs((x0 - m0) * u0 + (x1 - m1) * u1), 6) AS pc1,
+       round(abs((x1 - m1) * u0 - (x0 - m0) * u1), 6) AS pc2
+FROM k, u"""
+ORACLE["results_documents"] = with_("unit") + """
+, h AS (SELECT count(*) AS n, sum(CASE WHEN "Bug" > 0 THEN 1 ELSE 0 END) AS d FROM unit)
+SELECT k.kind, 'unit' AS dataset, k.method, CAST(n AS BIGINT) AS n_samples, CAST(6 AS BIGINT) AS n_features,
+       CAST(d AS BIGINT) AS n_defective, round(d / n * 100, 2) AS defect_rate, CAST(6 AS BIGINT) AS n_ranked, true AS named
+FROM h, (VALUES ('classification', 'lr'), ('clustering', 'kmeans')) AS k(kind, method)"""

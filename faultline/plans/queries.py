@@ -627,3 +627,50 @@ def q_cell_values_customer(spark, sf):
     sheet = td.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
     cells = FS.flatten_cells(sheet, exclude_substring="7")
     return cells.groupBy("col_idx", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("join_suffixes")
+def q_join_suffixes(spark, sf):
+    """Columns that both sides have come back twice, with suffixes."""
+    orders = td.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("amount"),
+                                                  F.col("o_orderkey").alias("id"))
+    customers = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("amount"),
+                                                       F.col("c_nationkey").alias("id"))
+    return P.join_on(orders, customers, ["key"], how="left")
+
+
+@register("pca_centers")
+def q_pca_centers(spark, sf):
+    """M5 / R5 with two features: rows and cluster centers by one model, the sign left out."""
+    pts = td.part2(spark, sf).select("row_id", "x0", "x1").join(
+        part_points_clustered(spark, sf).select("row_id", "cluster"), "row_id").transform(materialize)
+    centers = PW.center_vectors(pts.select(F.array("x0", "x1").alias("features"), "cluster"))
+    rows, _, at = CT.pca2d(pts, ["x0", "x1"], extra=["cluster"], centers=centers)
+    both = rows.select(F.lit("row").alias("kind"), F.col("row_id").cast("long").alias("id"), "pc1", "pc2").unionByName(
+        at.select(F.lit("center").alias("kind"), F.col("cluster").cast("long").alias("id"), "pc1", "pc2"))
+    return both.select("kind", "id", r6(F.abs("pc1")).alias("pc1"), r6(F.abs("pc2")).alias("pc2"))
+
+
+@register("results_documents")
+def q_results_documents(spark, sf):
+    """Both kinds of results document written as JSON and read back."""
+    from faultline.session import ensure_checkpoint_dir
+    from faultline.sources import files, sinks
+    unit = td.unit(spark, sf).drop("grp")
+    names = {"SM_size": "Size"}
+    res = EX.classify_experiment(unit, "Bug", "unit", "lr", feature_name_map=names)
+    clusters = EX.cluster_experiment(unit, "Bug", "unit", "kmeans", feature_name_map=names)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}"
+    sinks.write_json(EX.classification_document(res, "stand-in units"), f"{folder}/classification")
+    sinks.write_json(EX.cluster_document(clusters), f"{folder}/clustering")
+    doc = spark.read.json(f"{folder}/classification")
+    own = doc.select(
+        F.lit("classification").alias("kind"), "dataset", F.col("classifier").alias("method"), "n_samples", "n_features", "n_defective",
+        "defect_rate", F.size("feature_importances").cast("long").alias("n_ranked"),
+        F.exists("feature_importances", lambda f: f["feature"] == "Size").alias("named"))
+    other = spark.read.json(f"{folder}/clustering")
+    _, ranks = files.read_results_json(spark, f"{folder}/clustering")
+    found = ranks.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("feature") == "Size").alias("named"))
+    return own.unionByName(other.select(
+        F.lit("clustering").alias("kind"), "dataset", F.col("algorithm").alias("method"), "n_samples", "n_features", "n_defective",
+        "defect_rate", found.select("n").scalar().alias("n_ranked"), found.select("named").scalar().alias("named")))

@@ -1,6 +1,7 @@
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql.functions import col, lit
 
 from faultline.functions import columns as C
 from faultline.operators import prepare as P
@@ -29,6 +30,20 @@ def test_join_null_keys_match_like_pandas(spark):
     assert len(strict) == 1 and len(nullsafe) == 2
 
 
+def test_join_keeps_both_columns_of_a_name(spark):
+    l = spark.createDataFrame([("1", "a", 1.0)], "k string, x string, `odd.name` double")
+    r = spark.createDataFrame([("1", "b", 2.0, 3)], "k string, x string, `odd.name` double, z int")
+    out = P.join_on(l, r, ["k"])
+    assert out.columns == ["k", "x_x", "odd.name_x", "x_y", "odd.name_y", "z"]
+    assert tuple(out.first()) == ("1", "a", 1.0, "b", 2.0, 3)
+    own = P.join_on(l, r.withColumnRenamed("k", "key"), ["k"], ["key"], how="left", suffixes=("", "_right"))
+    assert own.columns == ["k", "x", "odd.name", "x_right", "odd.name_right", "z"]
+    key = P.join_on(l, r.select(col("k").alias("key"), col("x").alias("k")), ["k"], ["key"])
+    assert key.columns == ["k", "x", "odd.name", "k_y"]  # the left key keeps its name
+    outer = P.join_on(l, r.withColumn("k", lit("2")), ["k"], how="full").orderBy("k")
+    assert [tuple(x) for x in outer.collect()] == [("1", "a", 1.0, None, None, None), ("2", None, None, "b", 2.0, 3)]
+
+
 def test_join_left_renamed_keys_and_duplicates_multiply(spark):
     l = spark.createDataFrame([("1", "a", 1), ("2", "b", 2)], "ver string, file string, x int")
     r = spark.createDataFrame([("1", "a", 5), ("1", "a", 6)], "version string, file string, y int")
