@@ -240,10 +240,11 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     spread = F.aggregate("_lid_logit", F.exp(F.lit(float(np.log(0.01))) - F.greatest(top, F.lit(0.0))),
                          lambda a, x: a + F.exp(x - F.greatest(top, F.lit(0.0))))
     rows = rows.withColumn("_lid_post", F.exp(top - F.greatest(top, F.lit(0.0))) / spread)
-    best = F.element_at(names, F.array_position("_lid_logit", top).cast("int"))
+    # element_at of a null place is no null
+    best = F.when(top.isNotNull(), F.element_at(names, F.array_position("_lid_logit", top).cast("int")))
     accepted = F.coalesce(F.col("_lid_post") >= MIN_POSTERIOR, F.lit(False))
     out = F.struct(F.when(accepted, best).alias("language"), best.alias("best"), F.col("_lid_post").alias("posterior"),
-                   F.element_at(names, F.col("_lid_best")).alias("text_best"),
+                   F.when(F.col("_lid_best").isNotNull(), F.element_at(names, F.col("_lid_best"))).alias("text_best"),
                    F.coalesce(F.element_at("_lid", n_lang + 2), F.lit(0.0)).cast("long").alias("n_trigrams"),
                    accepted.alias("accepted"))
     return rows.select(*[F.col(c) for c in docs.columns], out.alias(verdict))

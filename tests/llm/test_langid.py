@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from faultline.llm import langid
+from faultline.llm.common import prepare
 from faultline.llm.queries import REGISTRY
 
 SF = "/root/testdata/sf0.01"
@@ -130,3 +131,13 @@ def test_page_suffix_decides_between_equal_pages(spark):
     assert got[1000]["text"] == got[1001]["text"] == "in man"  # the menu is not scored
     a, b = got[1000]["language_id"], got[1001]["language_id"]
     assert (a["best"], a["posterior"]) != (b["best"], b["posterior"])
+
+
+def test_texts_without_a_letter_have_no_best_language(spark):
+    prepare(spark)
+    docs = [(i, t, lang, "s") for i, (t, lang) in enumerate([("the sea and the sky are blue " * 5, "en"), ("le ciel et la mer sont bleus " * 5, "fr")] * 6)]
+    docs += [(100, None, "en", "s"), (101, "", "fr", "s"), (102, "12 34 -- 5", None, "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["language_id"] for r in langid.identify(df).collect()}
+    assert all(got[i][c] is None for i in (100, 101, 102) for c in ("language", "best", "text_best"))
+    assert {got[0]["best"], got[1]["best"]} == {"en", "fr"} == {got[0]["text_best"], got[1]["text_best"]}

@@ -89,7 +89,10 @@ def test_near_duplicates_rows_and_edge_cases(spark):
     for k, (i, _, _) in enumerate(rows):
         ids = [r[0] for r, l in zip(rows, lab, strict=True) if l == lab[k] and r[0] is not None]
         want.append((i, fps[k], min(ids)))
-    have = [(None if pd.isna(i) else int(i), int(f) % 2**64, int(c)) for i, f, c in got.itertuples(index=False)]
+    have = [(None if pd.isna(i) else int(i), int(f) % 2**64, int(c)) for i, f, c in got[["id", "fp", "component"]].itertuples(index=False)]
     assert sorted(have, key=str) == sorted(want, key=str)
+    signed = {f: f - 2**64 if f >= 2**63 else f for f in fps}
+    root = {f: min(signed[g] for g, m in zip(fps, lab, strict=True) if m == lab[fps.index(f)]) for f in fps}
+    assert all(root[int(f) % 2**64] == int(r) for f, r in got[["fp", "root"]].itertuples(index=False))
     empty = simhash.near_duplicates(df.limit(0))
-    assert empty.columns == ["id", "fp", "component"] and empty.count() == 0
+    assert empty.columns == ["id", "fp", "component", "root"] and empty.count() == 0
