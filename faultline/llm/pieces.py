@@ -26,9 +26,9 @@ CUT = re.compile(r"(?<=\S)(?= )")
 #: Longer parts are coded each time: what a worker remembers stays bounded.
 LONGEST = 120
 #: Characters of texts whose unknown parts are coded together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: Words that a worker process remembers, in each of two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: The first code point of scripts that pattern libraries may not know alike.
 YOUNGER = "\u0500"
 #: Signs that are a word of their own after letters.

@@ -34,7 +34,6 @@ an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import struct
@@ -57,7 +56,7 @@ from faultline.session import materialize
 #: Ids of a block (a longer document has a block of its own), and blocks of a file.
 BLOCK_IDS, FILE_BLOCKS = 1 << 20, 16
 #: Parts of texts whose ids a worker process remembers, in each of two generations.
-CACHE_PARTS = 200_000
+CACHE_PARTS = 100_000
 
 MAGIC, HEAD = b"FVB1", struct.Struct("<4sQQQ")
 #: Byte lengths of the four numbers of each control byte, and the bits of a number by its length.
@@ -155,7 +154,6 @@ def encode(docs: DataFrame, path: str, end_id: int, width: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, types, end = _loaded(source.value, width), to_arrow_schema(schema), np.array([end_id], width).tobytes()
-        gc.disable()  # coding makes many small objects and no cycles
         zip_, row = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 36
         for b in batches:
             ids = ids_of([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])
@@ -163,7 +161,6 @@ def encode(docs: DataFrame, path: str, end_id: int, width: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, types.types[1]), pa.array(np.arange(row, row + len(ids)))],
                                              names=types.names)
             row += len(ids)
-        gc.enable()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).mapInArrow(run, schema)
 
