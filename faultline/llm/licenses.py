@@ -1,22 +1,22 @@
 """License scan: an exact set-similarity join of text blocks with templates.
 
-A block is a line of a document, as its set of words; a block meets a template
-when it holds at least ``threshold`` of the template's words. Words are ordered
-by their count over the whole corpus, rarest first. A template of n words that
-needs o of them is indexed under its n - o + 1 rarest words only (prefix), a
-block needs at least o words of the templates' vocabulary (length), and the
-first shared word must leave room for o shared words behind it on both sides
-(position). What is left is verified exactly.
-
-A notice may be wrapped. With ``wrapped`` a block is also a window of
-consecutive lines: from any line on, the fewest lines that hold as many words as
-the template has (one word a line may be a comment marker and does not count;
-lines without a word are passed over). Windows are cut only around the lines that
-hold a prefix word of the template; what stands around such a line must hold
-enough of its words before its windows are verified exactly.
+A block is any run of consecutive words of a text, wherever its lines end, that
+is as long as the template and a quarter (for comment markers and the like), as
+its set of words; a block meets a template when it holds at least ``threshold``
+of the template's different words. Words far apart therefore meet none, and a
+notice of a few words must stand together.
+
+Texts are cut into pieces of ``PIECE`` words that overlap by the longest block,
+so that every block lies in one piece and no row grows with a text. Pieces are
+joined first, as sets, since a piece holds whatever its blocks hold: words are
+ordered by their count over the whole corpus, rarest first. A template of n
+words that needs o of them is indexed under its n - o + 1 rarest words only
+(prefix), a piece needs at least o words of the templates' vocabulary (length),
+and the first shared word must leave room for o shared words behind it on both
+sides (position). What is left is verified exactly, block by block.
 
 All of it is DataFrame work. The vocabulary of the templates is a parameter of
-a few hundred words; the driver sees only their counts. Lines without a prefix
+a few hundred words; the driver sees only their counts. Texts without a prefix
 word of any template never leave their scan task.
 
 Beside the join, the places where the words of a fixed phrase stand one after
@@ -47,6 +47,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Share of a template's words that a block must hold.
 THRESHOLD = 0.9
+#: Words of a piece, without its overlap.
+PIECE = 256
 #: Label and text of each template: public licence notices (fixed values).
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
@@ -114,105 +116,69 @@ def word_order(docs: DataFrame, text_col: str, vocabulary: list[str]) -> list[st
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def matching_blocks(blocks: DataFrame, templates: list[tuple[str, str]], order: list[str], threshold: float) -> DataFrame:
-    """(keys..., template, label, score) of every block (columns of ``blocks``
-    but ``line``) and template that meet; blocks need a prefix word to be looked at."""
-    spark = blocks.sparkSession
+def block_words(text: str) -> int:
+    """Words of a block that is held against the template ``text``."""
+    n = len(re.findall(WORD, text))
+    return n + n // 4
+
+
+def pieces(docs: DataFrame, text_col: str, prefix_words: list[str], overlap: int) -> DataFrame:
+    """(other columns, words) of the pieces that hold a prefix word."""
+    keys = [c for c in docs.columns if c != text_col]
+    # a text without any prefix word meets no template: it is dropped where it was read
+    near = docs.filter(F.col(text_col).rlike(r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(map(re.escape, prefix_words))
+                                             + r")(?![0-9a-z\x{80}-\x{10FFFF}])"))
+    prefix = F.array(*map(F.lit, prefix_words))
+    cut = let(_words(_lower_ascii(F.col(text_col))), lambda w: F.filter(
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(PIECE)),
+                    lambda i: F.slice(w, i + 1, PIECE + overlap)),
+        lambda piece: F.arrays_overlap(piece, prefix)))
+    return near.select(*keys, F.explode(cut).alias("words"))
+
+
+def _most_shared(words: Column, own: Column, span: Column) -> Column:
+    """Most words of ``own`` in any ``span`` consecutive words."""
+    at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(own, x["w"]))
+    return let(at, lambda p: F.array_max(F.transform(p, lambda x, k: F.size(F.array_distinct(F.transform(
+        F.filter(F.slice(p, k + 1, span), lambda y: y["i"] < x["i"] + span), lambda y: y["w"]))))))
+
+
+def matching_blocks(docs: DataFrame, text_col: str, templates: list[tuple[str, str]], order: list[str], threshold: float) -> DataFrame:
+    """(other columns, label, score) of every text and template that meet."""
+    spark = docs.sparkSession
     rank = {w: i for i, w in enumerate(order)}
     sides, index = [], []
     for t, (label, text) in enumerate(templates):
-        ranks = sorted(rank[w] for w in template_words(text))
-        need = needed(len(ranks), threshold)
-        sides.append((t, label, ranks, len(ranks), need))
-        index += [(ranks[i], i, t, len(ranks), need) for i in range(len(ranks) - need + 1)]
-    prefix_words = sorted({order[r] for r, *_ in index})
-    keys = [c for c in blocks.columns if c != "line"]
-    vocab = F.broadcast(spark.createDataFrame([(w, i) for w, i in rank.items()], "word string, r int"))
-    postings = F.broadcast(spark.createDataFrame(index, "r int, i int, template int, n int, need int"))
-    sizes = F.broadcast(spark.createDataFrame(sides, "template int, label string, ranks array<int>, n int, need int"))
-    # a line without any prefix word meets no template: it is dropped where it was read
-    near = blocks.filter(F.col("line").rlike(r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(map(re.escape, prefix_words))
-                                             + r")(?![0-9a-z\x{80}-\x{10FFFF}])"))
-    words = near.select(*keys, F.explode(F.array_distinct(_words(_lower_ascii(F.col("line"))))).alias("word"))
-    sets = words.join(vocab, "word").groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("block"))
-    probes = sets.select(*keys, "block", F.posexplode("block").alias("j", "r"))
-    first = probes.join(postings, "r").filter(F.size("block") >= F.col("need")) \
-        .filter(1 + F.least(F.col("n") - F.col("i"), F.size("block") - F.col("j")) - 1 >= F.col("need")) \
-        .select(*keys, "block", "template")
-    pairs = first.join(sizes, "template").withColumn("shared", F.size(F.array_intersect("block", "ranks")))
-    return pairs.filter(F.col("shared") >= F.col("need")) \
-        .select(*keys, "template", "label", (F.col("shared") / F.col("n")).alias("score")).distinct()
-
-
-def prefix_index(templates: list[tuple[str, str]], order: list[str], threshold: float) -> list[tuple[str, int, int]]:
-    """(prefix word, template, words needed) of all templates."""
-    rank = {w: i for i, w in enumerate(order)}
-    out = []
-    for t, (_, text) in enumerate(templates):
         own = sorted(template_words(text), key=rank.__getitem__)
         need = needed(len(own), threshold)
-        out += [(w, t, need) for w in own[:len(own) - need + 1]]
-    return out
-
-
-def matching_windows(docs: DataFrame, text_col: str, templates: list[tuple[str, str]], order: list[str], threshold: float) -> DataFrame:
-    """(keys..., label, score) of the windows of lines of every text and template that meet."""
-    spark = docs.sparkSession
+        sides.append((t, label, own, block_words(text)))
+        index += [(rank[own[i]], i, t, len(own), need) for i in range(len(own) - need + 1)]
     keys = [c for c in docs.columns if c != text_col]
-    index = prefix_index(templates, order, threshold)
-    prefix_words = sorted({w for w, *_ in index})
-    length = [len(re.findall(WORD, text)) for _, text in templates]
-    most = max(length)
-    sides = F.broadcast(spark.createDataFrame(
-        [(w, t, need, templates[t][0], template_words(templates[t][1]), length[t]) for w, t, need in index],
-        "word string, template int, need int, label string, own array<string>, length int"))
-    near = docs.filter(F.col(text_col).rlike(r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(map(re.escape, prefix_words))
-                                             + r")(?![0-9a-z\x{80}-\x{10FFFF}])"))
-    vocabulary, prefix = F.array(*map(F.lit, order)), F.array(*map(F.lit, prefix_words))
-    worded = F.filter(F.transform(F.split(text_col, "\n"), lambda x: _words(_lower_ascii(x))), lambda w: F.size(w) > 0)
-    lines = near.select(*keys, F.transform(worded, lambda w: F.struct(
-        F.size(w).alias("n"), F.array_intersect(w, vocabulary).alias("v"))).alias("lines"))
-    # a line with a prefix word and the lines around it that a window of it can reach
-    spots = let(F.col("lines"), lambda x: F.filter(F.transform(x, lambda line, i: F.struct(
-        F.array_intersect(line["v"], prefix).alias("words"), i.alias("i"))), lambda z: F.size(z["words"]) > 0))
-    around = F.transform(spots, lambda z: F.struct(
-        z["words"].alias("words"), F.least(z["i"], F.lit(most)).alias("at"),
-        F.slice("lines", F.greatest(z["i"] - most, F.lit(0)) + 1, F.least(z["i"], F.lit(most)) + most + 1).alias("lines")))
-    found = lines.select(*keys, F.explode(around).alias("z")).select(*keys, "z.at", "z.lines", F.explode("z.words").alias("word")).join(sides, "word")
-
-    def reach(line: Column) -> Column:
-        return F.greatest(line["n"] - 1, F.lit(1))
-
-    def window(start: Column) -> Column:
-        first = F.struct(F.lit(0).alias("got"), F.array_intersect(F.get("lines", start)["v"], F.col("own")).alias("met"))
-        held = F.aggregate(F.slice("lines", start + 2, F.col("length")), first, lambda a, line: F.when(
-            a["got"] >= F.col("length") - 1, a).otherwise(F.struct(
-                (a["got"] + reach(line)).alias("got"),
-                F.array_union(a["met"], F.array_intersect(line["v"], F.col("own"))).alias("met"))))
-        return F.size(held["met"])
-
-    enough = F.size(F.array_intersect(F.flatten(F.transform("lines", lambda x: x["v"])), F.col("own"))) >= F.col("need")
-    starts = F.sequence(F.greatest(F.col("at") - F.col("length"), F.lit(0)), F.col("at"))
-    return found.filter(enough).withColumn("shared", F.array_max(F.transform(starts, window))) \
-        .filter(F.col("shared") >= F.col("need")) \
-        .select(*keys, "label", (F.col("shared") / F.size("own")).alias("score")).distinct()
+    postings = F.broadcast(spark.createDataFrame(index, "r int, i int, template int, n int, need int"))
+    sizes = F.broadcast(spark.createDataFrame(sides, "template int, label string, own array<string>, span int"))
+    cut = pieces(docs, text_col, sorted({order[r] for r, *_ in index}), max(block_words(text) for _, text in templates) - 1)
+    # the piece's words of the vocabulary, rarest first
+    vocabulary = F.array(*map(F.lit, order))
+    ranks = F.transform(F.array_intersect(vocabulary, F.col("words")), lambda w: (F.array_position(vocabulary, w) - 1).cast("int"))
+    probes = cut.withColumn("piece", ranks).select(*keys, "words", "piece", F.posexplode("piece").alias("j", "r"))
+    first = probes.join(postings, "r").filter(F.size("piece") >= F.col("need")) \
+        .filter(F.least(F.col("n") - F.col("i"), F.size("piece") - F.col("j")) >= F.col("need"))
+    pairs = first.join(sizes, "template") \
+        .filter(F.size(F.array_intersect("words", "own")) >= F.col("need")) \
+        .withColumn("shared", _most_shared(F.col("words"), F.col("own"), F.col("span")))
+    return pairs.filter(F.col("shared") >= F.col("need")).select(*keys, "label", (F.col("shared") / F.col("n")).alias("score"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
-         wrapped: bool = False) -> DataFrame:
+         templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, n_words, places (array of (at, label)), labels
-    (those of the join, sorted) and score (highest containment, 0 without any).
-    ``wrapped``: windows of lines are blocks too."""
+    (those of the join, sorted) and score (highest containment, 0 without any)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     # rows with the same id and text get the same labels, so these two identify what is joined back
     key = [F.col("id"), F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")]
     order = word_order(base, "text", sorted({w for _, t in templates for w in template_words(t)}))
-    lines = base.select(*key, F.posexplode(F.split("text", "\n")).alias("block_no", "line"))
-    found = matching_blocks(lines, templates, order, threshold).drop("template", "block_no")
-    if wrapped:
-        found = found.unionByName(matching_windows(base.select(*key, "text"), "text", templates, order, threshold))
+    found = matching_blocks(base.select(*key, "text"), "text", templates, order, threshold)
     labels = found.groupBy("id", "h1", "h2").agg(F.sort_array(F.collect_set("label")).alias("labels"), F.max("score").alias("score"))
     counts = base.select(*key, F.size(_words(F.col("text"))).cast("long").alias("n_words"), _places(F.col("text")).alias("places"))
     labels = materialize(labels).withColumnsRenamed({c: f"_{c}" for c in ("id", "h1", "h2")})

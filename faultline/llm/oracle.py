@@ -45,13 +45,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM q"""
 
 _TEMPLATE_ROWS = ", ".join(
-    f"('{label}', {licenses.template_words(text)}, {licenses.needed(len(licenses.template_words(text)), licenses.THRESHOLD)})"
-    for label, text in licenses.TEMPLATES)
+    f"({t}, '{label}', {licenses.template_words(text)}, {licenses.needed(len(licenses.template_words(text)), licenses.THRESHOLD)}, "
+    f"{licenses.block_words(text)})" for t, (label, text) in enumerate(licenses.TEMPLATES))
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE["op8_licenses"] = rf"""
-WITH t(label, tw, need) AS (VALUES {_TEMPLATE_ROWS}),
+WITH t(template, label, tw, need, span) AS (VALUES {_TEMPLATE_ROWS}),
+tw AS (SELECT template, label, need, span, len(tw) AS n, unnest(tw) AS word FROM t),
 d AS (SELECT doc_id, coalesce(text, '') AS text,
              regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LICENSE_WORD}') AS w FROM documents),
 places AS (
@@ -63,10 +64,11 @@ places AS (
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license'))
   WHERE i > 2 AND w[i] = 'license' AND w[i - 1] = 'public' AND w[i - 2] = 'general'),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all({_LOWER.format("s")}, '{_LICENSE_WORD}')) AS b
-           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM d)),
-hits AS (SELECT doc_id, label, len(list_intersect(b, tw)) / len(tw) AS score FROM blocks, t
-         WHERE len(list_intersect(b, tw)) >= need),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+blocks AS (SELECT doc_id, label, need, n, count(DISTINCT word) OVER (
+             PARTITION BY doc_id, template ORDER BY i RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS shared
+           FROM words JOIN tw USING (word)),
+hits AS (SELECT DISTINCT doc_id, label, shared / n AS score FROM blocks WHERE shared >= need),
 best AS (SELECT doc_id, max(score) AS score FROM hits GROUP BY doc_id),
 every AS (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM hits),
 bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),

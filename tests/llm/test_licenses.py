@@ -15,11 +15,10 @@ def brute(t, threshold):
     w = words(t)
     places = sorted((i, lb) for p, lb in licenses.PHRASES.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split())
     labels, best = set(), 0.0
-    for line in (t or "").split("\n"):
-        b = set(words(line))
-        for lb, text in licenses.TEMPLATES:
-            tw = set(words(text))
-            share = len(tw & b) / len(tw)
+    for lb, text in licenses.TEMPLATES:
+        tw, span = set(words(text)), len(words(text)) * 5 // 4
+        for i in range(len(w)):
+            share = len(tw.intersection(w[i:i + span])) / len(tw)
             if share >= threshold - 1e-12:
                 labels.add(lb)
                 best = max(best, share)
@@ -30,13 +29,17 @@ def test_against_brute_force(spark):
     rng = random.Random(2)
     pool = sorted({w for _, t in licenses.TEMPLATES for w in t.split()} | {"MIT", "license", "general", "public", "é", "x_y"})
     texts = [None, "", "license", "The MIT License", "MIT-license, Apache\nLicense", "general  PUBLIC license " * 3,
+             "Of all the claims, few rights in this poem were reserved for readers.",
+             "x " * 250 + "All rights reserved. " + "y " * 900 + licenses.TEMPLATES[1][1] + " z" * 700,
+             " ".join(f"{a} " + "filler " * 120 for a in ["released", "under", "the", "mit", "license"]),
              "All rights reserved.", "Licensed under CC BY 4.0", "word " * 5000 + "apache license"]
     texts += [t.upper() for _, t in licenses.TEMPLATES] + ["prefix " + t + "\ntail" for _, t in licenses.TEMPLATES]
     for _ in range(150):
         kept = [w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.93]
         rng.shuffle(kept)
         texts.append("\n".join([" ".join(kept), " ".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))]))
-    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[6], 2), (None, texts[6], 3), (0, "MIT License", 4)]
+    rare = texts.index("All rights reserved.")
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[rare], 2), (None, texts[rare], 3), (0, "MIT License", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
     for threshold in (0.9, 0.7):
         got = licenses.scan(df, threshold=threshold).collect()
@@ -64,11 +67,17 @@ def test_wrapped_notices(spark):
     scattered = "\n".join(f"{w}\n" + "filler words go here\n" * 12 for w in licenses.TEMPLATES[6][1].split())
     rows += [(len(rows), scattered), (len(rows) + 1, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: r for r in licenses.scan(df, wrapped=True).collect()}
+    got = {r["id"]: r for r in licenses.scan(df).collect()}
     for (i, text), label in zip(rows, want, strict=False):
         assert label in got[i]["labels"] and got[i]["score"] >= 0.9, text
     assert got[rows[-2][0]]["labels"] == [] and got[rows[-1][0]]["score"] == 0
-    assert licenses.scan(df.limit(0), wrapped=True).count() == 0
-    by_line = {r["id"]: r for r in licenses.scan(df).collect()}
-    assert all(set(by_line[i]["labels"]) <= set(got[i]["labels"]) for i in by_line)
-    assert sum(label not in by_line[i]["labels"] for i, label in enumerate(want)) > 50  # one line does not show them
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_scattered_words_get_no_label(spark):
+    """Words of a short notice that stand apart in one line, and a long text of prefix words, meet no template."""
+    texts = ["Of all the claims, few rights in this poem were reserved for readers.",
+             " ".join(a + " word" * 150 for a in ["released", "under", "the", "mit", "license"]),
+             "reserved " * 200_000, "restriction\n" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["labels"] == [] and r["score"] == 0 for r in licenses.scan(df).collect())
