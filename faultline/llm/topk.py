@@ -19,8 +19,10 @@ and rows without an id take no part; vectors of other lengths (dimensions) than
 the query's are no candidates; a query's own id is never its candidate, however
 often the row repeats, and a repeated row counts once; equal scores rank the
 smaller id first; fewer than k candidates give fewer rows; extra columns are
-ignored; an empty table gives an empty result. Components must stay below
-``LARGEST`` in magnitude after scaling, so that scores fit a long.
+ignored; an empty table gives an empty result. Finite components of any size
+are multiplied exactly (as Python integers where 64 bits do not hold the sum); a
+score beyond a long is returned as the largest or smallest long and ties there.
+A component that is no finite double any more after scaling counts as non-finite.
 """
 
 from __future__ import annotations
@@ -37,14 +39,14 @@ from faultline.session import materialize
 BUCKET, GROUP, QUERY_BLOCK = 4096, 8, 8192
 #: Local cosine threshold from which coordinates are looked at, and how many.
 COORDINATE_COSINE, COORDINATES = 0.6, 3
-#: Largest magnitude of a scaled component.
-LARGEST = 2.0**26
+#: Largest score that is returned.
+TOP_SCORE = 2**63 - 1
 #: Relative slack of the pruning bounds against rounding.
 SLACK = 1e-9
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, dim, norm, v): floor(scale * x) of the usable vectors, as int64 bytes."""
+    """(id, dim, norm, v): floor(scale * x) of the usable vectors, as bytes of integer-valued doubles."""
     def make():
         def run(b):
             ids, vecs = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -52,15 +54,15 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: flo
             for i, x in zip(ids, vecs, strict=True):
                 if x is None or any(e is None for e in x):
                     continue
-                a = np.floor(scale * np.array(x, np.float64))
+                with np.errstate(over="ignore"):
+                    a = np.floor(scale * np.array(x, np.float64)) + 0.0  # no negative zeros
                 if not np.isfinite(a).all():
                     continue
-                if len(a) and np.abs(a).max() >= LARGEST:
-                    raise ValueError(f"vector {i}: components of {LARGEST:.0f} or more after scaling")
+                largest = max(np.abs(a).max(initial=0.0), 1.0)
                 out["id"].append(i)
                 out["dim"].append(len(a))
-                out["norm"].append(float(np.sqrt(np.dot(a, a))))
-                out["v"].append(a.astype("<i8").tobytes())
+                out["norm"].append(min(float(largest * np.linalg.norm(a / largest)), np.finfo(np.float64).max))
+                out["v"].append(a.astype("<f8").tobytes())
             return out
         return run
 
@@ -70,15 +72,25 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: flo
 
 
 def _matrix(v: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(v), "<i8").reshape(len(v), dim).astype(np.float64)
+    return np.frombuffer(b"".join(v), "<f8").reshape(len(v), dim)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer-valued rows."""
-    top = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1)
-    if top < 2**53:
+    """Exact inner products of integer-valued rows, kept within a long."""
+    with np.errstate(over="ignore"):
+        top = np.abs(a).max(axis=1, initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1)
+    if (top < 2**53).all():
         return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    out = np.empty((len(a), len(b)), np.int64)
+    high = np.abs(b).max(axis=1, initial=0)
+    for i, row in enumerate(a):
+        with np.errstate(over="ignore"):
+            fits = np.abs(row).max(initial=0) * high * max(len(row), 1) < 2**62
+        small = np.abs(row).max(initial=0) < 2**62
+        out[i, fits] = b[fits].astype(np.int64) @ row.astype(np.int64) if small else 0  # a zero vector's product is 0
+        left = [int(x) for x in row]
+        out[i, ~fits] = [min(max(sum(x * int(y) for x, y in zip(left, v, strict=True)), -TOP_SCORE), TOP_SCORE) for v in b[~fits]]
+    return out
 
 
 def merge_top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

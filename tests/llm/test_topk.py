@@ -45,3 +45,18 @@ def test_empty_and_small_tables(spark):
 def test_large_components_stay_exact():
     a = np.array([[2.0**25 + 1, 2.0**25 - 3, 1.0]])
     assert topk.products(a, a)[0, 0] == sum(int(x) ** 2 for x in a[0])
+
+
+def test_finite_components_of_any_size(spark):
+    """Large finite components are multiplied exactly; a score beyond a long is the largest or smallest long."""
+    rows = [(0, [2.0**40, 1.0]), (1, [2.0**10, 3.0]), (2, [2.0**40, -1.0]), (3, [-(2.0**40), 0.0]), (4, [0.0, 2.0**30]),
+            (5, [3e38, 1.0]), (6, [0.0, 0.0]), (50, [3e38, 3e38])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk.search(df, F.col("id") % 50 == 0, 5, bucket=3, group=1).collect()]
+    ints = {i: [int(x) * 256 for x in np.float32(v).astype(float)] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        top = 2**63 - 1
+        s = sorted((-max(min(sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), top), -top), c) for c in ints if c != q)
+        want += [(q, r + 1, c, -m) for r, (m, c) in enumerate(s[:5])]
+    assert sorted(got) == want
