@@ -3,11 +3,15 @@
 A page is read into blocks (lines) in page order. Markup says of most blocks
 what they are: menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, scripts and styles go; what stands inside ``article`` (or, if
-there is none, ``main``) is the article and stays, since a sentence that two
-articles share is still text. In a page without such an element the remaining
-blocks are open, and the method decides: pages are paired by URL path within
-each host, the lines of a pair are aligned by their longest common subsequence,
-and shared lines, the site's own, are deleted.
+there is none, ``main``) is the article and its paragraphs, headings, lists and
+tables stay, since a sentence that two articles share is still text. A class or
+id marks an element where it is wholly one of the known words; a compound of
+them (``with-sidebar``, ``related-work``) proves nothing about an article around
+or inside which it stands. All blocks that this leaves open, those of an article
+outside its paragraphs or under such a compound name and those of pages without
+an article, are decided by the method: pages are paired by URL path within each
+host, the lines of a pair are aligned by their longest common subsequence, and
+shared lines, the site's own, are deleted.
 
 Pairing is exact and has no per-host group: 64-bit line hashes are range
 partitioned by (host, path, id), so a large host spreads over many partitions,
@@ -57,11 +61,17 @@ DROPPED_NAMES = frozenset(
     "cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices "
     "overlay pager pagination popup promo promotion related recommended reply respond search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: First words of compound names that mark an element inside an article.
+DROPPED_FIRST = frozenset("ad ads advert comment comments cookie disqus newsletter promo sidebar sponsor sponsored subscribe".split())
+#: Elements whose text is an article's own.
+PARAGRAPHS = HEADINGS | frozenset("blockquote caption dd dt figcaption li p pre table".split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form navigation search".split())
 #: An open paragraph ends where one of these begins.
 ENDS_PARAGRAPH = BLOCKS - frozenset("body caption dd dt head html legend li optgroup option tbody tfoot thead title tr".split())
 
 DROP, KEEP, OPEN = 0, 1, 2
+#: Pages of a partition that are compared by one task.
+PART_ROWS = 10_000
 
 
 class PageReader(HTMLParser):
@@ -69,22 +79,28 @@ class PageReader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # element, drops its content, is a header that keeps headings
-        self.dropped = self.headers = self.headings = 0
+        # element, drops its content, is a header that keeps headings, has a compound name, begins an article
+        self.stack: list[tuple[str, bool, bool, bool, bool]] = []
+        self.dropped = self.headers = self.headings = self.paragraphs = 0
+        self.doubtful = [0]  # elements of compound names, counted anew inside an article
         self.inside = {"article": 0, "main": 0}
         self.parts: list[str] = []
-        self.blocks: list[tuple[str, bool, bool, bool]] = []  # text, dropped, in article, in main
+        self.blocks: list[tuple[str, bool, bool, bool, bool, bool]] = []  # text, dropped, doubtful, paragraph, in article, in main
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
             gone = self.dropped > 0 or (self.headers > 0 and not self.headings)
-            self.blocks.append((text, gone, self.inside["article"] > 0, self.inside["main"] > 0))
+            self.blocks.append((text, gone, self.doubtful[-1] > 0, self.paragraphs > 0, self.inside["article"] > 0, self.inside["main"] > 0))
 
     def _pop(self) -> None:
-        tag, drops, header = self.stack.pop()
+        tag, drops, header, doubtful, begins = self.stack.pop()
+        if begins:
+            self.doubtful.pop()
+        self.doubtful[-1] -= doubtful
         self.dropped -= drops
+        self.paragraphs -= tag in PARAGRAPHS
         self.headers -= header
         self.headings -= tag in HEADINGS
         if tag in self.inside:
@@ -95,27 +111,36 @@ class PageReader(HTMLParser):
             self.flush()
         elif tag in ("br", "td", "th"):
             self.parts.append(" ")
-        if tag in ENDS_PARAGRAPH and any(t == "p" for t, _, _ in self.stack):
+        if tag in ENDS_PARAGRAPH and any(x[0] == "p" for x in self.stack):
             self._close("p")
         if tag in VOID:
             return
         named = dict(attrs)
-        names = set(re.split(r"[^a-z0-9]+", f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
+        names = set(f"{named.get('class') or ''} {named.get('id') or ''}".lower().split())
+        parts = [re.split(r"[^a-z0-9]+", n) for n in names]
         header = tag == "header" or "header" in names
         in_article = self.inside["article"] or self.inside["main"]
-        drops = (tag in DROPPED or bool(names & DROPPED_NAMES) or "hidden" in named
+        marked = bool(names & DROPPED_NAMES) or (bool(in_article) and any(p[0] in DROPPED_FIRST for p in parts))
+        frame = tag == "form" and not in_article  # a form may hold the whole page
+        doubtful = tag in BLOCKS and (frame or any(x in DROPPED_NAMES or x == "header" for p in parts if len(p) > 1 for x in p))
+        drops = ((tag in DROPPED and not frame) or marked or "hidden" in named
                  or (named.get("role") or "").lower() in DROPPED_ROLES
                  or (named.get("aria-hidden") or "").lower() == "true"
                  or "display:none" in (named.get("style") or "").lower().replace(" ", "")
                  or (header and not in_article))
         if tag in ("article", "main", "body", "html") and tag not in DROPPED:
-            drops = drops and bool(names & DROPPED_NAMES) and tag == "article"  # such as a reader's comment
-        if tag in BLOCKS or drops or tag in HEADINGS:
-            if drops:
+            drops, doubtful = marked and tag == "article", False  # such as a reader's comment
+        if tag in BLOCKS or drops:
+            if drops or doubtful:
                 self.flush()
             keeps_headings = header and bool(in_article) and not drops
-            self.stack.append((tag, drops, keeps_headings))
+            begins = tag in self.inside and not self.inside[tag] and not self.inside["article"]
+            self.stack.append((tag, drops, keeps_headings, doubtful, begins))
+            self.doubtful[-1] += doubtful
+            if begins:
+                self.doubtful.append(0)
             self.dropped += drops
+            self.paragraphs += tag in PARAGRAPHS
             self.headers += keeps_headings
             self.headings += tag in HEADINGS
             if tag in self.inside:
@@ -125,7 +150,7 @@ class PageReader(HTMLParser):
         self.handle_starttag(tag, attrs)  # as in HTML, the slash of an element that can have content says nothing
 
     def _close(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self.stack):
+        if any(x[0] == tag for x in self.stack):
             while self.stack[-1][0] != tag:
                 self._pop()
             self._pop()
@@ -133,7 +158,7 @@ class PageReader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        elif any(t == tag and drops for t, drops, _ in self.stack):
+        elif any(x[0] == tag and x[1] for x in self.stack):
             self.flush()
         self._close(tag)
 
@@ -147,16 +172,18 @@ def read_page(html: str) -> list[tuple[str, int]]:
     reader.feed(html)
     reader.close()
     reader.flush()
-    in_article = any(a and not gone for _, gone, a, _ in reader.blocks)
-    in_main = any(m and not gone for _, gone, _, m in reader.blocks)
+    in_article = any(article and not gone for _, gone, _, _, article, _ in reader.blocks)
+    in_main = any(main and not gone for _, gone, _, _, _, main in reader.blocks)
     out = []
-    for text, gone, article, main in reader.blocks:
+    for text, gone, doubtful, paragraph, article, main in reader.blocks:
         if gone:
             out.append((text, DROP))
-        elif in_article or in_main:
-            out.append((text, KEEP if (article if in_article else main) else DROP))
+        elif not (in_article or in_main):
+            out.append((text, DROP if doubtful else OPEN))
+        elif not (article if in_article else main):
+            out.append((text, DROP))
         else:
-            out.append((text, OPEN))
+            out.append((text, KEEP if paragraph and not doubtful else OPEN))
     return out
 
 
@@ -258,7 +285,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     one = parsed.groupBy("host", "path", "copy").agg(F.min(F.struct("page_id", "h", "lines")).alias("p"), F.max("open").alias("open")) \
         .select("host", "path", "p.page_id", "p.h", "p.lines", "open", "copy")
     fields.append("copy")
-    ranged = materialize(one.select(*fields).repartitionByRange(shuffle_partitions(spark), *order)
+    parts = max(shuffle_partitions(spark), -(-parsed.count() // PART_ROWS))
+    ranged = materialize(one.select(*fields).repartitionByRange(parts, *order)
                          .withColumn("part", F.spark_partition_id()))
     # a row before and a row after each partition; the table has a row per partition
     ends = ranged.groupBy("part").agg(F.min(F.struct(*fields)).alias("first"), F.max(F.struct(*fields)).alias("last"))

@@ -23,6 +23,32 @@ def test_markup_rules():
     assert kept(page) == "Title &amp; more\nOne two three\nFour <b>\na b\nc\nx y"
 
 
+def test_wrappers_of_an_article_drop_nothing():
+    """A compound class name, or a form, around an article says nothing about it."""
+    article = "<article><h1>T</h1><p>One</p><p>Two</p></article>"
+    for wrap in ("<form id=aspnetForm>{}</form>", "<div class='layout with-sidebar'>{}</div>", "<div class='content no-comments'>{}</div>",
+                 "<div id='nav-and-main'>{}</div>", "<main class='with-sidebar'>{}</main>",
+                 "<main><div class='has-sidebar'>{}</div></main>"):
+        assert kept("<body>" + wrap.format(article) + "<div class='side'>S</div>") == "T\nOne\nTwo", wrap
+    assert kept("<article class='post has-comments'><p>One</p></article>") == "One"
+    for comments in ("<div class='comments'><article><p>No</p></article></div>", "<article class='comment'><p>No</p></article>"):
+        assert kept("<article><p>One</p></article>" + comments) == "One"
+    assert kept("<article><p>One</p><div class='comment-list'><p>No</p></div><div class=ad-slot>Buy</div></article>") == "One"
+
+
+def test_open_blocks_of_articles(spark):
+    """Blocks of an article outside its paragraphs, or under a compound name, go where the neighbour has them too."""
+    page = ("<article><p>Shared sentence.</p><p>Own {0}</p><section class='related-work'><h2>Related work</h2><p>Work {0}</p></section>"
+            "<div class='share-buttons'>Share this</div><div>Loose {0}</div><div>Follow us</div></article>").format
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert got == {i: f"Shared sentence.\nOwn {i}\nWork {i}\nLoose {i}" for i in range(1, 6)}
+    one = {r["page_id"]: r["text"] for r in H.extract(df.limit(1)).collect()}  # no neighbour: nothing is the site's
+    assert one == {1: "Shared sentence.\nOwn 1\nRelated work\nWork 1\nShare this\nLoose 1\nFollow us"}
+    assert {i: t for i, t in enumerate(brute(rows).values(), 1)} == got
+
+
 def test_pages_table_keeps_the_article():
     for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
         blocks = H.read_page(r["html"])
