@@ -44,6 +44,19 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (Spark does not tell upper from lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., so that names of an operator's own meet none of the caller's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 

@@ -18,8 +18,9 @@ Defined cases: a null or blank text, one without a letter and one in none of
 the languages have the language null and are not accepted; null declarations,
 hosts or suffixes are no evidence; declarations outside the languages count as
 one further value; equal posteriors take the alphabetically first language;
-repeated rows and extra columns are kept as they are (clashing names of extra
-columns are the caller's: the verdict is one struct column); without any
+very long texts are read whole, their trigrams added up piece by piece;
+repeated rows and extra columns are kept as they are, whatever their names (but
+a column named like the verdict, one struct column, is replaced); without any
 labelled row no language is known and nothing is accepted; an empty table gives
 an empty result.
 """
@@ -174,17 +175,23 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     spark = docs.sparkSession
     prepare(spark)
     languages = tuple(sorted(languages))
+    given = docs.columns
+    names = [c for c in given if c != verdict]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(given)]
+    docs = docs.select(*own, *([] if suffix is None else [suffix.cast("string").alias("_lid_given")]))
+    text, declared, host = (f"c{given.index(c)}" for c in (text, declared, host))
+    kept = [f"c{given.index(c)}" for c in names]
     logs = train(docs, text, declared, languages, sample)
     empty = F.struct(F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("best"),
                      F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_best"),
                      F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("accepted"))
     if logs is None:
-        return docs.withColumn(verdict, empty)
+        return docs.select(*kept, empty.alias("verdict")).toDF(*names, verdict)
     table = spark.sparkContext.broadcast(logs)
     n_lang = len(languages)
-    names = F.array(*[F.lit(x) for x in languages])
+    by_name = F.array(*[F.lit(x) for x in languages])
     host_col = F.col(host).cast("string")
-    suffix_col = F.regexp_extract(host_col, r"\.([A-Za-z]+)$", 1) if suffix is None else F.coalesce(suffix, F.lit(""))
+    suffix_col = F.regexp_extract(host_col, r"\.([A-Za-z]+)$", 1) if suffix is None else F.coalesce("_lid_given", F.lit(""))
     known = F.when(F.col(declared).isin(*languages), F.col(declared)).when(F.col(declared).isNotNull(), "").alias("_lid_declared")
 
     def with_evidence(df: DataFrame) -> DataFrame:
@@ -194,7 +201,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
         return df.withColumns({"_lid_host": F.coalesce(host_col, F.lit("")), "_lid_suffix": F.coalesce(suffix_col, F.lit("")),
                                "_lid_declared": known, "_lid_best": F.when(sure, best)})
 
-    evidence = with_evidence(_scored(docs.select(text, declared, host) if suffix is None else docs, text, table))
+    used = dict.fromkeys([text, declared, host, *docs.columns[len(given):]])
+    evidence = with_evidence(_scored(docs.select(*used), text, table))
     # one pass over all rows: verdicts by host, suffix and declaration
     counted = materialize(evidence.filter("_lid_best is not null")
                           .groupBy("_lid_host", "_lid_suffix", "_lid_declared", "_lid_best").agg(F.count(F.lit(1)).alias("n")))
@@ -216,10 +224,10 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     rows = with_evidence(_scored(docs, text, table))
     rows = rows.join(hosts, (F.col("_lid_host") == F.col("_h")) & (F.col("_lid_suffix") == F.col("_s")), "left")
     # every row leaves its own verdict out of its priors
-    own = F.transform(names, lambda x, i: F.when(F.col("_lid_best") == i + 1, 1.0).otherwise(0.0))
+    own = F.transform(by_name, lambda x, i: F.when(F.col("_lid_best") == i + 1, 1.0).otherwise(0.0))
 
     def smoothed(counts: Column, parent: Column) -> Column:
-        rest = F.zip_with(F.coalesce(counts, F.transform(names, lambda x: F.lit(0.0))), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        rest = F.zip_with(F.coalesce(counts, F.transform(by_name, lambda x: F.lit(0.0))), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
         total = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
         return F.zip_with(rest, parent, lambda c, p: (c + PRIOR_ROWS * p) / (total + PRIOR_ROWS))
 
@@ -241,17 +249,18 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
                          lambda a, x: a + F.exp(x - F.greatest(top, F.lit(0.0))))
     rows = rows.withColumn("_lid_post", F.exp(top - F.greatest(top, F.lit(0.0))) / spread)
     # element_at of a null place is no null
-    best = F.when(top.isNotNull(), F.element_at(names, F.array_position("_lid_logit", top).cast("int")))
+    best = F.when(top.isNotNull(), F.element_at(by_name, F.array_position("_lid_logit", top).cast("int")))
     accepted = F.coalesce(F.col("_lid_post") >= MIN_POSTERIOR, F.lit(False))
     out = F.struct(F.when(accepted, best).alias("language"), best.alias("best"), F.col("_lid_post").alias("posterior"),
-                   F.when(F.col("_lid_best").isNotNull(), F.element_at(names, F.col("_lid_best"))).alias("text_best"),
+                   F.when(F.col("_lid_best").isNotNull(), F.element_at(by_name, F.col("_lid_best"))).alias("text_best"),
                    F.coalesce(F.element_at("_lid", n_lang + 2), F.lit(0.0)).cast("long").alias("n_trigrams"),
                    accepted.alias("accepted"))
-    return rows.select(*[F.col(c) for c in docs.columns], out.alias(verdict))
+    return rows.select(*kept, out.alias("verdict")).toDF(*names, verdict)
 
 
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with the column ``text``: the page's lines that its markup does not drop."""
+    """``pages`` with the column ``text`` (in place of one they have): the page's lines that its markup does not drop."""
+    pages = pages.drop("text")
     names = pages.columns
     out_schema = StructType([*pages.schema.fields, StructField("text", StringType())])
 
@@ -266,8 +275,8 @@ def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
 def identify_pages(pages: DataFrame, url: str = "url", html: str = "html", verdict: str = "language_id", **options) -> DataFrame:
     """``pages`` without ``html``, with the page's text, the evidence columns of
     ``page_evidence`` and ``verdict``: the declaration is the markup's, host and suffix are the url's."""
-    return identify(page_text(page_evidence(pages, url, html), html).drop(html), "text", "declared", "host", suffix=F.col("suffix"),
-                    verdict=verdict, **options)
+    read = materialize(page_text(page_evidence(pages, url, html), html).drop(html))  # each page is parsed once
+    return identify(read, "text", "declared", "host", suffix=F.col("suffix"), verdict=verdict, **options)
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -18,8 +18,8 @@ sorted only where a hash repeats).
 
 Defined cases: null or blank text has no words and is rejected; texts of any
 length are read whole; equal lines are repeats whatever their number; repeated
-rows, null ids and extra columns stay as they are; an empty table gives an
-empty result.
+rows, null ids and extra columns stay as they are, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.common import numbered
+
 #: White space of the word rule, as a regular-expression class body.
 BLANK = r"\x20\x09-\x0D"
 #: Fewest words of a document, and the largest share (percent) of repeated words.
@@ -119,11 +121,16 @@ def may_fail(text: Column) -> Column:
             | boilerplate(text))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST,
+                  verdict: str = "quality") -> DataFrame:
     """The rows of ``docs`` with the columns n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words (long), base_failed, line_chars, lost_chars
     (long), clean_text (its lines that pass) and kept, all in a struct column
-    ``quality``."""
+    named ``verdict``, which replaces a column of that name."""
+    given = docs.columns
+    names = [c for c in given if c != verdict]
+    text_col = f"c{given.index(text_col)}"
+    docs = numbered(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
     full = F.filter(lines, lambda s: s.rlike(f"[^{BLANK}]"))
@@ -145,9 +152,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: float = MAX
         F.when(may_fail(text), judged(line_fails)).otherwise(whole).alias("l")))
     q, w, line = F.col("_q"), F.col("_q.w"), F.col("_q.l")
     failed = (w["n_words"] < MIN_DOC_WORDS) | (100 * w["n_repeat_words"] > MAX_REPEAT_PERCENT * w["n_words"])
-    return stats.withColumn("quality", F.struct(
+    return stats.select(*[f"c{given.index(c)}" for c in names], F.struct(
         w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
         q["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"), line["line_chars"].alias("line_chars"), line["lost_chars"].alias("lost_chars"),
         line["clean_text"].alias("clean_text"),
-        (~failed & (line["lost_chars"] <= max_lost * line["line_chars"])).alias("kept"))).drop("_q")
+        (~failed & (line["lost_chars"] <= max_lost * line["line_chars"])).alias("kept")).alias("verdict")).toDF(*names, verdict)

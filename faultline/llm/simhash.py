@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import map_batches, prepare, shuffle_partitions, utf8
+from faultline.llm.common import map_batches, numbered, prepare, shuffle_partitions, utf8
 from faultline.operators.dbscan import connected_components
 from faultline.session import materialize
 
@@ -209,6 +209,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              max_bits: int = 2) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest id (a row
     without an id only where no row of the component has one)."""
+    given = docs.columns
+    id_col, text_col = f"c{given.index(id_col)}", f"c{given.index(text_col)}"
+    docs = numbered(docs)
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("b"))
     best = materialize(best.select(F.col("b.id").alias("_id"), F.col("b.fp").alias("_fp")))
@@ -217,12 +220,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     sizes = kept.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
     names = docs.columns
     if sizes.isEmpty():
-        return kept.select(*names)
+        return kept.select(*names).toDF(*given)
     several = kept.join(sizes.withColumnRenamed("_id", "_s"), F.col("_id").eqNullSafe(F.col("_s")))
     checked = _with_fingerprint(several.select(*names, "_id", "_fp"), text_col, shingle).filter("_own = _fp") \
         .groupBy("_id", "_fp").agg(F.first(F.struct(*names)).alias("r")).select("r.*")
     single = kept.join(sizes.withColumnRenamed("_id", "_s"), F.col("_id").eqNullSafe(F.col("_s")), "left_anti").select(*names)
-    return single.unionByName(checked)
+    return single.unionByName(checked).toDF(*given)
 
 
 def _with_fingerprint(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:

@@ -78,11 +78,16 @@ def test_edge_cases(spark):
     raw = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
     extra = spark.createDataFrame([(None, "The " * 3, None, None, None), (5, None, "en", "s", 0), (6, "", None, "s", 0)], raw.schema)
     docs = raw.unionByName(raw.limit(10)).unionByName(extra).selectExpr("*", "1 as fp", "'x' as quality")
+    # names that the operators use themselves
+    own = ["_lid", "_lid_text", "_lid_host", "_verdict", "verdict", "_q", "_id", "_fp", "_s", "_own", "_no_text", "_0", "t", "id", "c0"]
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in own])
     for empty in (False, True):
         d = docs.limit(0) if empty else docs
         for _, f in P.STAGES[:-1]:
             d = materialize(f(spark, d, SF))
             assert d.columns == docs.columns
+            assert d.schema["quality"].dataType.simpleString() == "string"
+            assert d.filter("quality <> 'x' or fp <> 1 or " + " or ".join(f"{n} <> concat('{n}', doc_id)" for n in own)).isEmpty()
         n = P.STAGES[-1][1](spark, d, SF).count()
         assert (n == 0) == empty
     ids = [r["doc_id"] for r in d.collect()]
