@@ -2,8 +2,8 @@
 
 Feature-grain tables (rankings, groups) have one row per feature, so their
 size is bounded by the schema width, not by the data; ordering windows over
-them (rank = position) are safe. The data-grain work -- centers -- is a
-long-form grouped average with map-side combine.
+them (rank = position) are safe. The data-grain work -- centers -- is one pass
+of vector moments, combined in the tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.columns import feature_category
-from faultline.operators.scaling import long_form
+from faultline.operators.moments import moments
 
 TOP_NS = (50, 100, 500, 1000)
 
@@ -23,9 +23,8 @@ def cluster_centers(df: DataFrame, features: Sequence[str], cluster: str = "clus
                     id_col: str = "row_id") -> DataFrame:
     """A3: mean of every feature per non-noise cluster, long form
     ``(cluster, feature_idx, feature, center)``."""
-    nn = df.filter(F.col(cluster) >= 0).select(id_col, F.col(cluster).alias("cluster"), *features)
-    lf = long_form(nn.select(F.col("cluster").alias(id_col), *features), id_col, features)
-    return lf.groupBy(F.col(id_col).alias("cluster"), "feature_idx", "feature").agg(F.avg("value").alias("center"))
+    return moments(df.filter(F.col(cluster) >= 0), features, cluster) \
+        .select(F.col("group").alias("cluster"), "feature_idx", "feature", F.col("mean").alias("center"))
 
 
 def relevance_from_centers(centers: DataFrame, features: Sequence[str]) -> DataFrame:

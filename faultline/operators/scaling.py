@@ -1,9 +1,9 @@
 """Feature matrix preparation: impute, standardise, drop outliers (M1).
 
 Layout: a wide DataFrame ``(row_id, label, f_1 .. f_d)``. Per-feature
-statistics are computed in *long* form (``unpivot`` -> ``groupBy(feature)``)
-so any width works: the partial aggregate keeps one buffer per feature per
-task and the shuffle moves ``d x tasks`` rows, never the data. The ``d``
+statistics are vector moments over Arrow batches (``operators/moments.py``), so
+any width works: a task keeps one vector and the shuffle moves ``d x tasks``
+rows, never the data. The ``d``
 statistics rows (bounded by the schema width, not the data) come back to the
 driver to build the scaling expressions, as MLlib's scalers do.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.columns import binarize, col, feature_columns, impute
+from faultline.operators.moments import moments
 from faultline.session import materialize
 
 
@@ -51,20 +52,15 @@ def long_form(df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
 
 
 def feature_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """A2: per-feature count, mean and population std (long-form aggregate)."""
-    lf = long_form(df.withColumn("__rid", F.lit(0)), "__rid", features)
-    return lf.groupBy("feature_idx", "feature").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-    )
+    """A2: per-feature count, mean and population std."""
+    return moments(df, features)
 
 
 def _collect_stats(df: DataFrame, features: Sequence[str]) -> tuple[dict, dict]:
     rows = feature_stats(df, features).collect()  # d rows: bounded by the schema width
-    means = {r["feature"]: float(r["mean"]) if r["mean"] is not None else 0.0 for r in rows}
-    stds = {}
+    means, stds = dict.fromkeys(features, 0.0), dict.fromkeys(features, 1.0)
     for r in rows:
+        means[r["feature"]] = float(r["mean"]) if r["mean"] is not None else 0.0
         s = r["std"]
         # population std; constant (or empty) columns scale by 1, like the reference
         stds[r["feature"]] = 1.0 if s is None or s == 0.0 else float(s)
