@@ -489,6 +489,73 @@ ORACLE["pca_centers"] = _PCL + """
 SELECT kind, CAST(id AS BIGINT) AS id, round(abs((x0 - m0) * u0 + (x1 - m1) * u1), 6) AS pc1,
        round(abs((x1 - m1) * u0 - (x0 - m0) * u1), 6) AS pc2
 FROM k, u"""
+
+
+def _solved(width: int, names: str) -> str:
+    """Gauss-Jordan elimination of the symmetric positive systems ``a`` (rows of coefficients, then the right side)."""
+    src = "(SELECT * FROM systems)"
+    for p in range(1, width + 1):
+        src = (f"(SELECT {names}, list_transform(a, lambda r, i: CASE WHEN i = {p} THEN list_transform(r, lambda v: v / r[{p}]) "
+               f"ELSE list_transform(r, lambda v, j: v - r[{p}] / a[{p}][{p}] * a[{p}][j]) END) AS a FROM {src})")
+    return src
+
+
+def _newton_sql(features: list[str], steps: int = 14) -> str:
+    """CTEs: ``ud`` (row_id, y, fold, x with a last 1) and ``fitted`` (m, b): plain Newton steps from zero for the
+    models that leave out fold m (-1: none), L2 penalty on all but the last coefficient."""
+    d = len(features) + 1
+    cell = [[f"sum(h * x[{min(i, j)}] * x[{max(i, j)}]){' + 1.0' if i == j < d else ''}" for j in range(1, d + 1)] for i in range(1, d + 1)]
+    side = [f"sum(g * x[{i}])" + (f" + any_value(b)[{i}]" if i < d else "") for i in range(1, d + 1)]
+    rows = ", ".join("[" + ", ".join([*cell[i], side[i]]) + "]" for i in range(d))
+    solved = _solved(d, "m, it, b").replace("(SELECT * FROM systems)", f"""(
+      SELECT m, any_value(it) AS it, any_value(b) AS b, [{rows}] AS a FROM (
+        SELECT m, it, b, x, w * p * (1 - p) AS h, w * (p - y) AS g FROM (
+          SELECT n.m, n.it, n.b, t.x, t.y, t.w, 1 / (1 + exp(-list_dot_product(n.b, t.x))) AS p
+          FROM newton n JOIN train t ON n.m = t.m WHERE n.it < {steps})) GROUP BY m)""")
+    return f"""
+, ud AS MATERIALIZED (SELECT row_id, label AS y, CAST((row_number() OVER (ORDER BY label DESC, md5('42:' || CAST(row_id AS VARCHAR))) - 1) % 5
+                   AS INTEGER) AS fold, [{', '.join(G.qi(f) for f in features)}, 1.0] AS x FROM us),
+  ms AS (SELECT CAST(unnest([-1, 0, 1, 2, 3, 4]) AS INTEGER) AS m),
+  mw AS (SELECT m, y, sum(count(*)) OVER (PARTITION BY m) / (2 * count(*)) AS w FROM ms JOIN ud ON fold <> m GROUP BY m, y),
+  train AS MATERIALIZED (SELECT ms.m, ud.y, ud.x, CAST(mw.w AS DOUBLE) AS w FROM ms JOIN ud ON ud.fold <> ms.m
+                         JOIN mw ON mw.m = ms.m AND mw.y = ud.y),
+  newton AS (SELECT m, 0 AS it, CAST([{', '.join(['0.0'] * d)}] AS DOUBLE[]) AS b FROM ms
+             UNION ALL SELECT m, it + 1, list_transform(b, lambda v, i: v - a[i][{d + 1}]) FROM {solved}),
+  fitted AS (SELECT m, b FROM newton WHERE it = {steps})"""
+
+
+_NEWTON = "WITH RECURSIVE " + _UNIT_M1[len("WITH "):] + _newton_sql(td.UNIT_FEATURES)
+_COEFFICIENTS = ", cf AS (" + " UNION ALL ".join(
+    f"SELECT m AS fold, {i} AS feature_idx, '{f}' AS feature, b[{i + 1}] AS coefficient FROM fitted"
+    for i, f in enumerate(td.UNIT_FEATURES)) + ")"
+ORACLE["logreg_coefficients"] = _NEWTON + _COEFFICIENTS + " SELECT fold, feature, round(coefficient, 6) + 0.0 AS coefficient FROM cf"
+ORACLE["logreg_importances"] = _NEWTON + _COEFFICIENTS + """
+SELECT CAST(row_number() OVER (ORDER BY abs(coefficient) DESC, feature_idx) AS INTEGER) AS rank, feature,
+       round(abs(coefficient), 6) AS importance FROM cf WHERE fold = -1"""
+ORACLE["logreg_cv"] = _NEWTON + """
+, sc AS (SELECT row_id, fold, y, 1 / (1 + exp(-list_dot_product(b, x))) AS score FROM ud JOIN fitted ON m = fold),
+  lr AS (SELECT *, CAST(score > 0.5 AS INTEGER) AS pred FROM sc),""" + _fold_metrics_sql("lr") + """
+SELECT fold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       round(avg_precision, 6) AS avg_precision, round(roc_auc, 6) AS roc_auc FROM fm_lr JOIN auc_lr USING (fold)"""
+# both leading eigenvalues from the powers of the covariance matrix: squared often, then taken out
+ORACLE["pca_wide"] = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS j,
+                      CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+  c AS (SELECT id, j, x - avg(x) OVER (PARTITION BY j) AS x FROM e),
+  n AS (SELECT count(DISTINCT id) AS n FROM e),
+  cov AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) / (SELECT n FROM n) AS v FROM c a JOIN c b USING (id) GROUP BY a.j, b.j),
+  p1 AS (SELECT 0 AS it, i, j, v / (SELECT sum(v) FROM cov WHERE i = j) AS v FROM cov
+         UNION ALL SELECT it + 1, i, j, v / sum(CASE WHEN i = j THEN v END) OVER ()
+         FROM (SELECT a.it, a.i, b.j, sum(a.v * b.v) AS v FROM p1 a JOIN p1 b ON a.j = b.i WHERE a.it < 24 GROUP BY a.it, a.i, b.j)),
+  l1 AS (SELECT sum(p1.v * cov.v) AS l FROM p1 JOIN cov ON p1.i = cov.j AND p1.j = cov.i WHERE it = 24),
+  cov2 AS MATERIALIZED (SELECT cov.i, cov.j, cov.v - (SELECT l FROM l1) * p1.v AS v FROM cov JOIN p1 ON p1.i = cov.i AND p1.j = cov.j WHERE it = 24),
+  p2 AS (SELECT 0 AS it, i, j, v / (SELECT sum(v) FROM cov2 WHERE i = j) AS v FROM cov2
+         UNION ALL SELECT it + 1, i, j, v / sum(CASE WHEN i = j THEN v END) OVER ()
+         FROM (SELECT a.it, a.i, b.j, sum(a.v * b.v) AS v FROM p2 a JOIN p2 b ON a.j = b.i WHERE a.it < 24 GROUP BY a.it, a.i, b.j)),
+  l2 AS (SELECT sum(p2.v * cov2.v) AS l FROM p2 JOIN cov2 ON p2.i = cov2.j AND p2.j = cov2.i WHERE it = 24),
+  t AS (SELECT sum(v) AS t FROM cov WHERE i = j)
+SELECT round(l1.l, 6) AS var_pc1, round(l2.l, 6) AS var_pc2, 0.0 AS covar,
+       round(l1.l / t, 6) AS share_pc1, round(l2.l / t, 6) AS share_pc2 FROM l1, l2, t"""
 ORACLE["results_documents"] = with_("unit") + """
 , h AS (SELECT count(*) AS n, sum(CASE WHEN "Bug" > 0 THEN 1 ELSE 0 END) AS d FROM unit)
 SELECT k.kind, 'unit' AS dataset, k.method, CAST(n AS BIGINT) AS n_samples, CAST(6 AS BIGINT) AS n_features,

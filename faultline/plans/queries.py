@@ -440,9 +440,10 @@ def q_davies_bouldin(spark, sf):
     return d.select(r6(F.col("davies_bouldin")).alias("davies_bouldin"))
 
 
-# --- models (rows-only checks: statistical parity, no SQL twin) ------------------
+# --- models (rows-only checks for those with random draws) -----------------------
 
 from faultline.operators import centroid as CT  # noqa: E402
+from faultline.operators import components as CM  # noqa: E402
 
 
 @register("kmeans")
@@ -471,6 +472,23 @@ def q_logreg_cv(spark, sf):
     return _cv(spark, sf, "lr")
 
 
+@register("logreg_coefficients")
+def q_logreg_coefficients(spark, sf):
+    """M7: coefficients of the five models of the cross-validation and of the refit (fold -1)."""
+    data = unit_prepared(spark, sf).df.withColumnRenamed("label", "y").transform(materialize)
+    folded = data.join(CL.stratified_folds(data.select("row_id", "y"), "y", "row_id", 5, 42).select("row_id", "fold"), "row_id")
+    found = CL.coefficients(folded, td.UNIT_FEATURES, (-1, 0, 1, 2, 3, 4), fold="fold")  # models x features
+    return spark.createDataFrame(found, "fold int, feature_idx int, feature string, coefficient double") \
+        .select("fold", "feature", r6(F.col("coefficient")).alias("coefficient"))
+
+
+@register("logreg_importances")
+def q_logreg_importances(spark, sf):
+    """M10 for the logistic regression: features by absolute coefficient."""
+    prep = unit_prepared(spark, sf)
+    return CL.importances(prep.df.withColumnRenamed("label", "y"), prep.features, "lr", "y", 42)
+
+
 @register("forest_cv")
 def q_forest_cv(spark, sf):
     return _cv(spark, sf, "rf")
@@ -651,6 +669,20 @@ def q_pca_centers(spark, sf):
     return both.select("kind", "id", r6(F.abs("pc1")).alias("pc1"), r6(F.abs("pc2")).alias("pc2"))
 
 
+@register("pca_wide")
+def q_pca_wide(spark, sf):
+    """M5 on all embeddings (64 features), no covariance matrix: variance of both components, their shares
+    and the covariance of the two, over all projected rows."""
+    vec = F.transform("embedding", lambda x: x.cast("double"))
+    data = td.table(spark, sf, "embeddings").select("vec_id", vec.alias("vec")).transform(materialize)
+    width = data.agg(F.max(F.size("vec"))).first()[0] or 0
+    model = CM.principal_components(data, width, 2)
+    at = CM.project(data, model)
+    return at.agg(*[r6(F.var_pop(c)).alias(f"var_{c}") for c in ("pc1", "pc2")], r6(F.covar_pop("pc1", "pc2")).alias("covar"),
+                  *[r6(F.var_pop(c) / F.lit(v / s if s else None)).alias(f"share_{c}")
+                    for c, v, s in zip(("pc1", "pc2"), model.values.tolist(), model.shares)])
+
+
 @register("results_documents")
 def q_results_documents(spark, sf):
     """Both kinds of results document written as JSON and read back."""
