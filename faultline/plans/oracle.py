@@ -537,6 +537,7 @@ ORACLE["logreg_cv"] = _NEWTON + """
   lr AS (SELECT *, CAST(score > 0.5 AS INTEGER) AS pred FROM sc),""" + _fold_metrics_sql("lr") + """
 SELECT fold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
        round(avg_precision, 6) AS avg_precision, round(roc_auc, 6) AS roc_auc FROM fm_lr JOIN auc_lr USING (fold)"""
+ORACLE["extract_sheet"] = with_("unit") + "SELECT row_id, grp || ', all' AS grp, SM_size, SM_price, SM_qty_avg, SM_qty_std FROM unit"
 # both leading eigenvalues from the powers of the covariance matrix: squared often, then taken out
 ORACLE["pca_wide"] = """
 WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS j,

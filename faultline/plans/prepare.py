@@ -2,19 +2,20 @@
 
 Each action takes its inputs as DataFrames (read by ``faultline.sources``)
 and returns the prepared DataFrame; writing it is the caller's choice
-(``faultline.sources.sinks``). Joins are left to Catalyst/AQE.
+(``faultline.sources.sinks``). ``extract_table`` goes from file to file. Joins are left to Catalyst/AQE.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.columns import (COVERAGE_FEATURES, EFFORT_FEATURES_26, EFFORT_PREFIXES, available, col,
                                          family_columns, project_family)
 from faultline.operators import prepare as P
+from faultline.sources import files, sinks
 
 
 def extract_family(df: DataFrame, metadata: Sequence[str], prefix: str = "SM_") -> DataFrame:
@@ -22,6 +23,22 @@ def extract_family(df: DataFrame, metadata: Sequence[str], prefix: str = "SM_")
     return project_family(df, metadata, prefix, strict=False)
 
 
+def extract_table(spark: SparkSession, path: str | Sequence[str], target: str, header_row: int, metadata: Sequence[str],
+                  name_row: int | None = None, n_keep: int = 5, prefix: str = "SM_", fmt: str = "csv",
+                  keep_string: Sequence[str] = ("version",)) -> DataFrame:
+    """X1 from file to file: a table whose header stands at row ``header_row`` is read (S3);
+    with ``name_row`` its features take their names from that row, all but the first ``n_keep``
+    (S6, when both rows are of one length); the metadata at hand and one family are kept (P2)
+    and written to ``target`` (S11). The written table is returned."""
+    rows = files.preamble(spark, path, max(header_row, name_row or 0) + 1)
+    df = files.read_with_header_row(spark, path, header_row, names=rows[header_row] if len(rows) > header_row else [], infer=False)
+    if name_row is not None:
+        df = files.splice_header(df, files.column_names(rows[name_row]), n_keep)
+    out = files.infer_numeric(extract_family(df, metadata, prefix), keep_string)
+    sinks.write_table(out, target, fmt)
+    return files.read_csv(spark, target, keep_string) if fmt == "csv" else spark.read.format(fmt).load(target)
+
+
 def merge_coverage(metrics: DataFrame, coverage: DataFrame, version_col: str = "version",
                    first_version: str = "1.0.0", null_keys: bool = True) -> DataFrame:
     """Drop rows without a version, drop the first version (no coverage
@@ -71,7 +88,7 @@ ACTIONS = ("extract-sm", "merge-coverage", "create-combined", "create-top30-sm",
 def run_action(action: str, **kwargs) -> DataFrame:
     """Dispatch by action name; an unknown action is an error listing the choices."""
     table = {
-        "extract-sm": extract_family,
+        "extract-sm": extract_table if "path" in kwargs else extract_family,
         "merge-coverage": merge_coverage,
         "create-combined": combined,
         "create-top30-sm": top_n_dataset,

@@ -629,6 +629,26 @@ def q_versioned_files(spark, sf):
     return df.select("filename", "version", *[F.col(x).cast("bigint").alias(x) for x in ("COV_A", "COV_B", "COV_C")])
 
 
+@register("extract_sheet")
+def q_extract_sheet(spark, sf):
+    """Sheets of a title, a note, display names and a header row over all units,
+    written as text by brand, extracted from file to file by the named action."""
+    from faultline.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultline-sheet-{uuid.uuid4().hex}"
+    unit = td.unit(spark, sf)
+    metrics = ["SM_size", "SM_price", "SM_qty_avg", "SM_qty_std", "PMD_lines"]
+    cells = [F.col("row_id"), F.concat("grp", F.lit(", all")).alias("grp"), "Bug", *metrics]
+    lines = unit.select("grp", F.lit(9).alias("at"), F.to_csv(F.struct(*cells)).alias("value"))
+    tops = ["Units,,,,,,,", '"sizes, prices",,,,,,,', "ID,Group,Bug," + ",".join(metrics), "row_id,grp,B,M1,M2,M3,M4,M5"]
+    top = unit.select("grp").distinct().select("grp", F.posexplode(F.array(*[F.lit(t) for t in tops])).alias("at", "value"))
+    # a file a brand: one task writes a brand, its first lines first
+    lines.unionByName(top).withColumn("brand", F.translate("grp", "#", "")).repartition("brand").sortWithinPartitions("brand", "at") \
+        .select("value", "brand").write.partitionBy("brand").text(f"{root}/sheets")
+    return X.run_action("extract-sm", spark=spark, path=f"{root}/sheets/*/part-*", target=f"{root}/out", header_row=3, name_row=2,
+                        n_keep=2, metadata=["row_id", "grp", "absent"]) \
+        .select("row_id", "grp", *[F.col(c).cast("double").alias(c) for c in metrics[:4]])
+
+
 @register("cell_values")
 def q_cell_values(spark, sf):
     """S9 + F7: the cells of a sheet, without those that hold a phrase."""
