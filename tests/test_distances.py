@@ -1,6 +1,7 @@
 """Distance operators against brute-force NumPy implementations."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import dbscan as DB
 from faultline.operators import pairwise as PW
+from faultline.operators.distances import block_dists, dists
 
 
 def brute_dbscan(X, eps, min_samples):
@@ -207,6 +209,34 @@ def test_eps_of_a_sample(spark):
     assert raw.n_points == 100 and np.isclose(np.sort(D, axis=1)[:, 4], raw.eps_raw).any()
 
 
+def test_block_distances_keep_their_digits():
+    rng = np.random.default_rng(9)
+    for d in (1, 2, 6, 64):
+        x, y = rng.normal(1e4, 1, (40, d)), rng.normal(1e4, 1, (70, d))
+        y[:5], y[5:9] = x[:5], x[5:9] + 1e-7
+        assert np.allclose(block_dists(x, y), dists(x, y), rtol=1e-8, atol=0)
+    assert block_dists(np.full((3, 2), 7.5), np.full((4, 2), 7.5)).max() == 0
+
+
+def test_points_leave_a_tile_with_few_numbers_however_many_clusters():
+    rng = np.random.default_rng(10)
+    for k in (4, 100):
+        pdf = pd.DataFrame({"pid": np.arange(400), "cl": np.repeat(np.arange(k), 400 // k), "vec": list(rng.normal(size=(400, 2))),
+                            "w": 1, "c": 400 // k, "m": 1, "cut": False})
+        left, right = PW.Points(pdf[:200]), PW.Points(pdf[200:])
+        PW.measure(left, right, True, 37)
+        assert sum(len(t) for side in (left, right) for t in side.rows()) == 400
+
+
+@pytest.mark.parametrize("n_bands", [1, 2, 7, None])
+def test_silhouette_of_repeated_points_and_cut_clusters(spark, n_bands):
+    rng = np.random.default_rng(11)
+    X = rng.integers(0, 6, (150, 2)).astype(float)  # most points come more than once, some in several clusters
+    lab = rng.choice([-1, 0, 1, 2, 3], 150, p=[0.1, 0.6, 0.2, 0.05, 0.05])
+    df = frame(spark, X).join(spark.createDataFrame([(i, int(c)) for i, c in enumerate(lab)], "row_id long, cluster int"), "row_id")
+    assert PW.silhouette(df, block_rows=19, n_bands=n_bands).first().silhouette == pytest.approx(brute_silhouette(X, lab), abs=1e-12)
+
+
 def test_each_row_goes_to_a_fixed_number_of_tiles(spark):
     assert [PW.bands(t) * (PW.bands(t) + 1) // 2 >= 2 * t for t in (1, 8, 200)] == [True] * 3
     for n in (50, 500):
