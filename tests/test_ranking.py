@@ -99,3 +99,11 @@ def test_kmeans_batched_separates_blobs(spark):
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
     assert info["inertia"] < 120 * 0.05
     assert centers.count() == 6
+
+
+def test_ranking_overlap_aggregates_lineitem_once(spark, monkeypatch):
+    from faultline.plans import queries as Q
+    calls, part_year = [], Q.td.part_year
+    monkeypatch.setattr(Q.td, "part_year", lambda *a, **k: calls.append(1) or part_year(*a, **k))
+    assert Q.REGISTRY["ranking_overlap"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
