@@ -24,7 +24,9 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,8 @@ END_ID = 1
 POOL_TOKENS = 4_000_000
 #: Estimated cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Words whose ids a worker process remembers, in each of two generations.
-CACHE_WORDS = 400_000
+#: Words, and pieces of words, whose ids a worker process remembers, in each of two generations.
+CACHE_WORDS, CACHE_PIECES = 150_000, 50_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "ids binary, cost double")
@@ -116,7 +118,7 @@ class WordIds:
             self.letters = dict(enumerate(byte_letters()))
             self.model = self.tokenizer.model
             self.words = WordCache(self.code_word, CACHE_WORDS)  # as they stand between blanks
-            self.pieces = WordCache(self.code, CACHE_WORDS)  # as the pattern splits them
+            self.pieces = WordCache(self.code, CACHE_PIECES)  # as the pattern splits them
 
     @staticmethod
     def _splits_words(spec: dict) -> bool:
@@ -129,11 +131,15 @@ class WordIds:
 
     def code(self, words: list[str]) -> list[bytes]:
         tokenize, letters = self.model.tokenize, self.letters
-        return [np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
-                for w in words]
+        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
 
     def code_word(self, words: list[bytes]) -> list[bytes]:
-        return [self.pieces.join(self.word.findall(w.decode())) for w in words]
+        """Words of plain letters alone are one piece, spelt as they are; they are remembered as words only."""
+        tokenize, findall = self.model.tokenize, self.word.findall
+        found = [None if w.isalpha() else findall(w.decode()) for w in words]
+        codes = iter(self.pieces.each([p for f in found if f for p in f]))
+        return [array("I", [t.id for t in tokenize(w.decode())]).tobytes() if f is None else b"".join(islice(codes, len(f)))
+                for w, f in zip(words, found, strict=True)]
 
     def __call__(self, text: bytes) -> bytes:
         whole = text.decode("utf-8", "replace")
@@ -177,6 +183,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         word_ids = _LOADED[key]
         first = TaskContext.get().partitionId() << 36  # sequence numbers of a task
         types = to_arrow_schema(schema)
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
         pool: list[tuple[int | None, bytes]] = []
         size = 0
 

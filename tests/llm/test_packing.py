@@ -87,3 +87,12 @@ def test_rows(spark):
         s.sort()
         assert all(o == sum(n for _, n in s[:k]) for k, (o, _) in enumerate(s))
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_plain_words_are_remembered_once():
+    with open(PATH, encoding="utf-8") as f:
+        ids = packing.WordIds(f.read())
+    text = "plain words, and (some) others: don't 3.14 Él naïve"
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want
+    assert "plain" not in ids.pieces.young and "words" in ids.pieces.young
