@@ -237,6 +237,17 @@ def test_silhouette_of_repeated_points_and_cut_clusters(spark, n_bands):
     assert PW.silhouette(df, block_rows=19, n_bands=n_bands).first().silhouette == pytest.approx(brute_silhouette(X, lab), abs=1e-12)
 
 
+@pytest.mark.parametrize("n_bands", [1, 5])
+def test_silhouette_leaves_out_missing_distances(spark, n_bands):
+    """As the SQL: a distance to a point with a missing entry adds nothing, the point counts in its cluster's size."""
+    X = [[0.0], [1.0], [None], [4.0], [6.0], [None]]
+    lab = [0, 0, 0, 1, 1, 2]
+    df = spark.createDataFrame(list(zip(range(6), X, lab)), "row_id long, features array<double>, cluster int")
+    a, b = [1 / 2, 1 / 2, 2 / 1, 2 / 1], [10 / 2, 8 / 2, 7 / 3, 11 / 3]
+    want = sum((q - p) / max(p, q) for p, q in zip(a, b)) / 6
+    assert PW.silhouette(df, n_bands=n_bands).first().silhouette == pytest.approx(want)
+
+
 def test_each_row_goes_to_a_fixed_number_of_tiles(spark):
     assert [PW.bands(t) * (PW.bands(t) + 1) // 2 >= 2 * t for t in (1, 8, 200)] == [True] * 3
     for n in (50, 500):
