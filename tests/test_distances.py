@@ -253,3 +253,35 @@ def test_each_row_goes_to_a_fixed_number_of_tiles(spark):
     for n in (50, 500):
         got = PW.tiles(spark.range(n), "id", 6).groupBy("id").count().select("count").distinct().collect()
         assert [r[0] for r in got] == [6]
+
+
+def test_distances_by_products_are_those_by_differences():
+    from faultline.operators.distances import smallest_sq, sq_dists, within
+    rng = np.random.default_rng(11)
+    for d in (1, 2, 6, 64):
+        a = np.round(rng.normal(size=(60, d)), 1) + 5
+        b = np.concatenate([a[:20], np.round(rng.normal(size=(80, d)), 1) + 5])
+        s = sq_dists(a, b)
+        for limit in np.quantile(s, [0.01, 0.3, 0.9]):  # distances that occur: ties with the limit
+            assert (within(a, b, limit) == (s <= limit)).all()
+        i, j, got = smallest_sq(a, b, 5)
+        assert (got == s[i, j]).all()
+        assert all((got[i == r][:5] == np.sort(s[r])[:5]).all() for r in range(len(a)))
+
+
+def test_missing_entries_bound_no_leaf():
+    from faultline.operators.metric_tree import Leaf
+    q = Leaf({"vec": np.array([[0.0, 0.0]]), "refd": np.array([[0.0]])})
+    p = Leaf({"vec": np.array([[3.0, 4.0], [np.nan, 0.0]]), "refd": np.array([[5.0], [np.nan]])})
+    assert np.allclose(q.gap_to(p), [5.0])
+
+
+def test_links_of_a_table_make_parts():
+    rows, columns = DB._parts(np.array([[1, 0, 0, 0], [1, 1, 0, 0], [0, 0, 0, 1], [0, 0, 0, 0]], bool))
+    assert rows.tolist() == [0, 0, 1, -1] and columns.tolist() == [0, 0, -1, 1]
+
+
+def test_a_split_fills_its_leaves(spark):
+    from faultline.operators.metric_tree import build
+    tree = build(frame(spark, np.random.default_rng(3).normal(size=(300, 3))), block_rows=256)
+    assert tree.nodes.filter("is_leaf").count() <= 8
