@@ -285,3 +285,19 @@ def test_a_split_fills_its_leaves(spark):
     from faultline.operators.metric_tree import build
     tree = build(frame(spark, np.random.default_rng(3).normal(size=(300, 3))), block_rows=256)
     assert tree.nodes.filter("is_leaf").count() <= 8
+
+
+def test_leaf_bound_takes_the_box_around_the_other_points():
+    """A long thin leaf is far from a point beside it, and the bound is below every distance."""
+    from faultline.operators.metric_tree import Leaf
+    rng = np.random.default_rng(9)
+    y = rng.normal(0, 1, (60, 3)) * [5.0, 0.1, 0.1]
+    x = np.concatenate([rng.normal(0, 3, (40, 3)), [[0.0, 3.0, 0.0], [np.nan, 0.0, 0.0]]])
+    refs = np.zeros((1, 3))
+
+    def leaf(v):
+        return Leaf({"vec": v, "refd": np.sqrt(((v[:, None] - refs) ** 2).sum(-1))})
+    gap = leaf(x).gap_to(leaf(y))
+    least = np.sqrt(((x[:-1, None] - y) ** 2).sum(-1)).min(axis=1)
+    assert (np.nan_to_num(gap[:-1]) <= least * (1 + 1e-12)).all()
+    assert gap[-2] > 2.5
