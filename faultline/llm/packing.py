@@ -26,7 +26,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from faultline.llm.bpe import BLANK, byte_letters, unsettled
 from faultline.llm.common import WordCache, schema_of, utf8
+from faultline.llm.pieces import SIGNS
 
 #: Tokens of a sequence.
 SEQUENCE = 2048
@@ -129,17 +129,18 @@ class WordIds:
                 and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["add_prefix_space"]
                 and not pre[1]["use_regex"] and plain)
 
-    def code(self, words: list[str]) -> list[bytes]:
-        tokenize, letters = self.model.tokenize, self.letters
-        return [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
+    def code(self, word: str) -> bytes:
+        spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
-    def code_word(self, words: list[bytes]) -> list[bytes]:
+    def code_word(self, word: bytes) -> bytes:
         """Words of plain letters alone are one piece, spelt as they are; they are remembered as words only."""
-        tokenize, findall = self.model.tokenize, self.word.findall
-        found = [None if w.isalpha() else findall(w.decode()) for w in words]
-        codes = iter(self.pieces.each([p for f in found if f for p in f]))
-        return [array("I", [t.id for t in tokenize(w.decode())]).tobytes() if f is None else b"".join(islice(codes, len(f)))
-                for w, f in zip(words, found, strict=True)]
+        if word.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        text = word.decode()
+        if text[-1] in SIGNS and word[:-1].isalpha():  # one sign after plain letters is a piece of its own
+            return self.pieces.join((text[:-1], text[-1]))
+        return self.pieces.join(self.word.findall(text))
 
     def __call__(self, text: bytes) -> bytes:
         whole = text.decode("utf-8", "replace")

@@ -14,7 +14,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import regex
@@ -65,7 +64,7 @@ class Pieces:
     def _together(self, texts: list[str]) -> Iterator[list]:
         young, old = self.young, self.old
         parted = [text.split(" ") for text in texts]
-        unknown = set().union(*[set(parts).difference(young) for parts in parted])
+        unknown = set().union(*parted).difference(young)
         # what stands before a space that is no cut
         open_ended = {p for p in unknown if not p or p[-1].isspace()}
         if open_ended:
@@ -79,13 +78,17 @@ class Pieces:
             unknown.remove(p)
         once = {}
         ordered = list(unknown)
-        for p, record in zip(ordered, self.code(ordered) if ordered else [], strict=True):
-            (young if _recurs(p) else once)[p] = record
+        records = self.code(ordered) if ordered else []
+        if open_ended or max(map(len, ordered), default=0) > LONGEST:
+            for p, record in zip(ordered, records, strict=True):
+                (young if _recurs(p) else once)[p] = record
+        else:
+            young.update(zip(ordered, records, strict=True))
         for parts in parted:
             if once and not once.keys().isdisjoint(parts):
                 yield [young[p] if p in young else once[p] for p in parts]
             else:
-                yield [young[p] for p in parts]
+                yield list(map(young.__getitem__, parts))
         if len(young) > self.limit:
             self.old, self.young = young, {}
 
@@ -115,40 +118,37 @@ class PartIds:
                         and not pre["add_prefix_space"])
         self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         self.word, self.letters, self.model = regex.compile(PATTERN), dict(enumerate(byte_letters())), self.tokenizer.model
-        self.words = WordCache(self._code_words, CACHE_WORDS)
+        self.words = WordCache(self._code_word, CACHE_WORDS)
+        self.blank, self.kind = self.letters[32], "H" if width == "<u2" else "I"
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _code_words(self, words: list[str]) -> list[bytes]:
-        tokenize, letters, kind = self.model.tokenize, self.letters, "H" if self.width == "<u2" else "I"
-        out = []
-        for w in words:
-            spelt = letters[32] + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else \
-                w.encode().decode("latin-1").translate(letters)
-            out.append(array(kind, [t.id for t in tokenize(spelt)]).tobytes())
-        return out
+    def _code_word(self, word: str) -> bytes:
+        if word[0] == " " and word.isascii() and word[1:].isalpha():
+            spelt = self.blank + word[1:]
+        else:
+            spelt = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __call__(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, each read with one space before it."""
-        words, shape, special = [], [], self.special
+        out, others, special, word, findall = [], [], self.special, self.words.young, self.word.findall
         for p in parts:
-            if p.isascii() or (p and max(p) < YOUNGER):
+            if p.isascii() or max(p) < YOUNGER:
                 if p.isalpha():
-                    words.append(" " + p)
-                    shape.append(1)
+                    out.append(word[" " + p])
                     continue
                 if p[-1:] in SIGNS and p[:-1].isalpha():
-                    words += (" " + p[:-1], p[-1])
-                    shape.append(2)
+                    out.append(word[" " + p[:-1]] + word[p[-1]])
                     continue
                 if not (special and special.search(p)):
-                    found = self.word.findall(" " + p)
-                    words += found
-                    shape.append(len(found))
+                    out.append(b"".join([word[w] for w in findall(" " + p)]))
                     continue
-            shape.append(0)
-        others = iter(self.whole([" " + p for p, k in zip(parts, shape, strict=True) if not k]) if 0 in shape else [])
-        codes = iter(self.words.each(words))
-        out = [next(codes) if k == 1 else b"".join(islice(codes, k)) if k else next(others) for k in shape]
+            others.append(len(out))
+            out.append(b"")
+        if others:
+            for k, ids in zip(others, self.whole([" " + parts[k] for k in others]), strict=True):
+                out[k] = ids
+        self.words.turn()
         return out

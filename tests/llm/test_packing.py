@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from faultline.llm import packing
+from faultline.llm.common import WordCache
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -96,3 +97,21 @@ def test_plain_words_are_remembered_once():
     want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want
     assert "plain" not in ids.pieces.young and "words" in ids.pieces.young
+
+
+def test_a_known_word_costs_one_look_up():
+    seen = []
+    cache = WordCache(lambda w: seen.append(w) or w.encode(), 3)
+    assert cache.join(["a", "b", "a", "c"]) == b"abac" and seen == ["a", "b", "c"]
+    assert cache.join(["d", "a"]) == b"da" and cache.join(["b", "e"]) == b"be"  # taken over from the older generation
+    assert seen == ["a", "b", "c", "d", "e"]
+    assert cache.join(["f", "g", "h", "i"]) == b"fghi" and cache.join(["a"]) == b"a"
+    assert seen[-1] == "a" and len(cache.young) + len(cache.young.old) <= 8
+
+
+def test_signs_after_letters_are_pieces_of_their_own():
+    with open(PATH, encoding="utf-8") as f:
+        ids = packing.WordIds(f.read())
+    for text in ("end. End, (end) end) end] \"end\" end?! don't. it's, a1. a.b. é. x' '. . ,", "tab\x01. \x7f. ab\x00c. \x1f!"):
+        want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want
